@@ -348,3 +348,56 @@ def bound_answer(x, hi: int = 99999) -> Column:
 
 def success_flag(answer, confidence) -> Column:
     return (F.coalesce(_c(answer), F.lit(0)) != 0) & (F.coalesce(_c(confidence), F.lit(0.0)) > 0.5)
+
+
+# ---------------------------------------------------------------- staged forms
+# The Column forms above nest their inputs several times; on long chains
+# (D12 inside a reward ladder) that multiplies regex work and can overflow
+# the 64 KB codegen limit.  The staged forms below project each intermediate
+# once; Catalyst keeps the projections apart because the shared
+# sub-expressions are expensive and referenced more than once.
+
+def add_boxed_first(df, text, out: str = "pred"):
+    """D1 as a DataFrame transform: locate once, fold once."""
+    t = _c(text)
+    s, r = f"_{out}_start", f"_{out}_rest"
+    p1 = F.locate("\\boxed{", t)
+    p2 = F.locate("\\boxed {", t)
+    df = df.withColumn(s, F.when(p1 > 0, p1 + 7).when(p2 > 0, p2 + 8))
+    df = df.withColumn(r, F.when(F.col(s).isNotNull(), t.substr(F.col(s), F.length(t))))
+    tokens = F.regexp_extract_all(F.col(r), F.lit(r"[{}]|[^{}]+"), 0)
+    init = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("n"), F.lit(False).alias("done"))
+
+    def step(acc, x):
+        depth = (F.when(x == "{", acc["depth"] + 1)
+                 .when(x == "}", acc["depth"] - 1)
+                 .otherwise(acc["depth"]))
+        closes = acc["done"] | (depth == 0)
+        n = F.when(closes, acc["n"]).otherwise(acc["n"] + F.length(x))
+        return F.struct(depth.alias("depth"), n.alias("n"), closes.alias("done"))
+
+    f = f"_{out}_fold"
+    df = df.withColumn(f, F.aggregate(tokens, init, step))
+    df = df.withColumn(out, F.when(F.col(f)["done"], strip(F.col(r).substr(F.lit(1), F.col(f)["n"]))))
+    return df.drop(s, r, f)
+
+
+def add_answers_match(df, pred, gt, out: str = "correct", tol: float = 1e-6):
+    """D12 as a DataFrame transform (normalise once, parse once)."""
+    t = f"_{out}"
+    df = df.withColumns({f"{t}_pn": normalize_answer(pred), f"{t}_gn": normalize_answer(gt)})
+    pn, gn = F.col(f"{t}_pn"), F.col(f"{t}_gn")
+    df = df.withColumns({f"{t}_pv": to_number(pn), f"{t}_gv": to_number(gn),
+                         f"{t}_pc": frac_to_slash(pn), f"{t}_gc": frac_to_slash(gn)})
+    pc, gc = F.col(f"{t}_pc"), F.col(f"{t}_gc")
+    df = df.withColumns({f"{t}_pcv": to_number(pc), f"{t}_gcv": to_number(gc)})
+    n1 = numeric_equal(F.col(f"{t}_pv"), F.col(f"{t}_gv"), tol)
+    n2 = numeric_equal(F.col(f"{t}_pcv"), F.col(f"{t}_gcv"), tol)
+    res = (F.when(pn.isNull() | gn.isNull(), F.lit(False))
+           .when(pn == gn, F.lit(True))
+           .when(n1.isNotNull(), n1)
+           .when(pc == gc, F.lit(True))
+           .when(n2.isNotNull(), n2)
+           .otherwise(F.lit(False)))
+    df = df.withColumn(out, res)
+    return df.drop(*[f"{t}_{k}" for k in ("pn", "gn", "pv", "gv", "pc", "gc", "pcv", "gcv")])

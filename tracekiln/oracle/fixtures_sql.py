@@ -42,7 +42,7 @@ problems AS (
 
 VIEWS["attempts"] = f"""
 attempts_base AS (
-  SELECT doc_id, text, cast(unnest(range(0, 8)) AS integer) AS attempt_id FROM documents),
+  SELECT doc_id, text, cast(unnest(range(0, 8)) AS bigint) AS attempt_id FROM documents),
 attempts AS (
   SELECT doc_id AS problem_id, attempt_id,
          cast({H("'g:'||" + _ID)} % 100000 AS varchar) AS gold,
@@ -80,7 +80,7 @@ trajectory_meta AS (
          CASE WHEN {H("'s:'||" + _CV)} % 6 = 0 THEN 'aops' ELSE 'stackflow' END AS data_source,
          CASE WHEN {H("'m:'||" + _CV)} % 10 = 0 THEN NULL
               ELSE cast({H("'t:'||" + _CV)} % 9 AS double) / cast(8 AS double) END AS accuracy,
-         cast({H("'n:'||" + _CV)} % 3 AS integer) AS n_tools,
+         {H("'n:'||" + _CV)} % 3 AS n_tools,
          cast({H("'g:'||" + _CV)} % 1000 AS varchar) AS expected_answer
   FROM (SELECT DISTINCT conv_id FROM conversations))"""
 
@@ -92,11 +92,11 @@ judge_scores AS (
   FROM attempts WHERE {H("'k:'||" + _PK)} % 5 <> 0)"""
 
 VIEWS["rounds"] = """
-rounds AS (SELECT *, cast(attempt_id % 3 + 1 AS integer) AS round FROM attempts)"""
+rounds AS (SELECT *, attempt_id % 3 + 1 AS round FROM attempts)"""
 
 VIEWS["logprobs"] = f"""
 logprobs_base AS (
-  SELECT problem_id, attempt_id, cast(unnest(range(0, 4)) AS integer) AS pos FROM attempts),
+  SELECT problem_id, attempt_id, cast(unnest(range(0, 4)) AS bigint) AS pos FROM attempts),
 logprobs_p AS (
   SELECT *, cast({H("'p:'||" + _PK + "||':'||" + s('pos'))} % 99 + 1 AS double) / cast(100 AS double) AS p
   FROM logprobs_base),
@@ -106,7 +106,7 @@ logprobs AS (
   SELECT problem_id, attempt_id, pos, 'b' AS token, ln(1 - p) AS logprob FROM logprobs_p)"""
 
 VIEWS["lemmas"] = """
-lemmas AS (SELECT doc_id AS problem_id, cast(unnest(range(0, 6)) AS integer) AS lemma_id FROM documents)"""
+lemmas AS (SELECT doc_id AS problem_id, cast(unnest(range(0, 6)) AS bigint) AS lemma_id FROM documents)"""
 
 _PD = s("problem_id")
 VIEWS["lemma_edges"] = f"""
@@ -117,9 +117,9 @@ lemma_edges AS (
   SELECT problem_id, dep, lemma_id FROM lemma_pairs
   WHERE {H("'e:'||" + _PD + "||':'||" + s('dep') + "||':'||" + s('lemma_id'))} % 3 = 0
   UNION ALL
-  SELECT doc_id, 5, 0 FROM documents WHERE {H("'c:'||" + _ID)} % 20 = 0
+  SELECT doc_id, cast(5 AS bigint), cast(0 AS bigint) FROM documents WHERE {H("'c:'||" + _ID)} % 20 = 0
   UNION ALL
-  SELECT doc_id, 99, 3 FROM documents WHERE {H("'v:'||" + _ID)} % 20 = 0)"""
+  SELECT doc_id, cast(99 AS bigint), cast(3 AS bigint) FROM documents WHERE {H("'v:'||" + _ID)} % 20 = 0)"""
 
 DEPENDS = {
     "judge_scores": ["attempts"],

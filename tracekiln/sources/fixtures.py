@@ -62,7 +62,7 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight rollouts per document with a hash-chosen answer suffix."""
     d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     a = d.select("doc_id", "text",
-                 F.explode(F.sequence(F.lit(0), F.lit(ATTEMPTS_PER_PROBLEM - 1))).alias("attempt_id"))
+                 F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(ATTEMPTS_PER_PROBLEM - 1).cast("bigint"))).alias("attempt_id"))
     i = F.col("doc_id")
     ik = _k("", i, F.col("attempt_id"))
     G = (H(_k("g:", i)) % 100000).cast("string")
@@ -118,7 +118,7 @@ def trajectory_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(H(_k("s:", i)) % 6 == 0, F.lit("aops")).otherwise(F.lit("stackflow")).alias("data_source"),
         F.when(H(_k("m:", i)) % 10 == 0, F.lit(None).cast("double"))
          .otherwise((H(_k("t:", i)) % 9).cast("double") / F.lit(8.0)).alias("accuracy"),
-        (H(_k("n:", i)) % 3).cast("int").alias("n_tools"),
+        (H(_k("n:", i)) % 3).alias("n_tools"),
         (H(_k("g:", i)) % 1000).cast("string").alias("expected_answer"),
     )
 
@@ -134,13 +134,13 @@ def judge_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attempts tagged with an evaluation round (1..3)."""
-    return attempts(spark, sf_dir).withColumn("round", (F.col("attempt_id") % 3 + 1).cast("int"))
+    return attempts(spark, sf_dir).withColumn("round", F.col("attempt_id") % 3 + 1)
 
 
 def logprobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long-form top-2 token log-probabilities: 4 positions per attempt."""
     a = attempts(spark, sf_dir).select("problem_id", "attempt_id")
-    a = a.select("*", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("pos"))
+    a = a.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(3).cast("bigint"))).alias("pos"))
     p = (H(_k("p:", F.col("problem_id"), F.col("attempt_id"), F.col("pos"))) % 99 + 1).cast("double") / F.lit(100.0)
     a = a.withColumn("p", p)
     return a.select("problem_id", "attempt_id", "pos",
@@ -153,7 +153,7 @@ def logprobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lemmas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six lemmas per problem (ids 0..5)."""
     d = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("problem_id"))
-    return d.select("problem_id", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("lemma_id"))
+    return d.select("problem_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(5).cast("bigint"))).alias("lemma_id"))
 
 
 def lemma_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,10 +165,11 @@ def lemma_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.explode(F.sequence(F.lit(0), F.lit(5))).alias("dep")) \
              .select("problem_id", "dep",
                      F.explode(F.sequence(F.col("dep") + 1, F.lit(6))).alias("lemma_id")) \
-             .where(F.col("lemma_id") <= 5)
+             .where(F.col("lemma_id") <= 5) \
+             .select("problem_id", F.col("dep").cast("bigint"), F.col("lemma_id").cast("bigint"))
     fwd = pairs.where(H(_k("e:", F.col("problem_id"), F.col("dep"), F.col("lemma_id"))) % 3 == 0)
     back = d.where(H(_k("c:", F.col("problem_id"))) % 20 == 0).select(
-        "problem_id", F.lit(5).alias("dep"), F.lit(0).alias("lemma_id"))
+        "problem_id", F.lit(5).cast("bigint").alias("dep"), F.lit(0).cast("bigint").alias("lemma_id"))
     unknown = d.where(H(_k("v:", F.col("problem_id"))) % 20 == 0).select(
-        "problem_id", F.lit(99).alias("dep"), F.lit(3).alias("lemma_id"))
+        "problem_id", F.lit(99).cast("bigint").alias("dep"), F.lit(3).cast("bigint").alias("lemma_id"))
     return fwd.unionByName(back).unionByName(unknown)
