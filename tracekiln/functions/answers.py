@@ -104,10 +104,13 @@ def extract_boxed_last(text) -> Column:
 def boxed_int_scan(text, hi: int = 99999) -> Column:
     """Last boxed ``[0-9,]+`` as int in 0..hi; else the last
     ``final answer is N`` (case-insensitive) in range; else null."""
+    nd = len(str(hi))
+
     def as_int(m):
+        # at most ``nd`` significant digits -> the bigint cast cannot overflow
         digits = F.regexp_replace(m, ",", "")
-        v = F.when(digits != "", digits.try_cast("decimal(38,0)"))
-        return F.when((v >= 0) & (v <= hi), v.cast("bigint"))
+        v = F.when(digits.rlike(rf"^0*\d{{1,{nd}}}$"), digits.cast("bigint"))
+        return v if hi == 10 ** nd - 1 else F.when(v <= hi, v)
 
     return F.coalesce(as_int(last_match(text, BOXED_INT_RE)),
                       as_int(last_match(text, FINAL_ANSWER_RE)))

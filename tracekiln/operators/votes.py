@@ -16,15 +16,23 @@ from pyspark.sql import functions as F
 
 
 def answer_counts(df: DataFrame, key: str = "problem_id", answer: str = "answer",
-                  order: str = "attempt_id", weight=None) -> DataFrame:
+                  order: str = "attempt_id", weight=None, valid=None) -> DataFrame:
     """(key, answer) -> votes, weighted score, first arrival.  Null answers
-    are not votes."""
+    (and answers failing ``valid``) are not votes.
+
+    The null/validity test lives inside the aggregate (``count(answer)``, then
+    ``votes > 0``): a filter on a computed answer would be pushed below the
+    projection and re-evaluate the extraction expression in the predicate."""
     w = F.lit(1.0) if weight is None else weight
-    return (df.where(F.col(answer).isNotNull())
-              .groupBy(key, answer)
-              .agg(F.count("*").alias("votes"),
+    a = F.col(answer)
+    if valid is not None:
+        a = F.when(valid, a)
+        w = F.when(valid, w)
+    return (df.groupBy(key, answer)
+              .agg(F.count(a).alias("votes"),
                    F.sum(w).alias("score"),
-                   F.min(order).alias("first_arrival")))
+                   F.min(order).alias("first_arrival"))
+              .where(F.col("votes") > 0))
 
 
 def _pick(counts: DataFrame, key: str, answer: str, order_cols) -> DataFrame:
@@ -58,10 +66,10 @@ def entropy_weight(entropy, floor: float = 1e-9, variant: str = "max") -> F.Colu
 
 
 def weighted_vote(df: DataFrame, weight, key: str = "problem_id", answer: str = "answer",
-                  order: str = "attempt_id") -> DataFrame:
+                  order: str = "attempt_id", valid=None) -> DataFrame:
     """G3/G4 shape: highest summed weight; ties -> earliest first arrival.
     No valid answer -> no row (the caller decides the fallback)."""
-    counts = answer_counts(df, key, answer, order, weight)
+    counts = answer_counts(df, key, answer, order, weight, valid)
     win = _pick(counts, key, answer, [F.col("score").desc(), F.col("first_arrival").asc()])
     return win.select(key, F.col(answer).alias("voted_answer"), "votes",
                       F.round("score", 6).alias("score"))
@@ -75,9 +83,8 @@ def entropy_vote(df: DataFrame, entropy: str = "entropy", **kw) -> DataFrame:
 def verified_vote(df: DataFrame, verified: str = "verified_count", total: str = "total_lemmas",
                   answer: str = "answer", hi: int = 99999, **kw) -> DataFrame:
     """Weight verified/total + 0.1, answers outside 0..hi ignored."""
-    d = df.withColumn(answer, F.when((F.col(answer) >= 0) & (F.col(answer) <= hi), F.col(answer)))
     wgt = F.coalesce(F.col(verified), F.lit(0)) / F.coalesce(F.col(total), F.lit(1)) + F.lit(0.1)
-    return weighted_vote(d, wgt, answer=answer, **kw)
+    return weighted_vote(df, wgt, answer=answer, valid=F.col(answer).between(0, hi), **kw)
 
 
 def magnitude_scores(df: DataFrame, key: str = "problem_id", answer: str = "answer",
@@ -126,9 +133,8 @@ def early_stop_point(df: DataFrame, k: int = 4, key: str = "problem_id", answer:
 
     The k-th vote of each (problem, answer) is ``row_number() = k``, which
     Spark plans as a partial WindowGroupLimit before the shuffle."""
-    v = df.where(F.col(answer).isNotNull())
     w = Window.partitionBy(key, answer).orderBy(F.col(order).asc())
-    kth = v.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == k)
+    kth = df.withColumn("_rn", F.row_number().over(w)).where((F.col("_rn") == k) & F.col(answer).isNotNull())
     stop = kth.groupBy(key).agg(F.min(order).alias("stop_at"))
     base = df.join(stop, key, "left")
     kept = base.where(F.col("stop_at").isNull() | (F.col(order) <= F.col("stop_at")))
