@@ -121,7 +121,17 @@ lemma_edges AS (
   UNION ALL
   SELECT doc_id, cast(99 AS bigint), cast(3 AS bigint) FROM documents WHERE {H("'v:'||" + _ID)} % 20 = 0)"""
 
+VIEWS["verdicts"] = f"""
+verdict_keys AS (
+  SELECT DISTINCT md5(substr(p.gold_solution, 1, 200) || '||' || substr(a.response, 1, 400)) AS key
+  FROM attempts a JOIN problems p ON a.problem_id = p.problem_id),
+verdicts AS (
+  SELECT key, ['complete', 'correct_approach_incomplete', 'correct_approach_wrong_execution',
+               'adjacent_approach', 'wrong_approach', 'memorized', 'incoherent'][{H("'vc:'||key")} % 7 + 1] AS reasoning_class
+  FROM verdict_keys WHERE {H("'vk:'||key")} % 4 <> 0)"""
+
 DEPENDS = {
+    "verdicts": ["attempts", "problems"],
     "judge_scores": ["attempts"],
     "rounds": ["attempts"],
     "logprobs": ["attempts"],

@@ -35,3 +35,49 @@ def rollout_report(attempts: DataFrame, problems: DataFrame, key: str = "problem
     per = per.withColumn("accuracy", F.round(acc, 6)).withColumn("tier", EV.curriculum_tier(acc))
     maj = V.majority_vote(scored, key, "answer")
     return per.join(maj, key, "left")
+
+
+def curate_sft(meta: DataFrame, messages: DataFrame, key: str = "conv_id",
+               max_acc: float = 0.5, answer_policy: str = "strict") -> DataFrame:
+    """v4 curation: hard (0 < acc < max) and integer-answer trajectories,
+    compressed to two turns, shortest (words) per problem key (ties: uuid),
+    tiered.  Filters run on the narrow header table first; only surviving
+    conversations' messages are shuffled; dedup ranks narrow rows and the
+    compressed text joins back on the conversation id."""
+    from ..functions.text import problem_key, word_count
+    from ..operators import curate as C
+    from ..operators import filters as B
+    m = meta.where(B.is_hard(F.col("accuracy"), max_acc) &
+                   B.answer_in_range(F.col("expected_answer"), answer_policy))
+    msgs = messages.join(m.select(key), key, "left_semi")
+    comp = C.compress_messages(msgs, "v4", key)
+    comp = comp.withColumn("n_words", word_count(F.col("assistant"))) \
+               .withColumn("problem_key", problem_key(F.col("prompt")))
+    j = comp.join(m, key)
+    best = C.best_per_problem(j, F.col("problem_key"), [F.col("n_words")], "uuid", key)
+    out = j.join(best, key, "left_semi")
+    return out.withColumn("tier", EV.curriculum_tier(F.col("accuracy")))
+
+
+def raft_stages(meta: DataFrame, messages: DataFrame, key: str = "conv_id",
+                threshold: float = 0.5) -> DataFrame:
+    """Stage 1 = hard (acc < t, zero included, missing -> not hard) with
+    tools defined and tool use, shortest trajectory (chars) per problem;
+    stage 2 = the same restricted to the aops source.  The common prefix is
+    one plan; the stages differ only in a source predicate."""
+    from ..operators import curate as C
+    from ..operators import filters as B
+    m = meta.where(B.is_hard(F.col("accuracy"), threshold, exclude_zero=False, missing=1.0) &
+                   B.has_tools_defined(F.col("n_tools")))
+    use = B.tool_use_by_conversation(messages.join(m.select(key), key, "left_semi"), key) \
+        .where("has_tool_use").select(key)
+    chars = C.trajectory_chars(messages.join(use, key, "left_semi"), key)
+    first_user = messages.where(F.col("role") == "user").groupBy(key).agg(
+        F.min_by("text", "turn").alias("problem"))
+    base = m.join(chars, key).join(first_user, key, "left")
+    out = []
+    for stage, pred in ((1, F.lit(True)), (2, B.by_source(F.col("data_source"), "aops", lower=True))):
+        s = base.where(pred)
+        best = C.best_per_problem(s, F.coalesce(F.col("problem"), F.lit("")), [F.col("traj_chars")], "uuid", key)
+        out.append(s.join(best, key, "left_semi").withColumn("stage", F.lit(stage)))
+    return out[0].unionByName(out[1])
