@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .plans import registry
-from .plans import q_answers, q_curation, q_scoring  # noqa: F401  (registration side effects)
+from .plans import q_answers, q_curation, q_pairs, q_scoring  # noqa: F401  (registration side effects)
 
 
 def queries():

@@ -143,8 +143,11 @@ def rejection_sample(attempts: DataFrame, key: str = "problem_id", response: str
     """Keep attempts whose first-boxed answer matches the gold, then the
     shortest one per problem (ties: lowest attempt id).  Top-1 per key is a
     ``row_number() = 1`` window, planned as WindowGroupLimit (partial+final)."""
+    # The match predicate is an ordering key of the window rather than a
+    # filter: a filter on it would be pushed below the staged projections and
+    # re-expand the whole D12 chain inside the predicate.
     ok = A.add_answers_match(A.add_boxed_first(attempts, F.col(response), "_pred"),
                              F.col("_pred"), F.col(gt), "_ok")
-    ok = ok.where("_ok").drop("_ok", "_pred").withColumn("response_len", F.length(response))
-    w = Window.partitionBy(key).orderBy(F.col("response_len").asc(), F.col(order_id).asc())
-    return ok.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    ok = ok.drop("_pred").withColumn("response_len", F.length(response))
+    w = Window.partitionBy(key).orderBy(F.col("_ok").desc(), F.col("response_len").asc(), F.col(order_id).asc())
+    return ok.withColumn("_rn", F.row_number().over(w)).where("_rn = 1 AND _ok").drop("_rn", "_ok")
