@@ -379,10 +379,13 @@ def add_boxed_first(df, text, out: str = "pred"):
         n = F.when(closes, acc["n"]).otherwise(acc["n"] + F.length(x))
         return F.struct(depth.alias("depth"), n.alias("n"), closes.alias("done"))
 
-    f = f"_{out}_fold"
-    df = df.withColumn(f, F.aggregate(tokens, init, step))
-    df = df.withColumn(out, F.when(F.col(f)["done"], strip(F.col(r).substr(F.lit(1), F.col(f)["n"]))))
-    return df.drop(s, r, f)
+    # Fast path: no brace before the first closing one -> plain regex; the
+    # interpreted fold runs only for nested boxes (CASE WHEN is lazy).
+    flat = F.col(r).rlike(r"^[^{}]*\}")
+    folded = F.aggregate(tokens, init, step)
+    slow = F.when(folded["done"], strip(F.col(r).substr(F.lit(1), folded["n"])))
+    df = df.withColumn(out, F.when(flat, strip(F.regexp_extract(F.col(r), r"^([^{}]*)\}", 1))).otherwise(slow))
+    return df.drop(s, r)
 
 
 def add_answers_match(df, pred, gt, out: str = "correct", tol: float = 1e-6):
