@@ -244,10 +244,35 @@ def answers_match_normalized(pn, gn, tol: float = 1e-6) -> Column:
             .otherwise(F.lit(False)))
 
 
+def _let(value: Column, body) -> Column:
+    """Bind ``value`` once and evaluate ``body(value)`` (a one-element
+    ``transform``): keeps a nested expression from being copied into every
+    use, which matters for the Column forms used inside ``select``."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def answers_match(pred, gt, tol: float = 1e-6) -> Column:
     """Equal after D9 -> numeric (final if both numeric) -> ``\\frac``
-    rewrite -> string -> numeric; null on either side -> false."""
-    return answers_match_normalized(normalize_answer(pred), normalize_answer(gt), tol)
+    rewrite -> string -> numeric; null on either side -> false.  (Table
+    operators use the staged ``add_answers_match``.)"""
+    def outer(s):
+        pn, gn = s["pn"], s["gn"]
+
+        def inner(t):
+            n1 = numeric_equal(t["pv"], t["gv"], tol)
+            n2 = numeric_equal(t["pcv"], t["gcv"], tol)
+            return (F.when(pn.isNull() | gn.isNull(), F.lit(False))
+                    .when(pn == gn, F.lit(True))
+                    .when(n1.isNotNull(), n1)
+                    .when(t["pc"] == t["gc"], F.lit(True))
+                    .when(n2.isNotNull(), n2)
+                    .otherwise(F.lit(False)))
+
+        pc, gc = frac_to_slash(pn), frac_to_slash(gn)
+        return _let(F.struct(to_number(pn).alias("pv"), to_number(gn).alias("gv"), pc.alias("pc"), gc.alias("gc"),
+                             to_number(pc).alias("pcv"), to_number(gc).alias("gcv")), inner)
+
+    return _let(F.struct(normalize_answer(pred).alias("pn"), normalize_answer(gt).alias("gn")), outer)
 
 
 def check_simple(pred, gt) -> Column:
