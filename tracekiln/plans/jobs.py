@@ -11,30 +11,62 @@ from ..operators import rewards as R
 from ..operators import votes as V
 
 
-def score_rollouts(attempts: DataFrame, problems: DataFrame, key: str = "problem_id") -> DataFrame:
+def score_rollouts(attempts: DataFrame, problems: DataFrame, key: str = "problem_id",
+                   persist: bool = True) -> DataFrame:
     """attempts x problems -> reward (E2), correctness, advantage (E4) and the
-    zero-variance flag.  Gold facts are computed per problem before the join."""
+    zero-variance flag.  Gold facts are computed per problem before the join.
+
+    The advantage needs the scored rows twice (group statistics, then the
+    join back), so the narrow facts are persisted (memory, spilling to disk)
+    and the regex work runs once; lost blocks are recomputed from lineage."""
+    from pyspark import StorageLevel
     gf = R.gold_facts(problems, key)
     scored = R.reward_10level(attempts.join(gf, key, "left"))
-    return R.group_advantage(scored, key, "reward")
+    # narrow: the response text and the gold number sets stay behind (join
+    # back on (problem, attempt) when the text is needed)
+    narrow = scored.drop("response", "gold_numbers")
+    if persist:
+        narrow = narrow.persist(StorageLevel.MEMORY_AND_DISK)
+    return R.group_advantage(narrow, key, "reward")
 
 
 def rollout_report(attempts: DataFrame, problems: DataFrame, key: str = "problem_id",
                    rollouts: int = 8) -> DataFrame:
     """Flagship: per problem accuracy (G12), tier (C7), reward mean/std,
-    zero-variance flag (E5), majority answer and confidence (G1/G2)."""
-    scored = score_rollouts(attempts, problems, key) \
+    zero-variance flag (E5), majority answer and confidence (G1/G2).
+
+    One pass: the scored rollouts are pre-aggregated per (problem, answer)
+    (partial aggregation before the only data-sized shuffle); the problem
+    statistics combine those partials and the vote picks from the same small
+    table, so the extraction work runs once and a hot problem is reduced
+    map-side."""
+    gf = R.gold_facts(problems, key)
+    scored = R.reward_10level(attempts.join(gf, key, "left")) \
         .withColumn("answer", A.boxed_int_scan(F.col("response")))
-    per = scored.groupBy(key).agg(
-        F.count("*").alias("n_attempts"),
-        F.sum(F.col("correct").cast("int")).cast("bigint").alias("n_correct"),
-        F.round(F.avg("reward"), 6).alias("reward_mean"),
-        F.round(F.stddev_samp("reward"), 6).alias("reward_std"),
-        (F.min("reward") == F.max("reward")).alias("zero_variance"))
+    r = F.col("reward")
+    part = scored.groupBy(key, "answer").agg(
+        F.count("*").alias("_n"), F.sum(r).alias("_s"), F.sum(r * r).alias("_ss"),
+        F.min(r).alias("_mn"), F.max(r).alias("_mx"), F.sum(F.col("correct").cast("int")).alias("_c"))
+    n, s_, ss = F.sum("_n"), F.sum("_s"), F.sum("_ss")
+    var = (ss - s_ * s_ / n) / (n - 1)
+    per = part.groupBy(key).agg(
+        n.alias("n_attempts"), F.sum("_c").cast("bigint").alias("n_correct"),
+        F.round(s_ / n, 6).alias("reward_mean"),
+        F.round(F.when(n > 1, F.sqrt(F.greatest(var, F.lit(0.0)))), 6).alias("reward_std"),
+        (F.min("_mn") == F.max("_mx")).alias("zero_variance"),
+        F.sum(F.when(F.col("answer").isNotNull(), F.col("_n"))).alias("_valid"))
     acc = F.col("n_correct").cast("double") / F.lit(float(rollouts))
     per = per.withColumn("accuracy", F.round(acc, 6)).withColumn("tier", EV.curriculum_tier(acc))
-    maj = V.majority_vote(scored, key, "answer")
-    return per.join(maj, key, "left")
+    from pyspark.sql import Window
+    w = Window.partitionBy(key).orderBy(F.col("_n").desc(), F.col("answer").asc())
+    win = part.where(F.col("answer").isNotNull()).withColumn("_rn", F.row_number().over(w)).where("_rn = 1") \
+        .select(key, F.col("answer").alias("majority_answer"), F.col("_n").alias("winner_votes"))
+    out = per.join(win, key, "left")
+    return out.select(
+        key, "n_attempts", "n_correct", "reward_mean", "reward_std", "zero_variance", "accuracy", "tier",
+        "majority_answer", F.coalesce("winner_votes", F.lit(0)).cast("bigint").alias("winner_votes"),
+        F.coalesce("_valid", F.lit(0)).cast("bigint").alias("valid_votes"),
+        F.coalesce(F.round(F.col("winner_votes") / F.col("_valid"), 6), F.lit(0.0)).alias("confidence"))
 
 
 def curate_sft(meta: DataFrame, messages: DataFrame, key: str = "conv_id",

@@ -36,10 +36,26 @@ def _k(prefix: str, *cols: Column) -> Column:
     return F.concat(*parts)
 
 
+def keyed_documents(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
+    """Documents hash-distributed by ``doc_id``: every view derived from them
+    (problems, attempts, lemmas) inherits that partitioning, so joins between
+    them on the problem key need no further exchange, and the per-row text
+    work is spread over the shuffle partitions rather than over however many
+    row groups the input files happen to have.  The plan reuses this one
+    exchange across views."""
+    return read_table(spark, sf_dir, "documents").select("doc_id", *cols).repartition("doc_id")
+
+
+def keyed_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations hash-distributed by ``conv_id`` (per-conversation
+    aggregates then run without another exchange)."""
+    return read_table(spark, sf_dir, "conversations").repartition("conv_id")
+
+
 def problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One problem per document: id, uuid, problem text (first 600 chars),
     gold solution, source, accuracy on the k/8 grid, expected answer."""
-    d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = keyed_documents(spark, sf_dir, "text")
     i = F.col("doc_id")
     f = H(_k("f:", i)) % 8
     g = H(_k("g:", i))
@@ -60,7 +76,7 @@ def problems(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight rollouts per document with a hash-chosen answer suffix."""
-    d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = keyed_documents(spark, sf_dir, "text")
     a = d.select("doc_id", "text",
                  F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(ATTEMPTS_PER_PROBLEM - 1).cast("bigint"))).alias("attempt_id"))
     i = F.col("doc_id")
@@ -91,7 +107,7 @@ def messages_tir(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations in long form with tool turns and tool artefacts: every
     assistant turn whose hash is 0 mod 3 becomes a ``tool`` turn; a hash picks a
     suffix (code fence, traceback, error, boxed answer or nothing)."""
-    c = read_table(spark, sf_dir, "conversations")
+    c = keyed_conversations(spark, sf_dir)
     k = _k("", F.col("conv_id"), F.col("turn"))
     r = H(F.concat(F.lit("r:"), k)) % 3
     s = H(F.concat(F.lit("c:"), k)) % 6
@@ -110,7 +126,7 @@ def messages_tir(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def trajectory_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One header row per conversation: uuid, source, accuracy, tools, answer."""
-    c = read_table(spark, sf_dir, "conversations").select("conv_id").distinct()
+    c = keyed_conversations(spark, sf_dir).select("conv_id").distinct()
     i = F.col("conv_id")
     return c.select(
         i,
@@ -152,7 +168,7 @@ def logprobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lemmas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six lemmas per problem (ids 0..5)."""
-    d = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("problem_id"))
+    d = keyed_documents(spark, sf_dir).select(F.col("doc_id").alias("problem_id"))
     return d.select("problem_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(5).cast("bigint"))).alias("lemma_id"))
 
 
@@ -160,7 +176,7 @@ def lemma_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dependency edges ``dep -> lemma_id``: forward edges i<j by hash; one
     problem in 20 gets a back edge 5 -> 0 (cycle), one in 20 a dependency on
     an unknown lemma 99."""
-    d = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("problem_id"))
+    d = keyed_documents(spark, sf_dir).select(F.col("doc_id").alias("problem_id"))
     pairs = d.select("problem_id",
                      F.explode(F.sequence(F.lit(0), F.lit(5))).alias("dep")) \
              .select("problem_id", "dep",
