@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .plans import registry
-from .plans import q_answers, q_curation, q_pairs, q_profile, q_retrieval, q_scoring, q_sources, q_streaming  # noqa: F401  (registration side effects)
+from .plans import q_answers, q_curation, q_pairs, q_profile, q_more, q_retrieval, q_scoring, q_sources, q_streaming  # noqa: F401  (registration side effects)
 
 
 def queries():

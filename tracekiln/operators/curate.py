@@ -196,13 +196,13 @@ def assistant_mask_spans(messages: DataFrame, key: str = "conv_id", turn: str =
     return m.join(has, key, "left_semi").select(key, turn, "role", "start", "end", "train")
 
 
-def pack_sequences(df: DataFrame, id_col: str, length, max_len: int, shards: int) -> DataFrame:
+def pack_sequences(df: DataFrame, id_col: str, length, max_len: int, shards: int, shard: Column | None = None) -> DataFrame:
     """C17: concatenate-and-cut packing plan.  Rows are spread over ``shards``
     hash shards; inside a shard a running sum of lengths gives each row its
     offset and bin = floor(offset / max_len).  The window is per shard, so
     choose ``shards`` to keep a shard within one task (e.g. rows / 1e6)."""
-    d = df.select(id_col, F.col(length).alias("length") if isinstance(length, str) else length.alias("length"))
-    d = d.withColumn("shard", F.pmod(F.xxhash64(F.col(id_col)), F.lit(shards)))
+    d = df.select(id_col, (F.col(length) if isinstance(length, str) else length).alias("length"))
+    d = d.withColumn("shard", F.pmod(F.xxhash64(F.col(id_col)), F.lit(shards)) if shard is None else shard)
     w = Window.partitionBy("shard").orderBy(id_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     d = d.withColumn("offset", F.sum("length").over(w) - F.col("length"))
     return d.withColumn("bin", F.floor(F.col("offset") / F.lit(max_len)).cast("bigint"))

@@ -202,15 +202,12 @@ def c16_assistant_mask_spans(spark, sf):
 FROM (SELECT doc_id, n_chars, doc_id % 4 AS shard FROM documents)""")
 def c17_pack_sequences(spark, sf):
     """C17 over document lengths with max_len 4096 and 4 shards (shard =
-    doc_id mod 4 here so the oracle can recompute it)."""
+    doc_id mod 4 here so the oracle can recompute it; the default shard is a
+    hash of the id)."""
     from ..sources.tables import read_table
     d = read_table(spark, sf, "documents").select("doc_id", "n_chars")
-    from pyspark.sql import Window
-    d = d.withColumn("shard", F.col("doc_id") % 4)
-    w = Window.partitionBy("shard").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    d = d.withColumn("offset", F.sum("n_chars").over(w) - F.col("n_chars"))
-    return d.select("doc_id", F.col("n_chars").alias("length"), "shard", "offset",
-                    F.floor(F.col("offset") / F.lit(4096)).cast("bigint").alias("bin"))
+    p = C.pack_sequences(d, "doc_id", "n_chars", 4096, 4, shard=F.col("doc_id") % 4)
+    return p.select("doc_id", "length", "shard", "offset", "bin")
 
 
 @register("c18_judge_requests", with_views("problems", "attempts", "verdicts") + """SELECT DISTINCT
