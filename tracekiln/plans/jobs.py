@@ -113,3 +113,65 @@ def raft_stages(meta: DataFrame, messages: DataFrame, key: str = "conv_id",
         best = C.best_per_problem(s, F.coalesce(F.col("problem"), F.lit("")), [F.col("traj_chars")], "uuid", key)
         out.append(s.join(best, key, "left_semi").withColumn("stage", F.lit(stage)))
     return out[0].unionByName(out[1])
+
+
+def mine_pairs(attempts: DataFrame, problems: DataFrame, scores: DataFrame | None = None,
+               policy: str = "two_way", key: str = "problem_id") -> tuple[DataFrame, DataFrame]:
+    """``mine_pairs``: preference pairs under one policy (vs_gold / two_way /
+    by_score) and their outcome counters (E10)."""
+    from ..operators import pairs as P
+    if policy == "vs_gold":
+        pairs = P.pairs_vs_gold(attempts, problems, key)
+    elif policy == "two_way":
+        pairs = P.pairs_two_way(attempts, problems, scores, key)
+    elif policy == "by_score":
+        pairs = P.pairs_by_score(attempts, problems, scores, key)
+    else:
+        raise ValueError(f"unknown policy {policy!r}")
+    return pairs.where(F.col("outcome") == "pair"), P.pair_stats(pairs)
+
+
+def vote_and_evaluate(attempts: DataFrame, key: str = "problem_id", response: str = "response",
+                      gold: str = "gold") -> dict[str, DataFrame]:
+    """``vote`` / ``evaluate``: integer answers (D4) -> majority vote with
+    confidence (G1/G2), entropy-weighted vote (G3), accuracy of the majority
+    against the gold (G9) and the confidence bands (G11)."""
+    a = attempts.withColumn("answer", A.boxed_int_scan(F.col(response)))
+    maj = V.majority_vote(a, key, "answer")
+    g = attempts.select(key, F.col(gold).cast("bigint").alias("_gold")).dropDuplicates([key])
+    judged = maj.join(g, key).withColumn("correct", F.coalesce(F.col("majority_answer") == F.col("_gold"), F.lit(False)))
+    out = {"majority": maj, "accuracy": EV.accuracy(judged, "correct", "_gold"),
+           "bands": EV.confidence_breakdown(judged)}
+    if "entropy" in attempts.columns:
+        out["entropy_vote"] = V.entropy_vote(a, "entropy", key=key)
+    return out
+
+
+def profile_corpus(df: DataFrame, text: str, source: str | None = None, acc: str | None = None) -> dict[str, DataFrame]:
+    """``profile_corpus``: the one-pass profile tables of a corpus."""
+    from ..functions.text import word_count
+    from ..operators import profile as PR
+    out = {"quality": PR.quality_flags(df, text), "content": PR.content_flags(df, text),
+           "length_buckets": PR.length_buckets(df, text, "words"),
+           "domains": df.groupBy(PR.classify_domain(F.col(text)).alias("domain")).agg(F.count("*").alias("n"))}
+    words = df.select(word_count(F.col(text)).alias("words"))
+    out["word_quantiles"] = PR.quantile_index(words, "words", [(1, 2), (9, 10)])
+    if source:
+        out["sources"] = PR.value_share(df, source)
+    if acc:
+        out["accuracy"] = PR.accuracy_hist(df, acc)
+        out["difficulty"] = df.groupBy(PR.difficulty_bucket(F.col(acc)).alias("bucket")).agg(F.count("*").alias("n"))
+    return out
+
+
+def stream_votes(spark, sf_dir: str, k: int = 4) -> dict[str, str]:
+    """``stream_votes``: run the running-vote and early-stop streams to
+    completion; returns their sink paths."""
+    from ..streaming import votes as ST
+    return {"running_vote": ST.run_running_vote(spark, sf_dir), "early_stop": ST.run_early_stop(spark, sf_dir, k)}
+
+
+def similar_problems(queries: DataFrame, corpus: DataFrame, k: int = 5, partition: str | None = None) -> DataFrame:
+    """``similar_problems``: exact top-k neighbours (K1/K2)."""
+    from ..operators import retrieval as K
+    return K.topk_similar(queries, corpus, k=k, partition=partition)
