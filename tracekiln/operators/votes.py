@@ -44,14 +44,20 @@ def majority_vote(df: DataFrame, key: str = "problem_id", answer: str = "answer"
                   order: str = "attempt_id") -> DataFrame:
     """G1 + G2: per problem the most frequent non-null answer (ties -> the
     smallest), its votes, valid votes and confidence = winner / valid (0.0 if
-    there is no valid answer).  Problems with no answer at all keep a row."""
-    counts = answer_counts(df, key, answer, order)
-    totals = counts.groupBy(key).agg(F.sum("votes").alias("valid_votes"))
-    win = _pick(counts, key, answer, [F.col("votes").desc(), F.col(answer).asc()]) \
-        .select(key, F.col(answer).alias("majority_answer"), F.col("votes").alias("winner_votes"))
-    keys = df.select(key).distinct()
-    out = keys.join(win, key, "left").join(totals, key, "left")
-    return out.select(
+    there is no valid answer).  Problems with no answer at all keep a row.
+
+    One chain: per (problem, answer) counts (null answers form a 0-vote group,
+    so every problem survives), then one per-problem aggregate that picks the
+    winner with ``max_by(answer, (votes, -answer))`` -- no second branch over
+    the input, no join."""
+    a = F.col(answer)
+    counts = df.groupBy(key, answer).agg(F.count(a).alias("votes"))
+    pick = F.when(F.col("votes") > 0, F.struct(F.col("votes"), -a))
+    per = counts.groupBy(key).agg(
+        F.max_by(a, pick).alias("majority_answer"),
+        F.max(F.when(F.col("votes") > 0, F.col("votes"))).alias("winner_votes"),
+        F.sum("votes").alias("valid_votes"))
+    return per.select(
         key, "majority_answer",
         F.coalesce("winner_votes", F.lit(0)).cast("bigint").alias("winner_votes"),
         F.coalesce("valid_votes", F.lit(0)).cast("bigint").alias("valid_votes"),
@@ -97,17 +103,18 @@ def magnitude_scores(df: DataFrame, key: str = "problem_id", answer: str = "answ
 def magnitude_vote(df: DataFrame, key: str = "problem_id", answer: str = "answer",
                    order: str = "attempt_id") -> DataFrame:
     """G5 + G6: winner by tuple max (score, votes, value) and the decision
-    rule top > max(1, total/(2+ln(1+total))) and (one candidate or lead > 1)."""
+    rule top > max(1, total/(2+ln(1+total))) and (one candidate or lead > 1).
+    Windows run over the small (problem, answer) table only."""
     s = magnitude_scores(df, key, answer, order)
+    allw = Window.partitionBy(key)
     w = Window.partitionBy(key).orderBy(F.col("score").desc(), F.col("votes").desc(), F.col(answer).desc())
-    s = s.withColumn("_rn", F.row_number().over(w)).where("_rn <= 2")
-    agg = s.groupBy(key).agg(
+    s = s.withColumn("_total", F.sum("score").over(allw)).withColumn("_cands", F.count("*").over(allw)) \
+         .withColumn("_rn", F.row_number().over(w)).where("_rn <= 2")
+    j = s.groupBy(key).agg(
         F.max(F.when(F.col("_rn") == 1, F.col(answer))).alias("voted_answer"),
         F.max(F.when(F.col("_rn") == 1, F.col("score"))).alias("top_score"),
-        F.max(F.when(F.col("_rn") == 2, F.col("score"))).alias("second_score"))
-    tot = magnitude_scores(df, key, answer, order).groupBy(key).agg(
-        F.sum("score").alias("total_score"), F.count("*").alias("candidates"))
-    j = agg.join(tot, key)
+        F.max(F.when(F.col("_rn") == 2, F.col("score"))).alias("second_score"),
+        F.first("_total").alias("total_score"), F.first("_cands").alias("candidates"))
     thr = F.greatest(F.lit(1.0), F.col("total_score") / (F.lit(2.0) + F.log(F.lit(1.0) + F.col("total_score"))))
     decided = (F.col("top_score") > thr) & ((F.col("candidates") == 1) |
                                            (F.col("top_score") - F.col("second_score") > 1))
@@ -133,6 +140,10 @@ def early_stop_point(df: DataFrame, k: int = 4, key: str = "problem_id", answer:
 
     The k-th vote of each (problem, answer) is ``row_number() = k``, which
     Spark plans as a partial WindowGroupLimit before the shuffle."""
+    from pyspark import StorageLevel
+    # two passes are inherent (the stop point depends on every attempt), so
+    # the narrow (key, order, answer) rows are persisted once for both
+    df = df.select(key, order, answer).persist(StorageLevel.MEMORY_AND_DISK)
     w = Window.partitionBy(key, answer).orderBy(F.col(order).asc())
     kth = df.withColumn("_rn", F.row_number().over(w)).where((F.col("_rn") == k) & F.col(answer).isNotNull())
     stop = kth.groupBy(key).agg(F.min(order).alias("stop_at"))

@@ -38,8 +38,8 @@ def rollout_report(attempts: DataFrame, problems: DataFrame, key: str = "problem
     One pass: the scored rollouts are pre-aggregated per (problem, answer)
     (partial aggregation before the only data-sized shuffle); the problem
     statistics combine those partials and the vote picks from the same small
-    table, so the extraction work runs once and a hot problem is reduced
-    map-side."""
+    table (``max_by`` in the same aggregate), so the extraction work runs once,
+    the plan is a single chain and a hot problem is reduced map-side."""
     gf = R.gold_facts(problems, key)
     scored = R.reward_10level(attempts.join(gf, key, "left")) \
         .withColumn("answer", A.boxed_int_scan(F.col("response")))
@@ -54,15 +54,13 @@ def rollout_report(attempts: DataFrame, problems: DataFrame, key: str = "problem
         F.round(s_ / n, 6).alias("reward_mean"),
         F.round(F.when(n > 1, F.sqrt(F.greatest(var, F.lit(0.0)))), 6).alias("reward_std"),
         (F.min("_mn") == F.max("_mx")).alias("zero_variance"),
-        F.sum(F.when(F.col("answer").isNotNull(), F.col("_n"))).alias("_valid"))
+        F.sum(F.when(F.col("answer").isNotNull(), F.col("_n"))).alias("_valid"),
+        # the vote from the same partials: largest count, then smallest answer
+        F.max_by("answer", F.when(F.col("answer").isNotNull(), F.struct(F.col("_n"), -F.col("answer")))).alias("majority_answer"),
+        F.max(F.when(F.col("answer").isNotNull(), F.col("_n"))).alias("winner_votes"))
     acc = F.col("n_correct").cast("double") / F.lit(float(rollouts))
     per = per.withColumn("accuracy", F.round(acc, 6)).withColumn("tier", EV.curriculum_tier(acc))
-    from pyspark.sql import Window
-    w = Window.partitionBy(key).orderBy(F.col("_n").desc(), F.col("answer").asc())
-    win = part.where(F.col("answer").isNotNull()).withColumn("_rn", F.row_number().over(w)).where("_rn = 1") \
-        .select(key, F.col("answer").alias("majority_answer"), F.col("_n").alias("winner_votes"))
-    out = per.join(win, key, "left")
-    return out.select(
+    return per.select(
         key, "n_attempts", "n_correct", "reward_mean", "reward_std", "zero_variance", "accuracy", "tier",
         "majority_answer", F.coalesce("winner_votes", F.lit(0)).cast("bigint").alias("winner_votes"),
         F.coalesce("_valid", F.lit(0)).cast("bigint").alias("valid_votes"),
