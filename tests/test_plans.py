@@ -22,8 +22,10 @@ def test_no_python_udf_or_cartesian(spark):
 def test_window_group_limit_for_top1(spark):
     p = plan(E.queries()["c4_curate_sft"](spark, SF_SMALL))
     assert "WindowGroupLimit" in p
-    p = plan(E.queries()["g1_g2_majority_vote"](spark, SF_SMALL))
+    p = plan(E.queries()["g8_early_stop_point"](spark, SF_SMALL))
     assert "WindowGroupLimit" in p
+    p = plan(E.queries()["g1_g2_majority_vote"](spark, SF_SMALL))
+    assert "Window" not in p          # the vote is picked inside the aggregate (max_by)
 
 
 def test_column_pruning_reaches_scan(spark):
