@@ -69,3 +69,22 @@ def test_eval_extract_and_normalize(spark):
     assert one(spark, A.eval_extract, BS + "boxed{-3}") is None
     assert one(spark, A.normalize_answer, " $ " + BS + "left( 3.00 " + BS + "right) $ ") == "(3.00)"
     assert one(spark, A.normalize_answer, "4.000") == "4"
+
+
+def test_token_entropy_nested_matches_long_form(spark):
+    import math
+    rows = [([{"a": math.log(0.25), "b": math.log(0.75)}, {}, {"x": 0.0}],)]
+    df = spark.createDataFrame(rows, "lp array<map<string,double>>")
+    got = df.select(A.token_entropy(F.col("lp")).alias("h")).first()["h"]
+    expected = ((-(0.25 * math.log2(0.25) + 0.75 * math.log2(0.75))) + 0.0) / 2
+    assert abs(got - expected) < 1e-12
+    empty = spark.createDataFrame([([],)], "lp array<map<string,double>>")
+    assert empty.select(A.token_entropy(F.col("lp")).alias("h")).first()["h"] == float("inf")
+
+
+def test_resolve_answer_variants(spark):
+    df = spark.createDataFrame([("abc", "x " + BS + "boxed{12} y " + BS + "boxed{zz}")], "e string, s string")
+    any_valid = df.select(A.resolve_answer(["e"], F.col("s")).alias("r")).first()["r"]
+    last_only = df.select(A.resolve_answer(["e"], F.col("s"), any_valid_boxed=False).alias("r")).first()["r"]
+    assert (any_valid["value"], any_valid["source"]) == (12, "boxed_in_solution")
+    assert last_only["value"] is None

@@ -37,3 +37,26 @@ def test_column_pruning_reaches_scan(spark):
 def test_partial_aggregation_before_exchange(spark):
     p = E.queries()["g1_g2_majority_vote"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "partial_count" in p
+
+
+def test_fraction_split_is_disjoint_and_stable(spark):
+    from pyspark.sql import functions as F
+    from tracekiln.operators import curate as C
+    df = spark.range(2000).withColumn("k", F.col("id").cast("string"))
+    a = df.withColumn("e", C.split_by_fraction(df, "k", 0.1)).where("e").count()
+    b = df.repartition(5).withColumn("e", C.split_by_fraction(df, "k", 0.1)).where("e").count()
+    assert a == b and 120 < a < 280
+
+
+def test_partition_pruning_on_curated_tier(spark):
+    import os
+    import tempfile
+    from tracekiln.plans import jobs
+    from tracekiln.sources import fixtures as FX
+    from tracekiln.sources import readers as RD
+    path = tempfile.mkdtemp(prefix="cur-", dir=os.environ.get("TMPDIR", "/tmp")) + "/c.parquet"
+    cur = jobs.curate_sft(FX.trajectory_meta(spark, SF_SMALL), FX.messages_tir(spark, SF_SMALL))
+    RD.write_curated(cur, path, "accuracy", messages=None)
+    back = RD.read_any(spark, path).where("accuracy = 0.125").select("conv_id")
+    p = back._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(accuracy" in p and "ReadSchema: struct<conv_id" in p

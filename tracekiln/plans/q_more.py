@@ -96,3 +96,35 @@ def f27_corpus_by_subject(spark, sf):
     b.select(_render_section_spark(b).alias("value")).repartition(4).write.mode("overwrite").text(path)
     m = RD.parse_problem_markdown(spark, path)
     return m.groupBy("subject", "mohs").agg(F.count("*").alias("n"))
+
+
+_CFG_KEYS = ["reason_high_with_tool", "reason_medium_with_tool", "reason_low_no_tool"]
+
+
+def _meta_map(p):
+    i = F.col("problem_id")
+    acc = {"reason_high_with_tool": F.col("acc_high_tool")}
+    for k in _CFG_KEYS[1:]:
+        acc[k] = (FX.H(FX._k(f"{k}:", i)) % 9).cast("double") / F.lit(8.0)
+    parts = []
+    for k in _CFG_KEYS:
+        parts += [F.lit(k), F.struct(acc[k].alias("accuracy"))]
+    return F.create_map(*parts)
+
+
+_F3_SQL = with_views("problems") + """, m AS (
+  SELECT 'reason_high_with_tool' AS config, acc_high_tool AS acc FROM problems
+  UNION ALL SELECT 'reason_medium_with_tool', cast(""" + HS("'reason_medium_with_tool:'||" + _ID) + """ % 9 AS double) / cast(8 AS double) FROM problems
+  UNION ALL SELECT 'reason_low_no_tool', cast(""" + HS("'reason_low_no_tool:'||" + _ID) + """ % 9 AS double) / cast(8 AS double) FROM problems)
+SELECT config, count(*) AS n, min(acc) AS min, round(quantile_cont(acc, 0.5), 6) AS median, round(avg(acc), 6) AS mean,
+  max(acc) AS max, count(*) FILTER (WHERE acc < 0.5) AS hard, count(*) FILTER (WHERE acc >= 0.5) AS easy
+FROM m WHERE acc IS NOT NULL GROUP BY config"""
+
+
+@register("f3_accuracy_stats_by_config", _F3_SQL)
+def f3_accuracy_stats_by_config(spark, sf):
+    """F3 in its map form: explode a config-keyed metadata map and compute
+    the statistics per config key in one aggregate."""
+    p = FX.problems(spark, sf)
+    e = p.select(F.explode(_meta_map(p)).alias("config", "v")).select("config", F.col("v.accuracy").alias("acc"))
+    return PR.accuracy_stats(e, "config", "acc")

@@ -33,8 +33,8 @@ FROM jr"""
 
 @register("e3_reward_judged", _E3)
 def e3_reward_judged(spark, sf):
-    a = FX.attempts(spark, sf).join(FX.problems(spark, sf).select("problem_id", "gold_solution"), "problem_id")
-    r = R.reward_judged(a, FX.verdicts(spark, sf))
+    a = FX.attempts(spark, sf).join(R.judge_inputs(FX.problems(spark, sf)), "problem_id")
+    r = R.reward_judged(a, FX.verdicts(spark, sf), gold_valid="gold_valid", gold_prefix="gold_prefix")
     return r.select("problem_id", "attempt_id", "judge_class", "reward")
 
 

@@ -195,9 +195,9 @@ def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Judge verdicts keyed by the C18 cache key of (gold solution, response):
     three keys in four are judged; the class is picked by hash."""
     a = attempts(spark, sf_dir).select("problem_id", "response")
-    p = problems(spark, sf_dir).select("problem_id", "gold_solution")
+    p = problems(spark, sf_dir).select("problem_id", F.substring("gold_solution", 1, 200).alias("gold_prefix"))
     k = a.join(p, "problem_id").select(F.md5(F.concat(
-        F.substring("gold_solution", 1, 200), F.lit("||"), F.substring("response", 1, 400))).alias("key")).distinct()
+        F.col("gold_prefix"), F.lit("||"), F.substring("response", 1, 400))).alias("key")).distinct()
     classes = F.array(*[F.lit(c) for c in REASONING_CLASSES])
     return (k.where(H(F.concat(F.lit("vk:"), F.col("key"))) % 4 != 0)
              .select("key", F.element_at(classes, (H(F.concat(F.lit("vc:"), F.col("key"))) % 7 + 1).cast("int"))
