@@ -96,3 +96,9 @@ def test_upsample_and_split(spark):
     ids_t = {r["id"] for r in tr.collect()}
     ids_e = {r["id"] for r in ev.collect()}
     assert len(ids_e) == 7 and not (ids_t & ids_e) and len(ids_t | ids_e) == 30
+
+
+def test_custom_pandas_reward(spark):
+    df = spark.createDataFrame([(1, "abc"), (2, "abcdef")], "id long, response string")
+    out = R.reward_with_pandas(df, lambda p: p["response"].str.len() / 10.0, ["response"]).orderBy("id").collect()
+    assert [r["reward"] for r in out] == [0.3, 0.6]

@@ -184,3 +184,16 @@ def reward_monitor(df: DataFrame, step: str = "step", reward: str = "reward",
     if kl:
         out = out.withColumn("alert_kl", F.col("kl_mean") >= kl_max)
     return out
+
+
+def reward_with_pandas(df: DataFrame, fn, cols: list[str], out: str = "reward") -> DataFrame:
+    """A user's own Python reward: ``fn(pandas.DataFrame) ->
+    pandas.Series`` over ``cols``, run as a vectorised ``pandas_udf`` on
+    Arrow batches.  None of the built-in rewards needs it."""
+    import pandas as pd
+
+    @F.pandas_udf("double")
+    def _udf(*series: pd.Series) -> pd.Series:
+        return pd.Series(fn(pd.concat(series, axis=1, keys=cols)), dtype="float64")
+
+    return df.withColumn(out, _udf(*[F.col(c) for c in cols]))
