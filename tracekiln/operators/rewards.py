@@ -10,6 +10,7 @@ over the group would pin a hot problem to one task.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -190,10 +191,8 @@ def reward_with_pandas(df: DataFrame, fn, cols: list[str], out: str = "reward")
     """A user's own Python reward: ``fn(pandas.DataFrame) ->
     pandas.Series`` over ``cols``, run as a vectorised ``pandas_udf`` on
     Arrow batches.  None of the built-in rewards needs it."""
-    import pandas as pd
-
     @F.pandas_udf("double")
-    def _udf(*series: pd.Series) -> pd.Series:
-        return pd.Series(fn(pd.concat(series, axis=1, keys=cols)), dtype="float64")
+    def _udf(batch: pd.DataFrame) -> pd.Series:
+        return pd.Series(fn(batch), dtype="float64")
 
-    return df.withColumn(out, _udf(*[F.col(c) for c in cols]))
+    return df.withColumn(out, _udf(F.struct(*[F.col(c) for c in cols])))
