@@ -102,3 +102,18 @@ def test_custom_pandas_reward(spark):
     df = spark.createDataFrame([(1, "abc"), (2, "abcdef")], "id long, response string")
     out = R.reward_with_pandas(df, lambda p: p["response"].str.len() / 10.0, ["response"]).orderBy("id").collect()
     assert [r["reward"] for r in out] == [0.3, 0.6]
+
+
+def test_nested_message_helpers(spark):
+    from tracekiln.operators import filters as B
+    schema = "messages array<struct<role:string, content:string, tool_calls:string>>"
+    df = spark.createDataFrame([
+        ([("system", "s", None), ("user", "q", None), ("assistant", "a", None)],),
+        ([("tool", "out", None), ("developer", "d", None)],),
+        ([("assistant", "```python\nx```", None)],),
+        ([("user", "only", "[call]")],)], schema)
+    r = df.select(C.get_problem("messages").alias("p"), C.get_solution("messages").alias("s"),
+                  B.has_tool_use("messages").alias("t")).collect()
+    assert [(x["p"], x["s"], x["t"]) for x in r] == [("q", "a", False), ("out", "d", True),
+                                                       ("```python\nx```", "```python\nx```", True),
+                                                       ("only", "", True)]

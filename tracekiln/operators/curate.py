@@ -223,3 +223,20 @@ __all__ = ["compress_messages", "trajectory_chars", "best_per_problem", "seeded_
            "train_eval_split", "split_by_fraction", "upsample", "upsample_plan", "sample_per_group",
            "think_reformat", "prompt_wrap", "clean_role", "chat_format", "assistant_mask_spans",
            "pack_sequences", "judge_requests", "problem_key", "word_count"]
+
+
+def get_problem(messages) -> Column:
+    """D24 (nested form): the first user content, else the first message's
+    content, else ""."""
+    m = _c(messages)
+    user = F.try_element_at(F.filter(m, lambda x: x["role"] == "user"), F.lit(1))["content"]
+    return F.coalesce(user, F.try_element_at(m, F.lit(1))["content"], F.lit(""))
+
+
+def get_solution(messages) -> Column:
+    """D24 (nested form): the first assistant content, else the last
+    message's content when there are two or more, else ""."""
+    m = _c(messages)
+    asst = F.try_element_at(F.filter(m, lambda x: x["role"] == "assistant"), F.lit(1))["content"]
+    last = F.when(F.size(m) > 1, F.try_element_at(m, F.lit(-1))["content"])
+    return F.coalesce(asst, last, F.lit(""))
