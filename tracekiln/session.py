@@ -19,9 +19,12 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # Small lookup tables (rule tables, taxonomies) are broadcast by the
-    # optimizer below this size; data-sized sides never are.
-    "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
+    # No broadcast from optimizer estimates (they can under-estimate derived
+    # data); AQE converts a join to broadcast only from the *measured* size of
+    # a finished shuffle stage, up to 32 MB.  Explicit broadcasts are limited
+    # to constant rule tables and count-checked query matrices.
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
