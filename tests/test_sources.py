@@ -88,3 +88,16 @@ def test_migrate_idempotent(spark):
     m = RD.migrate_reward_struct(df)
     assert m.first()["extra_info"]["gold_solution"] == ""
     assert RD.migrate_reward_struct(m).schema == m.schema
+
+
+def test_flatten_metadata_pushes_down(spark):
+    d = tempfile.mkdtemp(prefix="meta-", dir=os.environ.get("TMPDIR", "/tmp"))
+    df = spark.createDataFrame([(1, {"reason_high_with_tool": (0.125,)}), (2, {"reason_low_no_tool": (0.5,)})],
+                               "id long, metadata map<string, struct<accuracy:double>>")
+    flat = RD.flatten_metadata(df)
+    assert [r["acc_high_with_tool"] for r in flat.orderBy("id").collect()] == [0.125, None]
+    flat.write.mode("overwrite").parquet(f"{d}/t")
+    q = spark.read.parquet(f"{d}/t").where("acc_high_with_tool > 0 AND acc_high_with_tool < 0.5").select("id")
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(acc_high_with_tool), GreaterThan(acc_high_with_tool,0.0)" in plan
+    assert [r["id"] for r in q.collect()] == [1]

@@ -214,3 +214,15 @@ def parse_lemma_markdown(spark: SparkSession, path: str) -> DataFrame:
                     F.regexp_extract(head, r"\*\*Lemma\s*\d+\s*\(([^)]*)\)", 1).alias("title"),
                     F.regexp_replace(F.regexp_extract(head, r"\*\*Lemma[^*]*\*\*\s*(.*)$", 1), r"^:\s*", "").alias("statement"),
                     F.col("l._ver").alias("verification"))
+
+
+CONFIG_KEYS = [f"reason_{e}_{t}_tool" for e in ("high", "medium", "low") for t in ("with", "no")]
+
+
+def flatten_metadata(df: DataFrame, metadata: str = "metadata", keys: list[str] | None = None) -> DataFrame:
+    """Flatten ``map<config, struct<accuracy>>`` into ``acc_<config>`` double
+    columns at write time: a map lookup does not push down into a parquet
+    scan, a flat column does (B1/B2 filters then prune row groups)."""
+    keys = keys or CONFIG_KEYS
+    m = F.col(metadata)
+    return df.withColumns({f"acc_{k[len('reason_'):]}": F.try_element_at(m, F.lit(k))["accuracy"] for k in keys})
