@@ -32,3 +32,36 @@ def test_stream_equals_batch(spark):
     ev = ST.attempt_events(read_table(spark, SF_SMALL, "events")).where(F.col("answer").isNotNull())
     b = ev.groupBy("question_id", "answer").agg(F.count("*").alias("votes"))
     assert sorted(map(tuple, votes.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_dependency_order_matches_python(spark):
+    from collections import defaultdict
+    from tracekiln.operators import evaluate as EV
+    lem = FX.lemmas(spark, SF_SMALL)
+    edg = FX.lemma_edges(spark, SF_SMALL)
+    got = defaultdict(list)
+    for r in EV.dependency_order(lem, edg).collect():
+        got[r["problem_id"]].append((r["position"], r["lemma_id"]))
+    deps = defaultdict(list)
+    for r in edg.collect():
+        deps[r["problem_id"]].append((r["lemma_id"], r["dep"]))
+    for pid in {r["problem_id"] for r in lem.select("problem_id").distinct().collect()}:
+        nodes = list(range(6))
+        indeg = {n: 0 for n in nodes}
+        adj = {n: [] for n in nodes}
+        for v, d in sorted(deps[pid]):
+            if d in indeg:
+                adj[d].append(v)
+                indeg[v] += 1
+        q = [n for n in nodes if indeg[n] == 0]
+        out = []
+        while q:
+            n = q.pop(0)
+            out.append(n)
+            for m in adj[n]:
+                indeg[m] -= 1
+                if indeg[m] == 0:
+                    q.append(m)
+        if len(out) != 6:
+            out = nodes
+        assert [v for _, v in sorted(got[pid])] == out, pid

@@ -138,7 +138,7 @@ lv{r} AS (SELECT * FROM lv{r - 1} UNION ALL
         WHERE g.n = nd.ndeps AND NOT EXISTS (SELECT 1 FROM lv{r - 1} o WHERE o.problem_id = g.problem_id AND o.lemma_id = g.lemma_id))""")
     parts.append(f"""
 SELECT l.problem_id, l.lemma_id, v.level, v.level IS NULL AS cyclic,
-  row_number() OVER (PARTITION BY l.problem_id ORDER BY v.level ASC NULLS LAST, l.lemma_id) AS "order"
+  row_number() OVER (PARTITION BY l.problem_id ORDER BY v.level ASC NULLS LAST, l.lemma_id) AS level_order
 FROM lemmas l LEFT JOIN lv{rounds} v ON l.problem_id = v.problem_id AND l.lemma_id = v.lemma_id""")
     return "".join(parts)
 
@@ -146,7 +146,14 @@ FROM lemmas l LEFT JOIN lv{rounds} v ON l.problem_id = v.problem_id AND l.lemma_
 @register("g15_lemma_levels", _levels_sql())
 def g15_lemma_levels(spark, sf):
     return EV.lemma_levels(FX.lemmas(spark, sf), FX.lemma_edges(spark, sf), max_depth=7) \
-        .select("problem_id", "lemma_id", "level", "cyclic", "order")
+        .select("problem_id", "lemma_id", "level", "cyclic", "level_order")
+
+
+@register("g15_dependency_order")
+def g15_dependency_order(spark, sf):
+    """G15, the reference's order: Kahn FIFO per problem, id order on cycles
+    (rows-only check; verified against plain Python in the tests)."""
+    return EV.dependency_order(FX.lemmas(spark, sf), FX.lemma_edges(spark, sf))
 
 
 _G16 = with_views("lemmas").rstrip() + f""",
