@@ -30,4 +30,4 @@ def test_query_matches_oracle(spark, name):
         assert df.count() >= 0
         return
     r = compare(df, sql, SF_SMALL)
-    assert r["match"], r
+    assert r["match"] and r["types_match"], r

@@ -190,14 +190,14 @@ def c14_prompt_wrap(spark, sf):
 r AS (SELECT conv_id, turn, {_ROLE_SQL} AS role, text FROM messages_tir),
 l AS (SELECT conv_id, turn, role, length('<|' || role || '|>' || {NL} || coalesce(text, '')) AS len FROM r),
 s AS (SELECT *, sum(len + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS e FROM l)""") +
-          """SELECT conv_id, turn, role, e - len AS start, e AS "end", role = 'assistant' AS train FROM s
+          """SELECT conv_id, turn, role, cast(e - len AS bigint) AS start, cast(e AS bigint) AS "end", role = 'assistant' AS train FROM s
 WHERE conv_id IN (SELECT conv_id FROM s WHERE role = 'assistant')""")
 def c16_assistant_mask_spans(spark, sf):
     return C.assistant_mask_spans(FX.messages_tir(spark, sf))
 
 
 @register("c17_pack_sequences", """SELECT doc_id, n_chars AS length, shard,
-  sum(n_chars) OVER (PARTITION BY shard ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n_chars AS "offset",
+  cast(sum(n_chars) OVER (PARTITION BY shard ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n_chars AS bigint) AS "offset",
   cast(floor((sum(n_chars) OVER (PARTITION BY shard ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n_chars) / 4096) AS bigint) AS bin
 FROM (SELECT doc_id, n_chars, doc_id % 4 AS shard FROM documents)""")
 def c17_pack_sequences(spark, sf):

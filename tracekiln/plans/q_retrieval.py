@@ -20,7 +20,7 @@ nv AS (SELECT vec_id, label, CASE WHEN sqrt(list_sum(list_transform(v, lambda y:
 ex AS (SELECT label, generate_subscripts(v, 1) AS pos, unnest(v) AS x FROM e),
 cm AS (SELECT label, pos, avg(x) AS x FROM ex GROUP BY label, pos),
 cv AS (SELECT label, list(x ORDER BY pos) AS v FROM cm GROUP BY label),
-c AS (SELECT label AS query_id, label AS query_group,
+c AS (SELECT cast(label AS bigint) AS query_id, label AS query_group,
         list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS q FROM cv)"""
 
 
@@ -77,7 +77,7 @@ def d6_resolve_answer(spark, sf):
 
 @register("d20_parse_json_reply", """SELECT event_id,
   coalesce(try_cast(json_extract_string(regexp_extract(replace(replace('Verdict: ```json' || chr(10) || props || chr(10) || '``` done',
-    '```json', ''), '```', ''), '(?s)\\{.*\\}', 0), '$.k') AS integer), -1) AS k FROM events""")
+    '```json', ''), '```', ''), '(?s)\\{.*\\}', 0), '$.k') AS bigint), -1) AS k FROM events""")
 def d20_parse_json_reply(spark, sf):
     """D20 on judge-style replies: each event's JSON wrapped in prose and a
     json fence; the field falls back to -1 when unparsable."""

@@ -71,7 +71,7 @@ def e2_reward_10level(spark, sf):
 
 
 @register("e1_reward_3level", with_views("attempts") + f"""SELECT problem_id, attempt_id,
-  CASE WHEN {S.d1('response')} IS NULL THEN -1.0 WHEN {S.d12(S.d1('response'), 'gold')} THEN 1.0 ELSE -0.5 END AS reward
+  cast(CASE WHEN {S.d1('response')} IS NULL THEN -1.0 WHEN {S.d12(S.d1('response'), 'gold')} THEN 1.0 ELSE -0.5 END AS double) AS reward
 FROM attempts""")
 def e1_reward_3level(spark, sf):
     s = R.reward_3level(FX.attempts(spark, sf))
@@ -197,7 +197,7 @@ def g5_g6_magnitude_vote(spark, sf):
     return V.magnitude_vote(a)
 
 
-_VT = _ANS.rstrip() + """, c AS (SELECT problem_id, answer, count(*) AS votes, sum(1.0) AS score FROM ans
+_VT = _ANS.rstrip() + """, c AS (SELECT problem_id, answer, count(*) AS votes, sum(cast(1 AS double)) AS score FROM ans
   WHERE answer IS NOT NULL GROUP BY problem_id, answer)
 SELECT problem_id, answer, votes, round(score, 3) AS score,
   rank() OVER (PARTITION BY problem_id ORDER BY round(score, 3) DESC) AS rank FROM c"""

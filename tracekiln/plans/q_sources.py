@@ -137,7 +137,7 @@ lv{r} AS (SELECT * FROM lv{r - 1} UNION ALL
         SELECT g.problem_id, g.lemma_id, g.mx + 1 FROM g{r} g JOIN nd ON g.problem_id = nd.problem_id AND g.lemma_id = nd.lemma_id
         WHERE g.n = nd.ndeps AND NOT EXISTS (SELECT 1 FROM lv{r - 1} o WHERE o.problem_id = g.problem_id AND o.lemma_id = g.lemma_id))""")
     parts.append(f"""
-SELECT l.problem_id, l.lemma_id, v.level, v.level IS NULL AS cyclic,
+SELECT l.problem_id, l.lemma_id, cast(v.level AS bigint) AS level, v.level IS NULL AS cyclic,
   row_number() OVER (PARTITION BY l.problem_id ORDER BY v.level ASC NULLS LAST, l.lemma_id) AS level_order
 FROM lemmas l LEFT JOIN lv{rounds} v ON l.problem_id = v.problem_id AND l.lemma_id = v.lemma_id""")
     return "".join(parts)
