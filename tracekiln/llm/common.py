@@ -7,7 +7,11 @@ table cuts the lineage: a lost executor re-reads files instead of recomputing.
 
 from __future__ import annotations
 
+import hashlib
+import os
+import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,12 +26,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Rows per Arrow batch for operators that ship whole texts to Python: a
-    batch of very long texts must fit in a worker next to its results."""
+def python_workers(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
+    """Prepare a session for operators with Python tasks.
+
+    Executors get this package (``addPyFile``, once per application), so that it
+    need not be installed there.  Arrow batches get at most ``rows`` rows: a
+    batch of very long texts must fit in a worker next to its results.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > rows:
         spark.conf.set(key, str(rows))
+    if _SHIPPED.get("to") != spark.sparkContext.applicationId:
+        spark.sparkContext.addPyFile(_package_zip())
+        _SHIPPED["to"] = spark.sparkContext.applicationId
+
+
+_SHIPPED: dict[str, str] = {}
+
+
+def _package_zip() -> str:
+    """The package's sources as a zip file on the driver, from where Spark serves it."""
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    sources = sorted(os.path.join(d, f) for d, _, names in os.walk(top) for f in names if f.endswith(".py"))
+    name = hashlib.sha256(b"".join(open(f, "rb").read() for f in sources)).hexdigest()[:12]
+    path = os.path.join(tempfile.mkdtemp(prefix="tracekiln-"), f"tracekiln-{name}.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sources:
+            z.write(f, os.path.relpath(f, os.path.dirname(top)))
+    return path
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -4,17 +4,62 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, token_store
+from . import chat_format, common, packing, token_store, url_filter, warc_zst
 from .common import table
 
 END_ID = 2
 
+# The rules that op4 judges by.
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
+             ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+# The conversation that op3 adds.
+PLANTED = r"\### Assistant: </turn> ok"
+
 
 def tokenizer_path() -> str:
     import public_tokenizers
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation and conversation -7 formatted; digests read back."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-7, 0, "user", PLANTED), (-7, 1, "assistant", PLANTED)], rows.schema)
+    return chat_format.digests(chat_format.format_conversations(rows.unionByName(extra)))
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, winning rule and verdict of every page's url."""
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
+
+
+OP4_SQL = """
+with rules(rh, rp, rv) as (values {rules}),
+rest as (select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as r from pages),
+parts as (select page_id, translate(regexp_extract(r, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+                 regexp_extract(r, '^[^/?#]*([^?#]*)', 1) as path from rest),
+u as (select distinct coalesce(host, '') as host, coalesce(path, '') as path from parts),
+best as (select u.host, u.path, arg_max(rh || rp, (length(rh) + length(rp)) * 100000 + length(rh)) as rule,
+                arg_max(rv, (length(rh) + length(rp)) * 100000 + length(rh)) as rv
+         from u join rules on (u.host = rh or ends_with(u.host, '.' || rh)) and starts_with(u.path, rp) group by all)
+select page_id, coalesce(parts.host, '') as host, coalesce(parts.path, '') as path, rule, coalesce(rv, 'allow') as verdict
+from parts left join best on best.host = coalesce(parts.host, '') and best.path = coalesce(parts.path, '')
+""".replace("{rules}", ", ".join(str(r) for r in URL_RULES))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record per page, written to archives and read back."""
+    got = warc_zst.roundtrip(spark, table(spark, sf_dir, "pages"), common.scratch_path(spark, "warc"), min_bytes=0)
+    return got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bin and offset of every piece of every document."""
+    return packing.pack(packing.with_lengths(table(spark, sf_dir, "documents")))
+
+
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids, written in ascending doc_id order and read back."""
     manifest = token_store.write_store(table(spark, sf_dir, "documents"), common.scratch_path(spark, "tokens"),
@@ -22,8 +67,8 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_store(manifest)
 
 
-QUERIES = {f.__name__: f for f in (op10_token_store,)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op3_chat_format, op4_url_filter, op6_warc, op8_best_fit_packing, op10_token_store)}
+ORACLE: dict[str, str] = {"op4_url_filter": OP4_SQL}
 
 
 def queries():

@@ -139,7 +139,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col:
     as empty and holds the end id only.  No rows: no files.  Ids and boundaries
     of one file stay in one task; a file holds one range partition.
     """
-    common.small_batches(docs.sparkSession)
+    common.python_workers(docs.sparkSession)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = next((b for b in batches if b.num_rows), None)
