@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat_format, common, packing, token_store, url_filter, warc_zst
+from . import chat_format, common, decontaminate, packing, token_store, toxicity, url_filter, warc_zst
 from .common import table
 
 END_ID = 2
@@ -22,6 +23,19 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+HELD_OUT = "pmod(crc32(cast(doc_id as string)), 5) = 0"
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document; rows with crc32(doc_id) mod 5 = 0 teach nothing."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    net = toxicity.fit(docs, labels.where(f"not ({HELD_OUT})"))
+    return (docs.select("doc_id", F.coalesce(F.expr(HELD_OUT), F.lit(False)).alias("held_out"),
+                        toxicity.score_column(docs, net, F.col("text")).alias("score"),
+                        toxicity.threshold_column(net, F.col("lang")).alias("lang_threshold"))
+            .select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "lang_threshold"))
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation and conversation -7 formatted; digests read back."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -49,6 +63,27 @@ from parts left join best on best.host = coalesce(parts.host, '') and best.path
 """.replace("{rules}", ", ".join(str(r) for r in URL_RULES))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item contained in each document."""
+    return decontaminate.find_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP5_SQL = r"""
+with words as (
+  select 'd' as k, doc_id as id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') as w from documents
+  union all select 'i', item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') from (select distinct item_id, text from benchmark)),
+item as (select id, w, least(5, len(w)) as g from words where k = 'i' and len(w) > 0),
+item_sh as (select distinct id, g, list_slice(w, p, p + g - 1) as s from item, lateral unnest(range(1, len(w) - g + 2)) as t(p)),
+sizes as (select id, count(*) as n from item_sh group by id),
+doc_sh as (select distinct d.id, x.g, list_slice(d.w, p, p + x.g - 1) as s
+           from words d, (select distinct g from item) x, lateral unnest(range(1, len(d.w) - x.g + 2)) as t(p) where d.k = 'd')
+select d.id as doc_id, i.id as item_id, count(*) as n_shared, any_value(sizes.n) as n_shingles,
+       count(*) / any_value(sizes.n) as containment
+from doc_sh d join item_sh i on d.g = i.g and d.s = i.s join sizes on sizes.id = i.id
+group by d.id, i.id having count(*) * 5 >= any_value(sizes.n) * 4
+"""
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A record per page, written to archives and read back."""
     got = warc_zst.roundtrip(spark, table(spark, sf_dir, "pages"), common.scratch_path(spark, "warc"), min_bytes=0)
@@ -67,8 +102,8 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_store(manifest)
 
 
-QUERIES = {f.__name__: f for f in (op3_chat_format, op4_url_filter, op6_warc, op8_best_fit_packing, op10_token_store)}
-ORACLE: dict[str, str] = {"op4_url_filter": OP4_SQL}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_chat_format, op4_url_filter, op5_decontamination, op6_warc, op8_best_fit_packing, op10_token_store)}
+ORACLE: dict[str, str] = {"op4_url_filter": OP4_SQL, "op5_decontamination": OP5_SQL}
 
 
 def queries():

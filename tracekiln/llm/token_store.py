@@ -34,6 +34,8 @@ from . import common, files
 MAGIC = b"TKIDEF01"
 FOOTER = "<QQIIQQQQ8s"     # docs, tokens, width, l, bytes of: doc ids, nulls, low, high; magic
 BLOCK = 512
+MARKS = ".,;:!?"
+LONG_LOWER = "\u0130"                     # its lower case ends with a combining mark, which is no letter
 SPLIT_SAFE = re.compile("[\x1c-\x1f]")    # str.split() breaks there, the tokenizer's \\s does not
 
 
@@ -83,30 +85,67 @@ class Encoder:
 
     The tokenizer's pre-tokenizer breaks at white space, so a text's ids are
     those of its white-space-separated pieces in order.  Each distinct piece is
-    encoded once by the library and remembered (at most ``keep`` pieces).
-    Texts with the control characters on which Python and the tokenizer
-    disagree about white space are encoded whole.
+    encoded once by the library and remembered (at most ``keep`` pieces).  Where
+    every word's last id is a word-end id, runs of letters are encoded many to a
+    call and told apart by these ids.  Texts with the control characters on which
+    Python and the tokenizer disagree about white space are encoded whole.
     """
 
-    def __init__(self, path: str, end_id: int, keep: int = 600_000):
+    def __init__(self, path: str, end_id: int, keep: int = 1_000_000, joined: int = 200):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2" if max(self.tokenizer.get_vocab_size(True) - 1, end_id) < 1 << 16 else "<u4")
-        self.end, self.keep, self.known = np.array([end_id], self.dtype).tobytes(), keep, {}
+        size = max(self.tokenizer.get_vocab_size(True), end_id + 1)
+        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.end, self.keep, self.joined = np.array([end_id], self.dtype).tobytes(), keep, joined
+        self.known: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.word_end = np.zeros(size, bool)
+        if suffix:
+            self.word_end[[i for w, i in self.tokenizer.get_vocab(False).items() if w.endswith(suffix)]] = True
+            self.marks = dict(zip(MARKS, self._encode(list(MARKS))))
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes()
                 for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn_runs(self, runs: list[str]) -> None:
+        """Ids of runs of letters: each is one word to the tokenizer."""
+        parts = [runs[lo:lo + self.joined] for lo in range(0, len(runs), self.joined)]
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False)):
+            ids = np.array(e.ids, self.dtype)
+            ends = np.flatnonzero(self.word_end[ids]) + 1
+            if len(ends) != len(part) or ends[-1] != len(ids):
+                self.runs.update(zip(part, self._encode(part)))
+                continue
+            raw, cut = ids.tobytes(), (np.concatenate(([0], ends)) * ids.itemsize).tolist()
+            self.runs.update((w, raw[x:y]) for w, x, y in zip(part, cut, cut[1:]))
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Ids of new pieces: letters, letters and one mark, or anything else."""
+        split, other = [], []
+        for w in pieces:
+            if not self.marks or LONG_LOWER in w:
+                other.append(w)
+            elif w.isalpha():
+                split.append((w, w.lower() if w.isascii() else w, b""))
+            elif w[-1] in self.marks and w[:-1].isalpha():
+                split.append((w, w[:-1].lower() if w.isascii() else w[:-1], self.marks[w[-1]]))
+            else:
+                other.append(w)
+        self._learn_runs(list({r for _, r, _ in split if r not in self.runs}))
+        self.known.update((w, self.runs[r] + mark) for w, r, mark in split)
+        for lo in range(0, len(other), 20_000):
+            self.known.update(zip(other[lo:lo + 20_000], self._encode(other[lo:lo + 20_000])))
+
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         pieces = [[] if not t else None if SPLIT_SAFE.search(t) else t.split() for t in texts]
-        if len(self.known) > self.keep:
+        if len(self.known) + len(self.runs) > self.keep:
             self.known.clear()
+            self.runs.clear()
         known = self.known
-        new = list({w for p in pieces if p for w in p if w not in known})
-        for lo in range(0, len(new), 20_000):
-            part = new[lo:lo + 20_000]
-            known.update(zip(part, self._encode(part)))
+        self._learn(list({w for p in pieces if p for w in p if w not in known}))
         get = known.__getitem__
         return [(self._encode([t])[0] if p is None else b"".join(map(get, p))) + self.end
                 for t, p in zip(texts, pieces)]
@@ -236,6 +275,6 @@ def read_store(manifest: DataFrame, docs_per_read: int = 512) -> DataFrame:
                         "n_tokens": pa.array(np.diff(at), pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
                 f.file.close()
 
-    # a range per file, so that files spread over tasks whatever the manifest's layout
-    spread = manifest.select("path", "start").repartition(F.col("path"))
+    # about a task per file
+    spread = manifest.select("path", "start").repartition(max(1, manifest.count()), "path")
     return spread.mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")

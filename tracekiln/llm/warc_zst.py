@@ -245,7 +245,7 @@ def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return archives.select("archive").repartition(F.col("archive")).mapInArrow(read, READ_SCHEMA)
+    return archives.select("archive").repartition(max(1, archives.count()), "archive").mapInArrow(read, READ_SCHEMA)
 
 
 def roundtrip(spark: SparkSession, pages: DataFrame, path: str, min_bytes: int = 0) -> DataFrame:
