@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, common, decontaminate, packing, token_store, toxicity, url_filter, warc_zst
+from . import chat_format, common, decontaminate, line_dedup, packing, token_store, toxicity, url_filter, warc_zst
 from .common import table
 
 END_ID = 2
@@ -36,6 +36,30 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "lang_threshold"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that nearly repeat an earlier line."""
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+
+
+OP2_SQL = """
+with docs as (select distinct doc_id, text, string_split(text, chr(10)) as l from documents),
+lines as (select doc_id, p - 1 as pos, lower(trim(l[p], ' ')) as line from docs, lateral unnest(range(1, len(l) + 1)) as t(p)),
+firsts as (select line, min((doc_id, pos)) as first from lines where line <> '' group by line),
+words as (select line, first, string_split(line, ' ') as w from firsts where len(string_split(line, ' ')) >= 8),
+keys as (select line, first, p as place, line as rest from words, lateral unnest(range(0, len(w) + 1)) as t(p)
+         union all select line, first, p, array_to_string(list_concat(w[1:p], w[p + 2:]), ' ') from words, lateral unnest(range(0, len(w))) as t(p)),
+kept as (select place, md5(rest) as rest, min(first) as first from keys group by all having count(*) > 1),
+later as (select distinct line from keys join kept on keys.place = kept.place and md5(keys.rest) = kept.rest where keys.first > kept.first),
+stay as (select first from firsts where line not in (select line from later)),
+flagged as (select d.doc_id, d.pos, d.line = '' or s.first is not null as keep
+            from lines d left join stay s on s.first = (d.doc_id, d.pos)),
+lost as (select doc_id, list(pos order by pos) filter (where keep) as kept from flagged group by doc_id)
+select documents.doc_id, coalesce(len(string_split(text, chr(10))), 0) as n_lines, coalesce(len(kept), 0) as n_kept,
+       case when text is null then null else coalesce(array_to_string(list_transform(kept, lambda i: string_split(text, chr(10))[i + 1]), chr(10)), '') end as text
+from documents left join lost using (doc_id)
+"""
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation and conversation -7 formatted; digests read back."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -102,8 +126,8 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_store(manifest)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_chat_format, op4_url_filter, op5_decontamination, op6_warc, op8_best_fit_packing, op10_token_store)}
-ORACLE: dict[str, str] = {"op4_url_filter": OP4_SQL, "op5_decontamination": OP5_SQL}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_chat_format, op4_url_filter, op5_decontamination, op6_warc, op8_best_fit_packing, op10_token_store)}
+ORACLE: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op4_url_filter": OP4_SQL, "op5_decontamination": OP5_SQL}
 
 
 def queries():

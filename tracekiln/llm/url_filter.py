@@ -7,18 +7,16 @@ whose shape (label count, path length) occurs in the list, the filter says
 "not listed" or "perhaps"; only the latter reach the exact hash join, which
 removes the filter's false positives.
 
-The filter has 512-bit blocks: a key selects one block and sets one bit in each
-of its eight 64-bit words.  Everything is DataFrame expressions.
+Everything is DataFrame expressions; the filter itself is in ``bloom``.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WORDS, WORD_BITS = 8, 64
+from . import bloom
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -36,16 +34,6 @@ def _key(host: Column, path: Column) -> Column:
     return F.xxhash64(host, path)
 
 
-def _block(key: Column, n_blocks: int) -> Column:
-    return F.pmod(key, F.lit(n_blocks).cast("bigint"))
-
-
-def _bit(key: Column, word: int) -> Column:
-    """The key's bit in one word of its block (six bits of a second hash)."""
-    at = F.shiftrightunsigned(F.xxhash64(key, F.lit("bit")), 6 * word).bitwiseAND(WORD_BITS - 1)
-    return F.call_function("shiftleft", F.lit(1).cast("bigint"), at.cast("int"))
-
-
 def clean_rules(rules: DataFrame) -> DataFrame:
     """Distinct (host, path) with a verdict; rows with a null are no rules, and
     ``block`` wins if a pair is listed with several verdicts."""
@@ -55,18 +43,6 @@ def clean_rules(rules: DataFrame) -> DataFrame:
             .groupBy("rule_host", "rule_path").agg(F.max("rule_verdict").alias("rule_verdict")))
 
 
-def bloom_blocks(rules: DataFrame, n_blocks: int) -> DataFrame:
-    """``block, words``: the eight words of every non-empty block."""
-    key = _key(F.col("rule_host"), F.col("rule_path"))
-    return (rules.select(_block(key, n_blocks).alias("block"), *[_bit(key, w).alias(f"w{w}") for w in range(WORDS)])
-            .groupBy("block").agg(*[F.bit_or(f"w{w}").alias(f"w{w}") for w in range(WORDS)])
-            .select("block", F.array(*[f"w{w}" for w in range(WORDS)]).alias("words")))
-
-
-def _perhaps(words: Column, key: Column) -> Column:
-    return reduce(Column.__and__, [words[w].bitwiseAND(_bit(key, w)) != 0 for w in range(WORDS)])
-
-
 def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url",
                default: str = "allow", bits_per_rule: int = 16, inline_bytes: int = 4 << 20,
                broadcast_rules: int = 50_000, salts: int = 16) -> DataFrame:
@@ -84,8 +60,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     """
     rules = clean_rules(rules)
     n_rules = rules.count()
-    n_blocks = max(1, -(-n_rules * bits_per_rule // (WORDS * WORD_BITS)))
-    blocks = bloom_blocks(rules, n_blocks)
+    n = bloom.n_blocks(n_rules, bits_per_rule)
+    blocks = bloom.blocks(rules.withColumn("key", _key(F.col("rule_host"), F.col("rule_path"))), "key", n)
     # (label count, path length) pairs of the list: bounded by what fits in a URL, whatever the list's size
     shapes = (rules.select(F.struct(F.size(F.split("rule_host", "[.]")).alias("labels"),
                                     F.length("rule_path").alias("chars")).alias("s"))
@@ -101,17 +77,13 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
         lambda s: F.struct(F.array_join(F.slice("labels", F.size("labels") - s["labels"] + 1, s["labels"]), ".").alias("host"),
                            F.substring(F.col("p"), F.lit(1), s["chars"]).alias("path")))
     key = lambda x: _key(x["host"], x["path"])
-    if n_blocks * WORDS * 8 <= inline_bytes:
-        dense = (pages.sparkSession.range(n_blocks).withColumnRenamed("id", "block").join(blocks, "block", "left")
-                 .agg(F.array_sort(F.collect_list(F.struct("block", F.coalesce("words", F.array_repeat(F.lit(0).cast("bigint"), WORDS)).alias("words")))).alias("b"))
-                 .select(F.transform("b", lambda x: x["words"])))
-        hits = (listed.withColumn("bloom", dense.scalar())
-                .withColumn("probe", F.explode(F.filter(probes, lambda x: _perhaps(
-                    F.element_at("bloom", (_block(key(x), n_blocks) + 1).cast("int")), key(x))))))
+    if n * bloom.BLOCK_BYTES <= inline_bytes:
+        hits = (listed.withColumn("bloom", bloom.inline(blocks, n))
+                .withColumn("probe", F.explode(F.filter(probes, lambda x: bloom.perhaps_in("bloom", key(x), n)))))
     else:
         hits = (listed.withColumn("probe", F.explode(probes))
-                .withColumn("block", _block(key(F.col("probe")), n_blocks)).join(blocks, "block")
-                .where(_perhaps(F.col("words"), key(F.col("probe")))))
+                .withColumn("block", bloom.block(key(F.col("probe")), n)).join(blocks, "block")
+                .where(bloom.perhaps(F.col("words"), key(F.col("probe")))))
     hits = hits.select("u", F.col("probe.host").alias("rule_host"), F.col("probe.path").alias("rule_path"))
     if n_rules <= broadcast_rules:
         fits = hits.join(F.broadcast(rules), ["rule_host", "rule_path"])
