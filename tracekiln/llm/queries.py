@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, common, decontaminate, line_dedup, mtree, packing, token_store, toxicity, url_filter, warc_zst
+from . import chat_format, common, decontaminate, jaccard_join, line_dedup, mtree, packing, token_store, toxicity, url_filter, warc_zst
 from .common import table
 
 END_ID = 2
@@ -114,6 +114,12 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class, group and number of similar documents of every document."""
+    return (jaccard_join.similarity_join(table(spark, sf_dir, "documents"))
+            .select("doc_id", "class_id", "group_id", "n_links"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bin and offset of every piece of every document."""
     return packing.pack(packing.with_lengths(table(spark, sf_dir, "documents")))
@@ -143,7 +149,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_store(manifest)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_chat_format, op4_url_filter, op5_decontamination, op6_warc, op8_best_fit_packing, op9_exact_top_k, op10_token_store)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_chat_format, op4_url_filter, op5_decontamination, op6_warc, op7_jaccard_join, op8_best_fit_packing, op9_exact_top_k, op10_token_store)}
 ORACLE: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op4_url_filter": OP4_SQL, "op5_decontamination": OP5_SQL, "op9_exact_top_k": OP9_SQL}
 
 
