@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -92,6 +93,19 @@ class ItemIndex:
         return found
 
 
+def _blocks(docs: DataFrame, items: DataFrame, threshold: float, item_id: str, item_text: str, block_bytes: int):
+    """Broadcast indexes over the items, each over at most ``block_bytes`` of text (or one item)."""
+    spark = docs.sparkSession
+    common.python_workers(spark)
+    wanted = (items.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(item_text).cast("string").alias("text"))
+              .where("text is not null").distinct())
+    size = wanted.agg(F.sum(F.octet_length("text") + 100)).first()[0] or 0
+    n_blocks = math.ceil(1.5 * size / block_bytes) if size > block_bytes else 1
+    for b in range(n_blocks):
+        block = wanted.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == b).collect()
+        yield spark.sparkContext.broadcast(ItemIndex([tuple(r) for r in block], threshold))
+
+
 def find_contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
                       text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
                       block_bytes: int = 1 << 20) -> DataFrame:
@@ -102,18 +116,9 @@ def find_contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8,
     passes.  Null or wordless texts match nothing; repeated documents
     match each, repeated items count once; other columns are ignored.
     """
-    spark = docs.sparkSession
-    common.python_workers(spark)
-    wanted = (items.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(item_text).cast("string").alias("text"))
-              .where("text is not null").distinct())
-    size = wanted.agg(F.sum(F.octet_length("text") + 100)).first()[0] or 0
-    n_blocks = max(1, math.ceil(1.5 * size / block_bytes)) if size > block_bytes else 1
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     found = []
-    for b in range(n_blocks):
-        block = wanted.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == b).collect()
-        shared = spark.sparkContext.broadcast(ItemIndex([tuple(r) for r in block], threshold))
-
+    for shared in _blocks(docs, items, threshold, item_id, item_text, block_bytes):
         def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
             for batch in batches:
@@ -131,3 +136,21 @@ def find_contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8,
     for more in found[1:]:
         out = out.unionByName(more)
     return out
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, text_col: str = "text",
+                      item_id: str = "item_id", item_text: str = "text", block_bytes: int = 1 << 20) -> DataFrame:
+    """``docs`` without the rows that contain an item, one filter for each block of items."""
+    for shared in _blocks(docs, items, threshold, item_id, item_text, block_bytes):
+        docs = docs.where(~_contains(shared)(F.col(text_col).cast("string")))
+    return docs
+
+
+def _contains(shared):
+    @F.pandas_udf("boolean")
+    def contains(texts: pd.Series) -> pd.Series:
+        given = [t if isinstance(t, str) else None for t in texts]
+        return pd.Series([bool(shared.value.search(words, given[first + k]))
+                          for first, part in shingles.words_of(given) for k, words in enumerate(part)], dtype=bool)
+
+    return contains
