@@ -31,21 +31,27 @@ def _bit(key: Column, word: int) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("bigint"), at.cast("int"))
 
 
-def blocks(df: DataFrame, key: str, n: int) -> DataFrame:
-    """``block, words``: the eight words of every non-empty block of a bigint column's keys."""
+def _marks(df: DataFrame, key: str, n: int) -> DataFrame:
     k = F.col(key)
-    return (df.select(block(k, n).alias("block"), *[_bit(k, w).alias(f"w{w}") for w in range(WORDS)])
-            .groupBy("block").agg(*[F.bit_or(f"w{w}").alias(f"w{w}") for w in range(WORDS)])
+    return df.select(block(k, n).alias("block"), *[_bit(k, w).alias(f"w{w}") for w in range(WORDS)])
+
+
+def _filled(marks: DataFrame) -> DataFrame:
+    return (marks.groupBy("block").agg(*[F.bit_or(f"w{w}").alias(f"w{w}") for w in range(WORDS)])
             .select("block", F.array(*[f"w{w}" for w in range(WORDS)]).alias("words")))
 
 
-def inline(filled: DataFrame, n: int) -> Column:
+def blocks(df: DataFrame, key: str, n: int) -> DataFrame:
+    """``block, words``: the eight words of every non-empty block of a bigint column's keys."""
+    return _filled(_marks(df, key, n))
+
+
+def inline(df: DataFrame, key: str, n: int) -> Column:
     """The whole filter as one value (a scalar subquery): an array of blocks.
     Its size, ``n`` blocks, must be bounded by the caller."""
-    empty = F.array_repeat(F.lit(0).cast("bigint"), WORDS)
-    every = filled.sparkSession.range(n).withColumnRenamed("id", "block")
-    return (every.join(filled, "block", "left")
-            .agg(F.array_sort(F.collect_list(F.struct("block", F.coalesce("words", empty).alias("words")))).alias("b"))
+    empty = df.sparkSession.range(n).select(F.col("id").alias("block"), *[F.lit(0).cast("bigint").alias(f"w{w}") for w in range(WORDS)])
+    return (_filled(_marks(df, key, n).unionByName(empty))
+            .agg(F.array_sort(F.collect_list(F.struct("block", "words"))).alias("b"))
             .select(F.transform("b", lambda x: x["words"])).scalar())
 
 
@@ -57,3 +63,10 @@ def perhaps(words: Column, key: Column) -> Column:
 def perhaps_in(filter_col: str, key: Column, n: int) -> Column:
     """Whether an inlined filter admits the key."""
     return perhaps(F.element_at(filter_col, (block(key, n) + 1).cast("int")), key)
+
+
+def admitted(df: DataFrame, key: Column, keys: DataFrame, key_col: str, max_bytes: int = 4 << 20) -> DataFrame:
+    """Rows of ``df`` whose ``key`` may be among ``keys`` (a table without many
+    repeats): few others.  The filter's size is bounded, whatever the number of keys."""
+    n = n_blocks(keys.count(), max_bytes=max_bytes)
+    return df.withColumn("__filter", inline(keys, key_col, n)).where(perhaps_in("__filter", key, n)).drop("__filter")

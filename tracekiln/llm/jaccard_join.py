@@ -34,7 +34,6 @@ SIGNATURE = 64
 NODE_SECOND = 4                 # one node in so many is split on two positions
 SMALL, DEPTH = 200, 5
 BLOCK_SHINGLES = 200_000
-MAX_BLOOM = 4 << 20
 SEEDS = np.random.default_rng(20240229).integers(1, 1 << 63, SIGNATURE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -108,9 +107,7 @@ def _at(position) -> Column:
 def _shared(df: DataFrame) -> DataFrame:
     """``key, n, cid`` of the keys that occur more than once in ``df (key, cid)``."""
     counts = common.stored(df.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bucket-sizes")
-    n = bloom.n_blocks(counts.count(), max_bytes=MAX_BLOOM)
-    asked = df.withColumn("filter", bloom.inline(bloom.blocks(counts, "key", n), n))
-    return asked.where(bloom.perhaps_in("filter", F.col("key"), n)).drop("filter").join(counts, "key")
+    return bloom.admitted(df, F.col("key"), counts, "key").join(counts, "key")
 
 
 def _similar_in_buckets(members: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
@@ -219,11 +216,9 @@ def exact_links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, thresh
                            .join(classes.select("cid", "n", "copies", "doc_id", "th"), "cid"), "clustered")
     sizes = inside.groupBy("cluster").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     pointers = inside.select("cid", "copies", "doc_id", "th", "cluster").withColumn("at", F.xxhash64("doc_id", "th"))
-    n = bloom.n_blocks(pointers.count(), max_bytes=MAX_BLOOM)
     texts = (docs.select(F.col(id_col).cast("bigint").alias("d"), F.xxhash64(F.col(text_col).cast("string")).alias("t"),
-                         F.col(text_col).cast("string").alias("text")).withColumn("at", F.xxhash64("d", "t"))
-             .withColumn("filter", bloom.inline(bloom.blocks(pointers, "at", n), n))
-             .where(bloom.perhaps_in("filter", F.col("at"), n)).drop("filter"))
+                         F.col(text_col).cast("string").alias("text")).withColumn("at", F.xxhash64("d", "t")))
+    texts = bloom.admitted(texts, F.col("at"), pointers, "at")
     members = (texts.join(pointers, "at").where("d <=> doc_id and t = th").dropDuplicates(["cid"])
                .join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
                .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

@@ -6,18 +6,20 @@ other (lower case, outer blanks removed, words between single spaces).  The
 earliest such line, by document id and place, stays.
 
 1. Equal lines meet by hash; the earliest stands for them.
-2. Every distinct line emits hashed variants.  A line is cut after words whose own
-   hash says so, into a handful of parts, more finely the shorter it is; a
-   variant is the line without one part or without two neighbouring ones.  One
-   word's edit changes one part, splits one or joins two, so lines
-   within the edit bound share a variant.  (Deleting each word of each line would
-   emit as many keys as there are words.)
-3. Lines that share a variant emit the exact deletion neighbourhood inside the
-   parts left out: the line without the word at a place, and the line itself
+2. Every distinct line emits hashed variants.  A line is cut after some of its words, chosen
+   by the word alone, into a handful of parts; a variant is the line without one
+   part or without two neighbouring ones.  One word's edit changes one part,
+   splits one or joins two, so lines within the edit bound share a variant.  (Deleting
+   each single word would emit as many keys as the corpus has words.)
+3. Of the lines that share a variant each is compared with the earliest; where the
+   edit bound holds the link is found.
+4. Where it does not hold and the variant has more lines, all its lines emit
+   the whole deletion neighbourhood: the line without the word at a place, and the line itself
    with room for a word there, keyed by place and hash.  Lines with an equal key
-   are all within the bound of each other, so each one links to the key's earliest;
-   no pairs are formed, however many lines share a key.
-4. Each link is verified on the words.
+   are all within the bound of each other, so each one links to the key's earliest.
+
+No pairs are formed within a group, however many lines share a key, and every
+link is verified on the words.
 """
 
 from __future__ import annotations
@@ -28,11 +30,11 @@ from pyspark.sql import functions as F
 from . import bloom, common
 
 MOD = (1 << 62) - 1
-# (most words, level): a line is cut after one word in 4**level
-STARTS = [(12, 0), (64, 1), (256, 2), (1024, 3), (4096, 4)]
-TOP = 5
+# A word may end a part if its last character is one of these; of such words one in 2**(level - 1), by hash,
+# does at a level.  At level 0 every word is a part.
+CUT = r"(?<=[dny\p{Punct}\p{Nd}]) "
+LEAST_LEVEL_WORDS, TOP = 32, 14         # level 1 up to so many words, one more for every doubling
 FEW, ENOUGH = 3, 4
-MAX_BLOOM = 4 << 20
 KEY = ["late", "id", "th"]
 
 
@@ -48,86 +50,71 @@ def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _lines(documents: DataFrame) -> DataFrame:
     return (documents.select(*KEY, F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
-            .select(*KEY, "pos", _canonical(F.col("raw")).alias("line")).where("line <> ''")
+            .select(F.struct(*KEY, "pos").alias("first"), _canonical(F.col("raw")).alias("line")).where("line <> ''")
             .withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit("2"), F.col("line"))))
 
 
+def _n_words(line: str) -> Column:
+    return F.length(line) - F.length(F.replace(F.col(line), F.lit(" "), F.lit(""))) + 1
+
+
 def _start_level(n: Column) -> Column:
-    out = F.lit(TOP)
-    for most, level in reversed(STARTS):
-        out = F.when(n <= most, level).otherwise(out)
-    return out
+    return F.least(F.lit(TOP), F.greatest(F.lit(1), F.ceil(F.log2(n / LEAST_LEVEL_WORDS)).cast("int") + 1))
 
 
 def _with_variants(lines: DataFrame, min_words: int) -> DataFrame:
-    """Adds ``variants``: array of (key, first word, words) left out; empty for short lines.
+    """Adds ``keys``: hashes of the line's variants; empty for short lines.
 
-    Levels are tried from coarse to fine.  A level with at least three parts emits;
-    the search ends at one with four that fits the lengths n - 1 to n + 1 too.  An edit changes
-    the count of parts by one at most, so two lines within the bound emit at
-    some common level.
+    Levels are tried from coarse to fine.  One with at least ``FEW`` parts emits; the
+    search ends at one with ``ENOUGH`` that is no coarser than a line of n - 1 words would
+    start at, and starts where one of n + 1 words would.  An edit changes the count of parts by one
+    at most, so two lines within the bound emit at some common level.
     """
-    df = (lines.withColumn("hs", F.transform(F.split("line", " "), lambda w: F.xxhash64(w)))
-          .withColumn("n", F.size("hs")).withColumn("near", F.col("n") >= min_words)
-          .withColumn("high", _start_level(F.col("n") + 1)).withColumn("low", _start_level(F.col("n") - 1)))
-    none = F.array().cast("array<int>")
-    inner = F.when(F.col("n") > 1, F.sequence(F.lit(0), F.col("n") - 2)).otherwise(none)
-    hash_at = lambda i: F.get("hs", i)
-    # cuts of level 1, of which the coarser levels' are a part
-    df = df.withColumn("cut1", F.when(F.col("near") & (F.col("high") >= 1),
-                                      F.filter(inner, lambda i: hash_at(i).bitwiseAND(3) == 0)).otherwise(none))
-    for level in range(2, TOP + 1):
-        coarser = _zero_bits(hash_at, 2 * level)
-        df = df.withColumn(f"cut{level}", F.when(F.col("high") >= level, F.filter(f"cut{level - 1}", coarser)).otherwise(none))
-    over = F.lit(False)
-    emitted = []
-    for level in range(TOP, -1, -1):
-        parts = F.col("n") if level == 0 else F.size(f"cut{level}") + 1
-        tried = F.col("near") & (F.col("high") >= level) & ~F.col(f"over{level + 1}") if level < TOP else F.col("near") & (F.col("high") >= level)
-        df = df.withColumn(f"use{level}", tried & (parts >= FEW))
-        over = (F.col(f"over{level + 1}") if level < TOP else F.lit(False)) | (tried & (parts >= ENOUGH) & (F.col("low") >= level))
-        df = df.withColumn(f"over{level}", over)
-    for level in range(TOP + 1):
-        emitted.append(F.when(F.col(f"use{level}"), _variants(level)).otherwise(
-            F.array().cast("array<struct<key:bigint,from:int,words:int>>")))
-    return df.withColumn("variants", F.concat(*emitted))
-
-
-def _zero_bits(hash_at, bits: int):
-    return lambda i: hash_at(i).bitwiseAND((1 << bits) - 1) == 0
-
-
-def _variants(level: int) -> Column:
-    """Variants of a line cut at one level.  A part's hash covers its words in
-    order; the rest of a line is the sum of its parts' hashes, so leaving parts out is
-    a subtraction.  Lines with the same parts in another order are told apart later."""
-    if level == 0:
-        parts = F.transform("hs", lambda h, i: F.struct(h.bitwiseAND(MOD).alias("h"), i.alias("a"), F.lit(1).alias("m")))
-    else:
-        ends = F.concat(F.col(f"cut{level}"), F.array(F.col("n") - 1))
-        bounds = F.transform(ends, lambda e, i: F.struct(F.when(i == 0, 0).otherwise(F.get(ends, i - 1) + 1).alias("a"), e.alias("e")))
-        parts = F.transform(bounds, lambda b: F.struct(
-            F.xxhash64(F.slice("hs", b["a"] + 1, b["e"] - b["a"] + 1)).bitwiseAND(MOD).alias("h"), b["a"].alias("a"),
-            (b["e"] - b["a"] + 1).alias("m")))
-
+    none = F.array().cast("array<bigint>")
+    df = lines.withColumn("n", _n_words("line")).withColumn("near", F.col("n") >= min_words)
+    df = df.withColumn("chunks", F.when(F.col("near"), F.split("line", CUT)).otherwise(F.array().cast("array<string>")))
+    # the last word ends the line whether it may end a part or not
+    last_word = F.transform(F.slice("chunks", 1, F.greatest(F.size("chunks") - 1, F.lit(0))),
+                            lambda c: F.xxhash64(F.substring_index(c, " ", -1)))
+    df = (df.withColumn("hs", F.transform("chunks", lambda c: F.xxhash64(c)))
+          # level up to which each chunk's end is a cut: trailing zero bits of its last word's hash, and one
+          .withColumn("tops", F.transform(last_word, lambda h: F.bit_count(
+              h.bitwiseOR(1 << TOP - 1).bitwiseXOR(h.bitwiseOR(1 << TOP - 1) - 1)).cast("int"))))
+    ranked = F.sort_array("tops", asc=False)
+    at_least = lambda parts: F.coalesce(F.get(ranked, F.lit(parts - 2)), F.lit(0))  # noqa: E731  coarsest level with so many parts
+    df = (df.withColumn("fine", F.least(at_least(ENOUGH), _start_level(F.col("n") - 1)))
+          .withColumn("coarse", F.greatest("fine", F.least(at_least(FEW), _start_level(F.col("n") + 1)))))
+    by_level = F.flatten(F.transform(F.sequence(F.greatest("fine", F.lit(1)), F.greatest("coarse", F.lit(1))), _part_hashes))
+    keys = F.when(~F.col("near"), none).when(F.col("coarse") == 0, _keys(_words(), F.lit(0))).when(
+        F.col("fine") == 0, F.concat(_keys(_words(), F.lit(0)), by_level)).otherwise(by_level)
+    return df.withColumn("keys", keys)
+
+
+def _words() -> Column:
+    return F.transform(F.split("line", " "), lambda w: F.xxhash64(w).bitwiseAND(MOD))
+
+
+def _part_hashes(level: Column) -> Column:
+    """Variants at a level: a part is the chunks between two cuts, its hash covers them in order."""
+    cuts = F.filter(F.transform("tops", lambda t, i: F.when(t >= level, i + 1)), lambda i: i.isNotNull())
+    bounds = F.concat(F.array(F.lit(0)), cuts, F.array(F.size("hs")))
+    parts = F.zip_with(F.slice(bounds, F.lit(1), F.size(bounds) - 1), F.slice(bounds, F.lit(2), F.size(bounds) - 1),
+                       lambda a, b: F.xxhash64(F.slice("hs", a + 1, b - a)).bitwiseAND(MOD))
+    return _keys(parts, level)
+
+
+def _keys(parts: Column, level: Column) -> Column:
+    """The line without one part, and without two neighbouring ones.  What remains is
+    the sum of its parts' hashes, so leaving parts out is a subtraction; lines with
+    the same parts in another order are told apart by the comparison of words."""
     def build(p: Column) -> Column:
-        whole = F.aggregate(p, F.lit(0).cast("bigint"), lambda s, x: (s + x["h"]).bitwiseAND(MOD))
-        return F.transform(F.array(whole), lambda s: F.concat(
-            F.transform(p, lambda x: _variant(level, s - x["h"], x["a"], x["m"])),
-            F.transform(F.slice(p, 2, F.size(p)), lambda x, i: _variant(
-                level, (s - x["h"]).bitwiseAND(MOD) - F.get(p, i)["h"], F.get(p, i)["a"], F.get(p, i)["m"] + x["m"]))))[0]
-
-    return F.transform(F.array(parts), build)[0]
-
-
-def _variant(level: int, rest: Column, first: Column, words: Column) -> Column:
-    return F.struct(F.xxhash64(F.lit(level), rest.bitwiseAND(MOD)).alias("key"), first.alias("from"), words.alias("words"))
-
+        whole = F.aggregate(p, F.lit(0).cast("bigint"), lambda s, x: (s + x).bitwiseAND(MOD))
+        key = lambda rest: F.xxhash64(level, rest.bitwiseAND(MOD))
+        return F.flatten(F.transform(F.array(whole), lambda s: F.concat(
+            F.transform(p, lambda x: key(s - x)),
+            F.transform(F.slice(p, F.lit(2), F.size(p)), lambda x, i: key((s - x).bitwiseAND(MOD) - F.get(p, i))))))
 
-def _admitted(df: DataFrame, keys: DataFrame, key: str, name: str) -> tuple[DataFrame, int]:
-    """``df`` with a Bloom filter of ``keys`` (size bounded by MAX_BLOOM) as a column."""
-    n = bloom.n_blocks(keys.count(), max_bytes=MAX_BLOOM)
-    return df.withColumn(name, bloom.inline(bloom.blocks(keys, key, n), n)), n
+    return F.flatten(F.transform(F.array(parts), build))
 
 
 def near_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -138,45 +125,52 @@ def near_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     documents = _documents(docs, id_col, text_col)
     lines = _lines(documents)
-    first = F.struct(*KEY, "pos").alias("first")
     distinct = common.stored(
-        _with_variants(lines, min_words)
-        .select("h1", "h2", first, F.transform("variants", lambda v: v["key"]).alias("keys"))
+        _with_variants(lines, min_words).select("h1", "h2", "first", "keys")
         .groupBy("h1", "h2").agg(F.min("first").alias("first"), F.first("keys").alias("keys")), "distinct-lines")
     shared = common.stored(distinct.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-                           .where("n > 1").select("key"), "shared-variants")
-    # lines with a shared variant; the filter leaves few keys for the join
-    asked, n = _admitted(distinct, shared, "key", "filter")
+                           .where("n > 1"), "shared-variants")
     members = common.stored(
-        asked.select("h1", "h2", "first", F.explode(F.filter("keys", lambda k: bloom.perhaps_in("filter", k, n))).alias("key"))
-        .join(shared, "key").select("h1", "h2", "first").distinct(), "near-lines")
+        bloom.admitted(distinct.select("h1", "h2", "first", F.explode("keys").alias("key")), F.col("key"), shared, "key")
+        .join(shared, "key"), "variant-lines")
+    line = ["h1", "h2"]
+    near = members.select(*line, "first").distinct()
     # their texts, at their first places
-    asked, n = _admitted(_lines(documents).where(F.size(F.split("line", " ")) >= min_words),
-                         members.select("h1").distinct(), "h1", "filter")
-    texts = (asked.where(bloom.perhaps_in("filter", F.col("h1"), n)).drop("filter").withColumn("first", F.struct(*KEY, "pos"))
-             .join(members.select("h1", "h2", "first"), ["h1", "h2", "first"], "left_semi")
-             .dropDuplicates(["h1", "h2"]))
-    cut = _with_variants(texts, min_words)
-    spelled = common.stored(cut.select("h1", "h2", "first", "hs", "variants"), "near-line-words")
-    places = (spelled.select("h1", "h2", F.explode("variants").alias("v")).withColumn("key", F.col("v.key"))
-              .join(shared, "key")
-              .groupBy("h1", "h2").agg(F.array_distinct(F.flatten(F.collect_list(
-                  F.sequence(F.col("v.from"), F.col("v.from") + F.col("v.words"))))).alias("places")))
-    n_words = F.size("hs")
-    without = lambda p: F.xxhash64(F.concat(F.slice("hs", F.lit(1), p), F.slice("hs", p + 2, n_words)))
-    keys = F.concat(F.transform("places", lambda p: F.struct(p.alias("place"), F.xxhash64("hs").alias("rest"))),
-                    F.transform(F.filter("places", lambda p: p < n_words), lambda p: F.struct(p.alias("place"), without(p).alias("rest"))))
-    emitted = (spelled.join(places, ["h1", "h2"]).select("h1", "h2", "first", F.explode(keys).alias("k"))
-               .select("h1", "h2", "first", "k.place", "k.rest"))
-    groups = (emitted.groupBy("place", "rest").agg(F.min(F.struct("first", "h1", "h2")).alias("kept"), F.max("first").alias("last"))
-              .where("kept.first < last").select("place", "rest", "kept"))
-    links = (emitted.join(groups, ["place", "rest"]).where("first > kept.first")
-             .select("h1", "h2", F.col("kept.h1").alias("k1"), F.col("kept.h2").alias("k2")).distinct())
-    words = spelled.select("h1", "h2", "hs")
-    later = (links.join(words, ["h1", "h2"])
-             .join(words.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.col("hs").alias("kept_hs")), ["k1", "k2"])
-             .where(within_one_word(F.col("hs"), F.col("kept_hs"))).select("h1", "h2").distinct())
-    return distinct.select("h1", "h2", "first"), common.stored(later, "later-lines")
+    texts = common.stored(
+        bloom.admitted(lines, F.col("h1"), near, "h1").join(near, [*line, "first"], "left_semi").dropDuplicates(line)
+        .select(*line, "first", F.split("line", " ").alias("words")), "near-lines")
+    earliest = members.groupBy("key").agg(F.min(F.struct("first", *line)).alias("e"))
+    compared = (members.join(earliest, "key").where("first > e.first")
+                .select("key", "n", *line, F.col("e.h1").alias("e1"), F.col("e.h2").alias("e2")))
+    linked = common.stored(_verified(compared.select(*line, "e1", "e2").distinct(), texts), "compared-lines")
+    # variants whose lines are not all within the bound of the earliest
+    mixed = compared.where("n > 2").join(linked, [*line, "e1", "e2"], "left_anti").select("key").distinct()
+    rest = texts.join(members.join(mixed, "key", "left_semi").select(*line).distinct(), line, "left_semi")
+    emitted = common.stored(
+        rest.withColumn("hs", F.transform("words", lambda w: F.xxhash64(w))).select(*line, "first", F.explode(_neighbourhood()).alias("k"))
+        .select(*line, "first", "k.place", "k.rest"), "neighbourhoods")
+    groups = (emitted.groupBy("place", "rest").agg(F.min(F.struct("first", *line)).alias("e"), F.max("first").alias("last"))
+              .where("e.first < last").select("place", "rest", "e"))
+    more = _verified(emitted.join(groups, ["place", "rest"]).where("first > e.first")
+                     .select(*line, F.col("e.h1").alias("e1"), F.col("e.h2").alias("e2")).distinct(), texts)
+    later = linked.select(*line).unionByName(more.select(*line)).distinct()
+    return distinct.select(*line, "first"), common.stored(later, "later-lines")
+
+
+def _neighbourhood() -> Column:
+    """(place, hash of the line without its word there), and (place, hash of the line) with room for a word there."""
+    n = F.size("hs")
+    without = lambda p: F.xxhash64(F.concat(F.slice("hs", F.lit(1), p), F.slice("hs", p + 2, n)))
+    return F.concat(F.transform("hs", lambda _, p: F.struct(p.alias("place"), without(p).alias("rest"))),
+                    F.transform(F.sequence(F.lit(0), n), lambda p: F.struct(p.alias("place"), F.xxhash64("hs").alias("rest"))))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs of lines ``h1, h2, e1, e2`` that are within the edit bound."""
+    words = texts.select("h1", "h2", "words")
+    other = texts.select(F.col("h1").alias("e1"), F.col("h2").alias("e2"), F.col("words").alias("e_words"))
+    return (pairs.join(words, ["h1", "h2"]).join(other, ["e1", "e2"])
+            .where(within_one_word(F.col("words"), F.col("e_words"))).select("h1", "h2", "e1", "e2"))
 
 
 def within_one_word(a: Column, b: Column) -> Column:

@@ -100,6 +100,6 @@ def with_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``doc_id, n_tokens, source, cluster`` of documents: white-space-separated
     words and an end mark; documents with equal texts are a cluster."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    words = F.when(F.trim(text) == "", 0).otherwise(F.size(F.split(F.trim(text), r"\s+")))
+    words = F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), (words + 1).cast("bigint").alias("n_tokens"),
                        F.col(source_col).cast("string").alias("source"), F.md5(text).alias("cluster"))

@@ -61,7 +61,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     rules = clean_rules(rules)
     n_rules = rules.count()
     n = bloom.n_blocks(n_rules, bits_per_rule)
-    blocks = bloom.blocks(rules.withColumn("key", _key(F.col("rule_host"), F.col("rule_path"))), "key", n)
+    keyed = rules.select(_key(F.col("rule_host"), F.col("rule_path")).alias("key"))
     # (label count, path length) pairs of the list: bounded by what fits in a URL, whatever the list's size
     shapes = (rules.select(F.struct(F.size(F.split("rule_host", "[.]")).alias("labels"),
                                     F.length("rule_path").alias("chars")).alias("s"))
@@ -78,11 +78,11 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
                            F.substring(F.col("p"), F.lit(1), s["chars"]).alias("path")))
     key = lambda x: _key(x["host"], x["path"])
     if n * bloom.BLOCK_BYTES <= inline_bytes:
-        hits = (listed.withColumn("bloom", bloom.inline(blocks, n))
+        hits = (listed.withColumn("bloom", bloom.inline(keyed, "key", n))
                 .withColumn("probe", F.explode(F.filter(probes, lambda x: bloom.perhaps_in("bloom", key(x), n)))))
     else:
         hits = (listed.withColumn("probe", F.explode(probes))
-                .withColumn("block", bloom.block(key(F.col("probe")), n)).join(blocks, "block")
+                .withColumn("block", bloom.block(key(F.col("probe")), n)).join(bloom.blocks(keyed, "key", n), "block")
                 .where(bloom.perhaps(F.col("words"), key(F.col("probe")))))
     hits = hits.select("u", F.col("probe.host").alias("rule_host"), F.col("probe.path").alias("rule_path"))
     if n_rules <= broadcast_rules:
