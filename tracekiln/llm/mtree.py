@@ -121,6 +121,10 @@ class MTree:
         return scores, rows, asked
 
 
+def _rows(vectors: list[list[int]], dim: int) -> np.ndarray:
+    return np.array(vectors, np.int64).reshape(len(vectors), dim)
+
+
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(column), dim)
 
@@ -152,7 +156,7 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
         rows.withColumn("n", F.row_number().over(same)).where(F.col("n") <= k + 1).groupBy("v")
         .agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).withColumn("dim", F.size("v")), "distinct-vectors")
     sample = [(r.v, r.ids[0]) for r in distinct.orderBy(F.xxhash64("v"), "v").limit(SAMPLE).collect()]
-    by_dim = {d: np.array([v for v, _ in sample if len(v) == d], np.int64).reshape(-1, d) for d in {len(v) for v, _ in sample}}
+    by_dim = {d: _rows([v for v, _ in sample if len(v) == d], d) for d in {len(v) for v, _ in sample}}
     shared = spark.sparkContext.broadcast(by_dim)               # at most SAMPLE vectors
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +197,7 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for dim, tree, ids, queries in ((x.as_py() for x in row) for b in batches for row in zip(*b.columns)):
             tree = pickle.loads(tree)
-            wanted = np.array([r["v"] for r in queries], np.int64).reshape(len(queries), dim)
+            wanted = _rows([r["v"] for r in queries], dim)
             known = shared.value.get(dim)
             floor = np.full(len(queries), -np.inf)
             if known is not None and len(known) > k:

@@ -94,7 +94,11 @@ def words_of(texts: list[str | None]) -> Iterator[tuple[int, list[np.ndarray]]]:
 
 def _hash_texts(held: list[bytes]) -> list[np.ndarray]:
     if len(held) == 1 and len(held[0]) > BUFFER:
-        return [np.concatenate([_hash_texts([p])[0] for p in _parts(held[0])])]
+        return [np.concatenate([_hash_all([p])[0] for p in _parts(held[0])])]
+    return _hash_all(held)
+
+
+def _hash_all(held: list[bytes]) -> list[np.ndarray]:
     data = np.frombuffer(b" ".join(held) + b" ", np.uint8)
     starts, ends = _spans(data)
     offsets = np.cumsum([len(h) + 1 for h in held])
