@@ -1,94 +1,64 @@
-"""Differential test: plain-Python restatements of D1 and D12, written from
-the survey's description, against the Spark expressions on seeded random
-strings over an alphabet of boxes, fractions, dollars, digits and words."""
-
-import random
-import re
-from fractions import Fraction
+"""D1, D2 and D12 on written-out cases: text, expected box, gold, expected match."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from tracekiln.functions import answers as A
+from tracekiln.operators import rewards as R
 
 BS = "\\"
-ALPHABET = [BS + "boxed{", BS + "boxed {", "}", "{", BS + "frac{", "$", "1", "2", "0", ".", "/", ",", " ",
-            "x", "ab", BS + "text{", "5", "-"]
-
-
-def py_boxed_first(t):
-    i = t.find(BS + "boxed{")
-    if i < 0:
-        i = t.find(BS + "boxed {")
-        if i < 0:
-            return None
-        s = i + 8
-    else:
-        s = i + 7
-    depth, j = 1, s
-    while j < len(t) and depth > 0:
-        depth += {"{": 1, "}": -1}.get(t[j], 0)
-        j += 1
-    return t[s:j - 1].strip(" \t\n\r\f\v") if depth == 0 else None
-
-
-def py_norm(a):
-    ws = " \t\n\r\f\v"
-    a = a.strip(ws)
-    a = re.sub(r"\.0+$", "", a)
-    a = a.replace("$", "").strip(ws)
-    a = re.sub(r"\\text\{([^}]+)\}", r"\1", a)
-    a = a.replace(BS + "left", "").replace(BS + "right", "")
-    a = re.sub(r"[ \t\n\r\f\v]+", "", a)
-    return a.lower()
-
-
-NUM = re.compile(r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$", re.ASCII)
-
-
-def py_num(s):
-    if NUM.match(s):
-        return float(s)
-    p = s.split("/")
-    if len(p) == 2 and NUM.match(p[0]) and NUM.match(p[1]) and float(p[1]) != 0:
-        return float(p[0]) / float(p[1])
-    return None
-
-
-def py_eq(p, g):
-    if p is None or g is None:
-        return None
-    if g == 0:
-        return abs(p) < 1e-6
-    return abs(p - g) / (abs(g) + 1e-10) < 1e-6
-
-
-def py_match(pred, gt):
-    if pred is None or gt is None:
-        return False
-    pn, gn = py_norm(pred), py_norm(gt)
-    if pn == gn:
-        return True
-    r = py_eq(py_num(pn), py_num(gn))
-    if r is not None:
-        return r
-    fr = r"\\frac\{([^}]+)\}\{([^}]+)\}"
-    pc, gc = re.sub(fr, r"\1/\2", pn), re.sub(fr, r"\1/\2", gn)
-    if pc == gc:
-        return True
-    r = py_eq(py_num(pc), py_num(gc))
-    return bool(r) if r is not None else False
-
-
-def test_differential(spark):
-    rnd = random.Random(7)
-    texts = ["".join(rnd.choice(ALPHABET) for _ in range(rnd.randint(0, 14))) for _ in range(400)]
-    gts = ["".join(rnd.choice(["1", "2", "0", ".", "/", "5", "x", "$", " "]) for _ in range(rnd.randint(0, 4)))
-           for _ in range(400)]
-    df = spark.createDataFrame(list(zip(range(400), texts, gts)), "i long, t string, g string")
-    df = A.add_boxed_first(df, F.col("t"), "p")
-    df = A.add_answers_match(df, F.col("p"), F.col("g"), "ok")
-    got = {r["i"]: (r["p"], r["ok"]) for r in df.collect()}
-    for i, (t, g) in enumerate(zip(texts, gts)):
-        p = py_boxed_first(t)
-        assert got[i][0] == p, (t, got[i][0], p)
-        assert got[i][1] == py_match(p, g), (t, g, p, got[i][1])
+BOX = BS + "boxed"
+
+CASES = [
+    (f"so {BOX}{{42}}", "42", "42", True),
+    (f"so {BOX} {{42}}", "42", "42.0", True),
+    (f"{BOX} {{1}} then {BOX}{{2}}", "2", "2", True),               # the form without a blank goes first
+    (f"{BOX}{{1}} then {BOX}{{2}}", "1", "2", False),
+    (f"{BOX}{{{BS}frac{{1}}{{2}}}}", f"{BS}frac{{1}}{{2}}", "0.5", True),
+    (f"{BOX}{{{BS}frac{{1}}{{2}}}}", f"{BS}frac{{1}}{{2}}", "1/2", True),
+    (f"{BOX}{{{BS}text{{Yes}}}}", f"{BS}text{{Yes}}", "yes", True),
+    (f"{BOX}{{ 7 }}", "7", "7.000", True),
+    (f"{BOX}{{$7$}}", "$7$", "7", True),
+    (f"{BOX}{{1 000}}", "1 000", "1000", True),
+    (f"{BOX}{{a{{b}}c}}", "a{b}c", "abc", False),
+    (f"{BOX}{{unclosed", None, "1", False),
+    (f"{BOX}{{}}", "", "1", False),
+    ("no box", None, "1", False),
+    ("", None, "", False),
+    (None, None, "1", False),
+    (f"{BOX}{{1}}", "1", None, False),
+    (f"{BOX}{{0.0000001}}", "0.0000001", "0", True),
+    (f"{BOX}{{1e3}}", "1e3", "1000", True),
+    (f"{BOX}{{3/0}}", "3/0", "3", False),
+    (f"{BOX}{{{BS}left(1,2{BS}right)}}", f"{BS}left(1,2{BS}right)", "(1,2)", True),
+    (f"{BOX}{{-5}}", "-5", "5", False),
+    (f"{BOX}{{x + 1}}", "x + 1", "X+1", True),
+]
+
+
+def test_first_box_and_match(spark):
+    df = spark.createDataFrame([(i, t, g) for i, (t, _, g, _) in enumerate(CASES)], "i long, t string, g string")
+    df = A.add_answers_match(A.add_boxed_first(df, F.col("t"), "p"), F.col("p"), F.col("g"), "ok")
+    for r in df.collect():
+        assert (r.p, r.ok) == (CASES[r.i][1], CASES[r.i][3]), CASES[r.i]
+
+
+THINK, END = '<parameter name="think">', "</parameter>"
+
+
+@pytest.mark.parametrize("text, spoken", [
+    (f"{THINK}a\nb{END}c", "c"), (f"a{THINK}b{END}c{THINK}d{END}e", "ace"), (f"{THINK}open", f"{THINK}open"),
+    ("<think>x</think>y", "<think>x</think>y"), ("", "")])
+def test_think_blocks(spark, text, spoken):
+    assert spark.createDataFrame([(text,)], "t string").select(A.strip_think(F.col("t"))).first()[0] == spoken
+
+
+def test_judged_reward_reads_after_the_think_block(spark):
+    said = f"{THINK}{BOX}{{9}}{END} so {BOX}{{42}}" + " " * 400
+    df = spark.createDataFrame([(1, said, "42", "")], "problem_id long, response string, gold string, gold_solution string")
+    none = spark.createDataFrame([], "key string, reasoning_class string")
+    r = R.reward_judged(df, none).first()
+    assert (r.pred, r.correct, r.reward) == ("42", True, 0.6)
+    gold = "a proof of some length " * 20
+    df = spark.createDataFrame([(1, said, "42", gold)], "problem_id long, response string, gold string, gold_solution string")
+    assert R.reward_judged(df, none).first().reward == 0.1

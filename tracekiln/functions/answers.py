@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 # --- fixed values that must equal the reference's (patterns, word lists) ---
 NUMERIC_RE = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+THINK_RE = r'(?s)<parameter name="think">.*?</parameter>'
 BOXED_SIMPLE_RE = r"\\boxed\{([^}]+)\}"
 BOXED_INT_RE = r"\\boxed\s*\{\s*([0-9,]+)\s*\}"
 FINAL_ANSWER_RE = r"(?i)final\s+answer\s+is\s*([0-9,]+)"
@@ -89,8 +90,8 @@ def extract_boxed_first(text) -> Column:
 
 
 def strip_think(text) -> Column:
-    """Drop ``<think>...</think>`` blocks (DOTALL) before extraction."""
-    return F.regexp_replace(_c(text), r"(?s)<think>.*?</think>", "")
+    """Drop think blocks (across lines) before extraction."""
+    return F.regexp_replace(_c(text), THINK_RE, "")
 
 
 def extract_boxed_last(text) -> Column:

@@ -20,13 +20,12 @@ def char_count(text) -> Column:
     return F.coalesce(F.length(_c(text)), F.lit(0)).cast("bigint")
 
 
-def first_words(text, n: int) -> Column:
-    """First ``n`` whitespace-separated words joined by a space (K3 cut)."""
+def first_words(text, n: int | None = None) -> Column:
+    """First ``n`` (default: all) whitespace-separated words joined by a space (K3)."""
     words = F.filter(F.split(F.coalesce(_c(text), F.lit("")), r"\s+"), lambda w: w != "")
-    return F.array_join(F.slice(words, 1, n), " ")
+    return F.array_join(words if n is None else F.slice(words, 1, n), " ")
 
 
-def problem_key(problem, n: int = 500) -> Column:
-    """``problem.strip()[:n]`` (code points)."""
-    t = F.regexp_replace(F.coalesce(_c(problem), F.lit("")), r"^\s+|\s+$", "")
-    return F.substring(t, 1, n)
+def problem_key(problem) -> Column:
+    """Key of a problem, the md5 of its whole trimmed text."""
+    return F.md5(F.regexp_replace(F.coalesce(_c(problem), F.lit("")), r"^\s+|\s+$", ""))

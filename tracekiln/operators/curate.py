@@ -100,7 +100,7 @@ def seeded_shuffle(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
 
 def train_eval_split(df: DataFrame, key: str, n_eval: int, seed: int = 42):
     """The first ``n_eval`` rows of the seeded shuffle are eval, the rest
-    train (left-anti on the key).  ``orderBy().limit(n)`` plans as
+    train (left-anti on the key).  The input is read for both, so hand in a table.  ``orderBy().limit(n)`` plans as
     TakeOrderedAndProject: a per-partition top-n, no global sort."""
     ev = df.orderBy(seeded_order(seed, key)).limit(n_eval)
     tr = df.join(ev.select(key), key, "left_anti")
@@ -113,15 +113,17 @@ def split_by_fraction(df: DataFrame, key: str, eval_fraction: float, seed: int =
     return h < F.lit(int(eval_fraction * 2 ** 32))
 
 
-def upsample(df: DataFrame, acc: str = "accuracy", weights: dict | None = None) -> DataFrame:
+def upsample(df: DataFrame, acc: str = "accuracy", weights: dict | None = None, copy_no: str | None = None) -> DataFrame:
     """Repeat rows by accuracy tier (0.125 x4, 0.25 x2, else x1) with a
-    per-row ``explode(sequence)`` -- no shuffle, no driver loop."""
+    per-row ``explode(sequence)`` -- no shuffle, no driver loop.  ``copy_no`` names a
+    column that numbers the copies from 1."""
     from .evaluate import UPSAMPLE_WEIGHTS
     weights = weights or UPSAMPLE_WEIGHTS
     w = F.lit(1)
     for a, k in sorted(weights.items(), reverse=True):
         w = F.when(F.col(acc) == a, F.lit(k)).otherwise(w)
-    return df.withColumn("_copy", F.explode(F.sequence(F.lit(1), w))).drop("_copy")
+    out = df.withColumn(copy_no or "_copy", F.explode(F.sequence(F.lit(1), w)))
+    return out if copy_no else out.drop("_copy")
 
 
 def upsample_plan(df: DataFrame, acc: str = "accuracy", weights: dict | None = None) -> DataFrame:
@@ -196,25 +198,31 @@ def assistant_mask_spans(messages: DataFrame, key: str = "conv_id", turn: str =
     return m.join(has, key, "left_semi").select(key, turn, "role", "start", "end", "train")
 
 
-def pack_sequences(df: DataFrame, id_col: str, length, max_len: int, shards: int, shard: Column | None = None) -> DataFrame:
+def pack_sequences(df: DataFrame, id_col: str, length, max_len: int, shards: int, shard: Column | None = None,
+                   block_ids: int = 1_000_000) -> DataFrame:
     """C17: concatenate-and-cut packing plan.  Rows are spread over ``shards``
-    hash shards; inside a shard a running sum of lengths gives each row its
-    offset and bin = floor(offset / max_len).  The window is per shard, so
-    choose ``shards`` to keep a shard within one task (e.g. rows / 1e6)."""
+    hash shards; inside a shard a running sum of lengths, by id, gives each row its
+    offset and bin = floor(offset / max_len).  Running sums are of two levels: within
+    blocks of ``block_ids`` consecutive (integer) ids, and over the blocks' sums, so a
+    task never holds more than a block however large a shard is."""
     d = df.select(id_col, (F.col(length) if isinstance(length, str) else length).alias("length"))
     d = d.withColumn("shard", F.pmod(F.xxhash64(F.col(id_col)), F.lit(shards)) if shard is None else shard)
-    w = Window.partitionBy("shard").orderBy(id_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    d = d.withColumn("offset", F.sum("length").over(w) - F.col("length"))
+    d = d.withColumn("_block", F.floor(F.col(id_col) / block_ids))
+    sums = d.groupBy("shard", "_block").agg(F.sum("length").alias("_sum"))
+    earlier = Window.partitionBy("shard").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(earlier), F.lit(0))).drop("_sum")
+    inside = Window.partitionBy("shard", "_block").orderBy(id_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = d.withColumn("_run", F.sum("length").over(inside) - F.col("length")).join(sums, ["shard", "_block"])
+    d = d.withColumn("offset", F.col("_run") + F.col("_before")).select(id_col, "length", "shard", "offset")
     return d.withColumn("bin", F.floor(F.col("offset") / F.lit(max_len)).cast("bigint"))
 
 
 def judge_requests(df: DataFrame, verdicts: DataFrame, gold: str = "gold_solution",
-                   solution: str = "response", body_cap: int = 2500) -> DataFrame:
-    """One request per cache key not yet judged; bodies cut to ``body_cap``."""
+                   solution: str = "response") -> DataFrame:
+    """One request per cache key not yet judged, with both whole texts."""
     from .rewards import judge_key
-    r = df.select(judge_key(F.col(gold), F.col(solution)).alias("key"),
-                  F.substring(gold, 1, body_cap).alias("gold_body"),
-                  F.substring(solution, 1, body_cap).alias("solution_body"))
+    r = df.select(judge_key(F.md5(gold), F.col(solution)).alias("key"),
+                  F.col(gold).alias("gold_body"), F.col(solution).alias("solution_body"))
     r = r.dropDuplicates(["key"])
     return r.join(verdicts.select("key"), "key", "left_anti")
 

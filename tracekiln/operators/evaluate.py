@@ -95,82 +95,58 @@ def lemma_verified_ratio(df: DataFrame, key: str = "problem_id", code_ok: str =
         F.round(F.avg(F.coalesce(ver, F.lit(False)).cast("double")), 6).alias("verified_ratio"))
 
 
-def lemma_levels(lemmas: DataFrame, edges: DataFrame, key: str = "problem_id",
-                 node: str = "lemma_id", dep: str = "dep", max_depth: int | None = None) -> DataFrame:
-    """Topological level of each lemma: 0 without (known) dependencies,
-    else 1 + max level of its dependencies.  Unknown dependencies are ignored;
-    nodes on or behind a cycle stay unresolved and are ordered after the rest by id.
-
-    Level-synchronous relaxation: each round is one join + aggregate over the
-    whole edge table, so the number of rounds is the longest chain (<= nodes
-    per problem), not the number of problems.  Lineage is cut each round with
-    ``checkpoint()`` (reliable, in the shared checkpoint folder)."""
-    known = edges.join(lemmas.select(key, F.col(node).alias(dep)), [key, dep], "left_semi")
+def _solved_lemmas(lemmas: DataFrame, edges: DataFrame, key: str, node: str, dep: str) -> DataFrame:
+    """``key, node, level, place``: 0 without (known) dependencies, else 1 + max level
+    of them; ``place`` is the position in first-in-first-out dependency order.  Nodes on or behind a
+    cycle have neither.  Unknown dependencies are ignored, repeated edges count once.
+
+    A round solves the nodes all of whose dependencies are solved, over all problems at once, until
+    a round adds nothing, so the rounds are the longest chain.  In a
+    first-in-first-out queue a node enters when its last dependency leaves, so all nodes of
+    a level come before the next level, in the order of their last dependency's place, then
+    of id.  ``checkpoint()`` cuts the lineage each round."""
+    known = (edges.select(key, node, dep).distinct().join(lemmas.select(key, F.col(node).alias(dep)), [key, dep], "left_semi")
+             .join(lemmas.select(key, node), [key, node], "left_semi"))
     n_dep = known.groupBy(key, node).agg(F.count("*").alias("_ndeps"))
-    nodes = lemmas.select(key, node).join(n_dep, [key, node], "left") \
-        .withColumn("_ndeps", F.coalesce("_ndeps", F.lit(0)))
-    level = nodes.where("_ndeps = 0").select(key, node, F.lit(0).alias("level"))
-    depth = max_depth
-    if depth is None:
-        depth = 64
-    for _ in range(depth):
-        # a node resolves when all its known deps have a level
-        lv = level.select(key, F.col(node).alias(dep), F.col("level").alias("_dl"))
-        got = known.join(lv, [key, dep]).groupBy(key, node).agg(
-            F.count("*").alias("_n"), F.max("_dl").alias("_mx"))
-        new = got.join(n_dep, [key, node]).where(F.col("_n") == F.col("_ndeps")) \
-            .select(key, node, (F.col("_mx") + 1).alias("level"))
-        new = new.join(level, [key, node], "left_anti")
-        nxt = level.unionByName(new).checkpoint()
-        if nxt.count() == level.count():
-            level = nxt
-            break
-        level = nxt
-    out = nodes.select(key, node).join(level, [key, node], "left")
-    w = Window.partitionBy(key).orderBy(F.col("level").asc_nulls_last(), F.col(node).asc())
-    return out.withColumn("cyclic", F.col("level").isNull()) \
-              .withColumn("level_order", F.row_number().over(w))
-
-
-ORDER_SCHEMA = "problem_id long, lemma_id long, position long, cyclic boolean"
-
-
-def _kahn_order(pdf):
-    import pandas as pd
-    nodes = sorted(int(x) for x in pdf.loc[pdf["dep"].isna(), "lemma_id"].unique())
-    known = set(nodes)
-    in_deg = {n: 0 for n in nodes}
-    adj = {n: [] for n in nodes}
-    edges = pdf[pdf["dep"].notna()].sort_values(["lemma_id"], kind="stable")
-    for lid, dep in zip(edges["lemma_id"], edges["dep"]):
-        d, v = int(dep), int(lid)
-        if d in known and v in known:
-            adj[d].append(v)
-            in_deg[v] += 1
-    queue = [n for n in nodes if in_deg[n] == 0]
-    out = []
-    while queue:
-        n = queue.pop(0)
-        out.append(n)
-        for m in adj[n]:
-            in_deg[m] -= 1
-            if in_deg[m] == 0:
-                queue.append(m)
-    cyclic = len(out) != len(nodes)
-    if cyclic:
-        out = nodes
-    pid = int(pdf["problem_id"].iloc[0])
-    return pd.DataFrame({"problem_id": pid, "lemma_id": out, "position": range(len(out)), "cyclic": cyclic})
+    first = lemmas.select(key, node).distinct().join(n_dep, [key, node], "left_anti")
+    by_id = Window.partitionBy(key).orderBy(node)
+    solved = first.select(key, node, F.lit(0).alias("level"), (F.row_number().over(by_id) - 1).alias("place")).checkpoint()
+    while True:
+        before = solved.select(key, F.col(node).alias(dep), F.col("level").alias("_dl"), F.col("place").alias("_dp"))
+        ready = (known.join(solved.select(key, node), [key, node], "left_anti").join(before, [key, dep])
+                 .groupBy(key, node).agg(F.count("*").alias("_n"), F.max("_dl").alias("_dl"), F.max("_dp").alias("_dp"))
+                 .join(n_dep, [key, node]).where("_n = _ndeps"))
+        taken = solved.groupBy(key).agg(F.count("*").alias("_taken"))
+        turn = Window.partitionBy(key).orderBy("_dp", node)
+        new = ready.join(taken, key).select(key, node, (F.col("_dl") + 1).alias("level"),
+                                            (F.row_number().over(turn) - 1 + F.col("_taken")).cast("int").alias("place")).checkpoint()
+        if new.isEmpty():
+            return solved
+        solved = solved.unionByName(new).checkpoint()
+
+
+def _with_order(lemmas: DataFrame, edges: DataFrame, key: str, node: str, dep: str) -> DataFrame:
+    """Every node with its level, and its order: that of the queue, or by id in a
+    problem that has a cycle."""
+    out = lemmas.select(key, node).distinct().join(_solved_lemmas(lemmas, edges, key, node, dep), [key, node], "left")
+    cyclic = out.groupBy(key).agg(F.max(F.col("level").isNull()).alias("problem_cyclic"))
+    return out.join(cyclic, key)
+
+
+def lemma_levels(lemmas: DataFrame, edges: DataFrame, key: str = "problem_id",
+                 node: str = "lemma_id", dep: str = "dep") -> DataFrame:
+    """Topological level of each lemma (null and ``cyclic`` on or behind a
+    cycle) and ``level_order``: by level, then id; by id alone in a problem with a cycle."""
+    out = _with_order(lemmas, edges, key, node, dep)
+    w = Window.partitionBy(key).orderBy(F.when(~F.col("problem_cyclic"), F.col("level")), node)
+    return out.select(key, node, "level", F.col("level").isNull().alias("cyclic"), F.row_number().over(w).alias("level_order"))
 
 
 def dependency_order(lemmas: DataFrame, edges: DataFrame, key: str = "problem_id",
                      node: str = "lemma_id", dep: str = "dep") -> DataFrame:
-    """G15 as the reference orders lemmas: Kahn's algorithm with a FIFO queue
-    seeded in id order; unknown dependencies ignored; any cycle -> the whole
-    problem in id order.  A problem's graph is bounded by its lemma count, so
-    each graph is solved in pandas inside ``applyInPandas`` on the problem key
-    (nodes and edges arrive together in one narrow long table)."""
-    n = lemmas.select(F.col(key).alias("problem_id"), F.col(node).alias("lemma_id"),
-                      F.lit(None).cast("long").alias("dep"))
-    e = edges.select(F.col(key).alias("problem_id"), F.col(node).alias("lemma_id"), F.col(dep).cast("long").alias("dep"))
-    return n.unionByName(e).groupBy("problem_id").applyInPandas(_kahn_order, ORDER_SCHEMA)
+    """G15 as a work list: ``position`` in first-in-first-out dependency order; a
+    problem with a cycle (``cyclic``) is in id order."""
+    out = _with_order(lemmas, edges, key, node, dep)
+    by_id = Window.partitionBy(key).orderBy(node)
+    return out.select(key, node, F.when(F.col("problem_cyclic"), F.row_number().over(by_id) - 1).otherwise(F.col("place")).alias("position"),
+                      F.col("problem_cyclic").alias("cyclic"))

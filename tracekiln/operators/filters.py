@@ -43,7 +43,7 @@ def answer_in_range(ans, policy: str = "strict", lo: int = 0, hi: int = 99999) -
     integral -- float, finite, integral, in range (3.0 passes, 3.5 fails);
     float   -- any float in range (3.5 passes);
     trunc   -- ``int(float(s))`` after removing ``,`` and spaces;
-    aimo    -- digits with leading ``-`` allowed, 0..999 by default.
+    signed_digits -- digits with leading ``-`` allowed, 0..999 by default.
     """
     s = _c(ans).cast("string")
     if policy == "strict":
@@ -59,7 +59,7 @@ def answer_in_range(ans, policy: str = "strict", lo: int = 0, hi: int = 99999) -
     if policy == "trunc":
         d = A.to_double(F.regexp_replace(A.strip(s), "[, ]", ""))
         return F.coalesce((d > lo - 1) & (d < hi + 1), F.lit(False))
-    if policy == "aimo":
+    if policy == "signed_digits":
         t = A.strip(s)
         ok = t.rlike(r"^-*\d+$")
         v = F.when(ok, t.try_cast("decimal(38,0)"))

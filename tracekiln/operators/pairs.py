@@ -32,14 +32,13 @@ def attempt_facts(attempts: DataFrame, key: str = "problem_id", response: str =
 
 def _materialise(dec: DataFrame, attempts: DataFrame, problems: DataFrame, key: str,
                  response: str, gt: str) -> DataFrame:
-    """Join texts back: chosen_id -1 means the gold solution."""
-    txt = attempts.select(key, "attempt_id", response)
-    p = problems.select(key, prompt_wrap(F.col("problem")).alias("prompt"), "gold_solution")
-    g = attempts.select(key, gt).dropDuplicates([key])
-    d = dec.join(p, key).join(g, key)
-    ch = txt.select(key, F.col("attempt_id").alias("chosen_id"), F.col(response).alias("_ch"))
-    rj = txt.select(key, F.col("attempt_id").alias("rejected_id"), F.col(response).alias("_rj"))
-    d = d.join(ch, [key, "chosen_id"], "left").join(rj, [key, "rejected_id"], "left")
+    """Texts of the decided pairs: chosen_id -1 means the gold solution.  The attempts' texts meet the
+    decision by problem and are picked in one aggregate, so each moves once."""
+    text = lambda which: F.max(F.when(F.col("attempt_id") == F.col(which), F.col(response)))
+    picked = (attempts.select(key, "attempt_id", response, gt).join(dec, key)
+              .groupBy(key, "outcome", "chosen_id", "rejected_id")
+              .agg(text("chosen_id").alias("_ch"), text("rejected_id").alias("_rj"), F.max(gt).alias(gt)))
+    d = picked.join(problems.select(key, prompt_wrap(F.col("problem")).alias("prompt"), "gold_solution"), key)
     chosen = F.when(F.col("chosen_id") == -1, _gold_text(F.col("gold_solution"), F.col(gt))).otherwise(F.col("_ch"))
     return d.select(key, "outcome", "chosen_id", "rejected_id", "prompt",
                     F.when(F.col("outcome") == "pair", chosen).alias("chosen"),
@@ -72,6 +71,7 @@ def pairs_two_way(attempts: DataFrame, problems: DataFrame, scores: DataFrame, k
     """E8 (rounds 2-3): a ok / b wrong -> (a, b) and vice versa; both wrong
     -> (gold, a); both ok -> judge scores (missing 1.0), pair if |diff| >=
     margin, else skip."""
+    attempts = attempts.where(F.col("attempt_id").isin(a, b))       # only these two count
     f = attempt_facts(attempts, key, response, gt).join(
         scores.select(key, "attempt_id", "score"), [key, "attempt_id"], "left")
     p = _pivot_two(f, key, a, b, ["ok", "score"])
@@ -93,6 +93,7 @@ def pairs_by_score(attempts: DataFrame, problems: DataFrame, scores: DataFrame,
                    low: float = 0.3, close: float = 0.1) -> DataFrame:
     """Missing score -> 1/0 from our own check; both < low -> (gold,
     worse); |diff| < close -> skip; else the winner."""
+    attempts = attempts.where(F.col("attempt_id").isin(a, b))       # only these two count
     f = attempt_facts(attempts, key, response, gt).join(
         scores.select(key, "attempt_id", "score"), [key, "attempt_id"], "left")
     f = f.withColumn("s", F.coalesce(F.col("score"), F.when(F.col("ok"), F.lit(1.0)).otherwise(F.lit(0.0))))

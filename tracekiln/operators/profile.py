@@ -95,9 +95,9 @@ def _any_contains(text: Column, words, lower_words: bool = False) -> Column:
 
 def value_share(df: DataFrame, col: str, top: int | None = None) -> DataFrame:
     """count and % of total per value, descending (ties by value); the
-    total is a window over the already-aggregated table."""
+    total is one number, taken from the aggregated table."""
     g = df.groupBy(col).agg(F.count("*").alias("n"))
-    g = g.withColumn("pct", F.round(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()), 6))
+    g = g.withColumn("pct", F.round(F.col("n") * 100.0 / g.agg(F.sum("n")).scalar(), 6))
     if top:
         g = g.orderBy(F.col("n").desc(), F.col(col).asc()).limit(top)
     return g
@@ -111,12 +111,13 @@ def accuracy_hist(df: DataFrame, acc: str = "accuracy") -> DataFrame:
 def accuracy_stats(df: DataFrame, key: str, acc: str, hard_below: float = 0.5) -> DataFrame:
     """per config key n, min, median (exact), mean, max, hard/easy split."""
     a = F.col(acc)
-    return df.where(a.isNotNull()).groupBy(key).agg(
-        F.count("*").alias("n"), F.min(a).alias("min"),
-        F.round(F.percentile(a, 0.5), 6).alias("median"), F.round(F.avg(a), 6).alias("mean"),
-        F.max(a).alias("max"),
+    d = df.where(a.isNotNull())
+    median = quantile_linear(d.select(key, acc), acc, [0.5], [key]).select(F.col(key).alias("_key"), F.col("q50").alias("median"))
+    out = d.groupBy(key).agg(
+        F.count("*").alias("n"), F.min(a).alias("min"), F.round(F.avg(a), 6).alias("mean"), F.max(a).alias("max"),
         F.count(F.when(a < hard_below, 1)).alias("hard"),
         F.count(F.when(a >= hard_below, 1)).alias("easy"))
+    return out.join(median, F.col(key).eqNullSafe(F.col("_key"))).select(key, "n", "min", "median", "mean", "max", "hard", "easy")
 
 
 def crosstab(df: DataFrame, row: str, col: str, values: list) -> DataFrame:
@@ -171,14 +172,37 @@ def length_buckets(df: DataFrame, text: str, scheme: str = "words") -> DataFrame
     return df.groupBy(_bucket(x, spec).alias("bucket")).agg(F.count("*").alias("n"))
 
 
+BUCKETS = 4096
+
+
+def _running_counts(df: DataFrame, value: str, by: list) -> DataFrame:
+    """``by, value, _c, _cum, _n``: histogram of the non-null values with running and
+    total counts.  The running count is of two levels: over at most ``BUCKETS`` equal ranges between the
+    least and the largest value, and inside a range, so no task holds a
+    whole group's values."""
+    h = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
+    ends = h.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(F.min(value).cast("double").alias("_lo"), F.max(value).cast("double").alias("_hi"))
+    same = lambda names: [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in names] or F.lit(True)
+    if by:
+        h = h.join(ends, same(by)).drop(*[f"_{c}" for c in by])
+    else:
+        h = h.withColumn("_e", ends.select(F.struct("_lo", "_hi")).scalar()).select(*h.columns, "_e._lo", "_e._hi")
+    place = (F.col(value).cast("double") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * BUCKETS
+    h = h.withColumn("_b", F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor(place), F.lit(BUCKETS - 1))).otherwise(F.lit(0))).drop("_lo", "_hi")
+    sums = h.groupBy(*[F.col(c).alias(f"_{c}") for c in by], F.col("_b").alias("__b")).agg(F.sum("_c").alias("_s"))
+    group = Window.partitionBy(*[f"_{c}" for c in by])
+    sums = (sums.withColumn("_before", F.coalesce(F.sum("_s").over(group.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+            .withColumn("_n", F.sum("_s").over(group)).drop("_s"))
+    inside = Window.partitionBy(*by, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (h.withColumn("_run", F.sum("_c").over(inside)).join(sums, [*(same(by) if by else []), F.col("_b") == F.col("__b")])
+            .select(*by, value, "_c", (F.col("_run") + F.col("_before")).alias("_cum"), "_n"))
+
+
 def quantile_index(df: DataFrame, value: str, probs: list[tuple[int, int]], by: list | None = None) -> DataFrame:
     """F8 (ii): ``sorted(x)[floor(n * p)]`` with p = num/den (exact integer
-    floor).  Histogram of distinct values (pre-aggregated), running count over
-    the histogram, first value whose running count exceeds floor(n p)."""
+    floor): the first value whose running count exceeds floor(n p)."""
     by = by or []
-    h = df.groupBy(*by, value).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    h = h.withColumn("_cum", F.sum("_c").over(w)).withColumn("_n", F.sum("_c").over(Window.partitionBy(*by)))
+    h = _running_counts(df, value, by)
     aggs = []
     for num, den in probs:
         k = F.floor(F.col("_n") * num / den)
@@ -187,10 +211,18 @@ def quantile_index(df: DataFrame, value: str, probs: list[tuple[int, int]], by:
 
 
 def quantile_linear(df: DataFrame, value: str, probs: list[float], by: list | None = None) -> DataFrame:
-    """F8 (i): exact linear interpolation (pandas default) via ``percentile``."""
+    """F8 (i): exact linear interpolation (pandas default) between the values at
+    the places around ``(n - 1) p``."""
     by = by or []
-    return df.groupBy(*by).agg(F.count(value).alias("n"),
-                               *[F.round(F.percentile(value, p), 6).alias(f"q{int(p * 100)}") for p in probs])
+    h = _running_counts(df, value, by)
+    aggs = []
+    for p in probs:
+        at = (F.col("_n") - 1) * F.lit(p)
+        low = F.min(F.when(F.col("_cum") > F.floor(at), F.col(value).cast("double")))
+        high = F.min(F.when(F.col("_cum") > F.ceil(at), F.col(value).cast("double")))
+        share = F.first(at - F.floor(at))
+        aggs.append(F.round(low + (high - low) * share, 6).alias(f"q{int(p * 100)}"))
+    return h.groupBy(*by).agg(F.first("_n").alias("n"), *aggs)
 
 
 def cdf_counts(df: DataFrame, x: str, thresholds: list[int]) -> DataFrame:

@@ -1,24 +1,17 @@
 """Exact top-k retrieval over embedding vectors (K1-K3).
 
-Exact top-k compares every query with every corpus vector.  Expressed as a
-Spark join that is a nested-loop (cross) join, so instead:
-
-1. the query side is bounded -- its row count is checked against
-   ``max_queries`` before it is broadcast (a bounded matrix, e.g. per-domain
-   centroids or an eval set, never the corpus);
-2. each corpus partition scores its rows against the broadcast matrix with
-   numpy inside ``mapInPandas`` (Arrow batches) and keeps only its local top-k
-   per query, so at most ``k x queries`` rows per partition leave the task;
-3. ``row_number() <= k`` per query merges the partial lists (WindowGroupLimit).
-
-K2 restricts candidates to the query's own partition key (domain) inside the
-same pass.
+Exact top-k compares every query with every corpus vector.  Both sides are
+cut into blocks of bounded size; every pair of a query block and a corpus block is
+one row of an equi-join on the block number and is scored with numpy inside
+``mapInArrow``.  A pair returns at most ``k`` rows per query, and ``row_number() <= k``
+per query merges them (WindowGroupLimit).  Nothing passes through the driver
+and neither side has a size limit.  K2 pairs only blocks of the same domain.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,60 +39,58 @@ def centroids(corpus: DataFrame, group: str = "label", vec: str = "embedding") -
                     normalise(F.transform("_v", lambda s: s["x"])).alias("qvec"))
 
 
+def _blocks(df: DataFrame, keys: list, id_col: str, vec: str, rows: int, name: str) -> DataFrame:
+    """Rows packed into blocks of about ``rows``: ``keys, name (block number), name_ids, name_vecs``."""
+    sizes = df.groupBy(*keys).agg(F.ceil(F.count("*") / rows).cast("bigint").alias("_n"))
+    dealt = df.join(sizes, keys) if keys else df.withColumn("_n", sizes.scalar())
+    return (dealt.withColumn(name, F.pmod(F.xxhash64(id_col), F.col("_n")))
+            .groupBy(*keys, name).agg(F.collect_list(F.struct(F.col(id_col).alias("id"), F.col(vec).alias("v"))).alias(f"{name}_rows")))
+
+
 def topk_similar(queries: DataFrame, corpus: DataFrame, k: int = 5, vec: str = "embedding",
-                 id_col: str = "vec_id", partition: str | None = None, max_queries: int = 100_000) -> DataFrame:
+                 id_col: str = "vec_id", partition: str | None = None, query_rows: int = 512,
+                 corpus_rows: int = 4096) -> DataFrame:
     """K1 (and K2 with ``partition``): top-k corpus rows per query by inner
     product of normalised vectors; ties by id.
 
-    ``queries`` has ``query_id``, ``qvec`` (normalised) and, for K2,
-    ``query_group``.  The query side is size-checked before broadcast."""
-    spark = corpus.sparkSession
-    n_q = queries.count()
-    if n_q > max_queries:
-        raise ValueError(f"query side has {n_q} rows (> {max_queries}); batch the queries")
-    q = queries.select("query_id", "qvec", *(["query_group"] if partition else [])).collect()
-    qids = np.array([r["query_id"] for r in q], dtype=np.int64)
-    qmat = np.array([r["qvec"] for r in q], dtype=np.float64).reshape(len(q), -1) if q else np.zeros((0, 0))
-    qgrp = np.array([r["query_group"] for r in q]) if partition else None
-    bc = spark.sparkContext.broadcast((qids, qmat, qgrp))
-
-    cols = [id_col, vec] + ([partition] if partition else [])
-    c = corpus.select(*cols)
+    ``queries`` has ``query_id``, ``qvec`` (normalised) and, for K2, ``query_group``.  Vectors
+    of a block must have one length; null vectors take no part."""
+    keys = ["_group"] if partition else []
+    q = queries.where("qvec is not null").select(F.col("query_id").cast("bigint").alias("query_id"), "qvec",
+                                                 *([F.col("query_group").cast("string").alias("_group")] if partition else []))
+    c = corpus.where(F.col(vec).isNotNull()).select(
+        F.col(id_col).cast("bigint").alias("_id"), F.transform(vec, lambda x: x.cast("double")).alias("_vec"),
+        *([F.col(partition).cast("string").alias("_group")] if partition else []))
+    qb = _blocks(q, keys, "query_id", "qvec", query_rows, "_q")
+    cb = _blocks(c, keys, "_id", "_vec", corpus_rows, "_c")
+    # every query block meets every corpus block of its group: the blocks' numbers are the join key
+    numbers = qb.groupBy(*keys).agg(F.collect_list("_q").alias("_all"))
+    spread = cb.join(numbers, keys) if keys else cb.withColumn("_all", numbers.scalar())
+    pairs = spread.withColumn("_q", F.explode("_all")).join(qb, [*keys, "_q"]).select("_q_rows", "_c_rows")
 
     def score(batches):
-        ids, mat, grp = bc.value
-        for pdf in batches:
-            if len(pdf) == 0 or len(ids) == 0:
-                continue
-            x = np.stack(pdf[vec].map(lambda a: np.asarray(a, dtype=np.float64)).to_numpy())
-            nrm = np.linalg.norm(x, axis=1, keepdims=True)
-            x = np.divide(x, nrm, out=np.zeros_like(x), where=nrm > 0)
-            s = mat @ x.T                                   # queries x batch
-            if grp is not None:
-                s = np.where(grp[:, None] == pdf[partition].to_numpy()[None, :], s, -np.inf)
-            kk = min(k, s.shape[1])
-            vid = pdf[id_col].to_numpy()
-            out_q, out_v, out_s = [], [], []
-            for qi in range(s.shape[0]):
-                row = s[qi]
-                # local top-k with id tie-break: sort by (-score, id) over a k-bounded candidate set
-                cand = np.argpartition(-row, kk - 1)[:kk] if kk < len(row) else np.arange(len(row))
-                thr = row[cand].min()
-                cand = np.nonzero(row >= thr)[0]
-                order = np.lexsort((vid[cand], -row[cand]))[:kk]
-                for j in cand[order]:
-                    if np.isfinite(row[j]):
-                        out_q.append(ids[qi]); out_v.append(vid[j]); out_s.append(float(row[j]))
-            yield pd.DataFrame({"query_id": out_q, "vec_id": out_v, "score": out_s})
-
-    local = c.mapInPandas(score, RESULT_SCHEMA)
+        for batch in batches:
+            for qs, cs in zip(*(batch.column(i) for i in range(2))):
+                qs, cs = qs.values, cs.values
+                mat = np.array(qs.field("v").to_pylist(), dtype=np.float64)
+                x = np.array(cs.field("v").to_pylist(), dtype=np.float64)
+                qid, vid = np.array(qs.field("id").to_pylist()), np.array(cs.field("id").to_pylist())
+                nrm = np.linalg.norm(x, axis=1, keepdims=True)
+                s = mat @ np.divide(x, nrm, out=np.zeros_like(x), where=nrm > 0).T
+                order = np.lexsort((np.broadcast_to(vid, s.shape), -s), axis=1)[:, :k]
+                n = order.shape[1]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(qid, n), pa.int64()), pa.array(vid[order].ravel(), pa.int64()),
+                     pa.array(np.take_along_axis(s, order, 1).ravel(), pa.float64())], names=["query_id", "vec_id", "score"])
+
+    local = pairs.mapInArrow(score, RESULT_SCHEMA)
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id").asc())
     return local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def rag_corpus(df: DataFrame, answer: str, solution: str, min_words: int = 20, cut_words: int = 300) -> DataFrame:
+def rag_corpus(df: DataFrame, answer: str, solution: str, min_words: int = 20, cut_words: int | None = None) -> DataFrame:
     """K3: rows with a valid integer answer and at least ``min_words`` words;
-    the solution cut to its first ``cut_words`` words."""
+    the solution's words (the first ``cut_words``, if given) joined by a space."""
     from ..functions.answers import parse_int_answer
     d = df.withColumn("_ans", parse_int_answer(F.col(answer))).withColumn("_wc", word_count(F.col(solution)))
     return d.where(F.col("_ans").isNotNull() & (F.col("_wc") >= min_words)) \

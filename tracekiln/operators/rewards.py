@@ -93,36 +93,38 @@ def judged_rule_table(spark) -> DataFrame:
     return spark.createDataFrame(rows, "reasoning_class string, answer_correct boolean, judged_reward double")
 
 
-def judge_key(gold, solution) -> F.Column:
-    """C18 cache key: md5(gold[:200] || '||' || solution[:400])."""
-    return F.md5(F.concat(F.substring(gold, 1, 200), F.lit("||"), F.substring(solution, 1, 400)))
+def judge_key(gold_md5, solution) -> F.Column:
+    """C18 cache key over whole texts: md5(md5(gold) || '||' || md5(solution))."""
+    return F.md5(F.concat(gold_md5, F.lit("||"), F.md5(solution)))
 
 
 def judge_inputs(problems: DataFrame, key: str = "problem_id", gold: str = "gold_solution") -> DataFrame:
-    """Per problem, the only gold facts E3 needs: validity and the 200-char
-    prefix that enters the cache key -- so the long gold text is scanned once
+    """Per problem, the only gold facts E3 needs: validity and the
+    hash that enters the cache key -- so the long gold text is scanned once
     per problem and never joined to the rollouts."""
     g = F.col(gold)
-    return problems.select(key, is_valid_gold(g).alias("gold_valid"), F.substring(g, 1, 200).alias("gold_prefix"))
+    return problems.select(key, is_valid_gold(g).alias("gold_valid"), F.md5(g).alias("gold_md5"))
 
 
 def reward_judged(df: DataFrame, verdicts: DataFrame, response: str = "response",
                   gt: str = "gold", gold: str = "gold_solution", out: str = "reward",
-                  gold_valid: str | None = None, gold_prefix: str | None = None) -> DataFrame:
+                  gold_valid: str | None = None, gold_md5: str | None = None) -> DataFrame:
     """E3.  ``verdicts(key, reasoning_class)`` is the judge's table keyed by
     C18; our own answer match overrides the judge's correctness; a missing
     verdict counts as ``wrong_approach``; an unknown class with a correct
-    answer gives 0.05 (the reference returns None there).  Pass
-    ``gold_valid``/``gold_prefix`` (see ``judge_inputs``) to avoid carrying
+    answer gives 0.05 (the reference returns None there).  The answer is read
+    after the think block is removed (D2); lengths are of the whole response.  Pass
+    ``gold_valid``/``gold_md5`` (see ``judge_inputs``) to avoid carrying
     the gold text."""
     spark = df.sparkSession
     r = F.col(response)
-    d = A.add_answers_match(A.add_boxed_first(df, r, "pred"), F.col("pred"), F.col(gt), "correct")
+    d = A.add_boxed_first(df.withColumn("_spoken", A.strip_think(r)), F.col("_spoken"), "pred").drop("_spoken")
+    d = A.add_answers_match(d, F.col("pred"), F.col(gt), "correct")
     ok_col = F.col(gold_valid) if gold_valid else is_valid_gold(F.col(gold))
-    prefix = F.col(gold_prefix) if gold_prefix else F.col(gold)
+    gold_hash = F.col(gold_md5) if gold_md5 else F.md5(F.col(gold))
     d = (d.withColumn("response_len", F.length(r))
            .withColumn("_gold_ok", ok_col)
-           .withColumn("_key", judge_key(prefix, r)))
+           .withColumn("_key", judge_key(gold_hash, r)))
     v = verdicts.select(F.col("key").alias("_key"), F.col("reasoning_class").alias("_cls")).dropDuplicates(["_key"])
     d = d.join(v, "_key", "left")
     rules = judged_rule_table(spark)

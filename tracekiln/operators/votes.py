@@ -140,10 +140,7 @@ def early_stop_point(df: DataFrame, k: int = 4, key: str = "problem_id", answer:
 
     The k-th vote of each (problem, answer) is ``row_number() = k``, which
     Spark plans as a partial WindowGroupLimit before the shuffle."""
-    from pyspark import StorageLevel
-    # two passes are inherent (the stop point depends on every attempt), so
-    # the narrow (key, order, answer) rows are persisted once for both
-    df = df.select(key, order, answer).persist(StorageLevel.MEMORY_AND_DISK)
+    df = df.select(key, order, answer)
     w = Window.partitionBy(key, answer).orderBy(F.col(order).asc())
     kth = df.withColumn("_rn", F.row_number().over(w)).where((F.col("_rn") == k) & F.col(answer).isNotNull())
     stop = kth.groupBy(key).agg(F.min(order).alias("stop_at"))

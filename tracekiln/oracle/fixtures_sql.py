@@ -28,7 +28,7 @@ VIEWS["problems"] = f"""
 problems AS (
   SELECT doc_id AS problem_id,
          md5('u:'||{_ID}) AS uuid,
-         substr(text, 1, 600) AS problem,
+         text AS problem,
          text AS gold_solution,
          CASE WHEN {H("'s:'||" + _ID)} % 6 = 0 THEN 'aops' ELSE 'stackflow' END AS data_source,
          CASE WHEN {H("'m:'||" + _ID)} % 10 = 0 THEN NULL
@@ -46,6 +46,7 @@ attempts_base AS (
 attempts AS (
   SELECT doc_id AS problem_id, attempt_id,
          cast({H("'g:'||" + _ID)} % 100000 AS varchar) AS gold,
+         substr(text, cast({H("'l:'||" + _IK)} % 600 AS integer) + 1) ||
          substr(text, 1, cast({H("'l:'||" + _IK)} % 600 AS integer)) ||
          CASE {H("'w:'||" + _IK)} % 8
            WHEN 0 THEN ''
@@ -123,7 +124,7 @@ lemma_edges AS (
 
 VIEWS["verdicts"] = f"""
 verdict_keys AS (
-  SELECT DISTINCT md5(substr(p.gold_solution, 1, 200) || '||' || substr(a.response, 1, 400)) AS key
+  SELECT DISTINCT md5(md5(p.gold_solution) || '||' || md5(a.response)) AS key
   FROM attempts a JOIN problems p ON a.problem_id = p.problem_id),
 verdicts AS (
   SELECT key, ['complete', 'correct_approach_incomplete', 'correct_approach_wrong_execution',

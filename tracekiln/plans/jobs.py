@@ -2,32 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import answers as A
+from ..functions.text import problem_key
 from ..operators import evaluate as EV
 from ..operators import rewards as R
 from ..operators import votes as V
 
 
-def score_rollouts(attempts: DataFrame, problems: DataFrame, key: str = "problem_id",
-                   persist: bool = True) -> DataFrame:
+def score_rollouts(attempts: DataFrame, problems: DataFrame, key: str = "problem_id") -> DataFrame:
     """attempts x problems -> reward (E2), correctness, advantage (E4) and the
-    zero-variance flag.  Gold facts are computed per problem before the join.
-
-    The advantage needs the scored rows twice (group statistics, then the
-    join back), so the narrow facts are persisted (memory, spilling to disk)
-    and the regex work runs once; lost blocks are recomputed from lineage."""
-    from pyspark import StorageLevel
+    zero-variance flag.  Gold facts are computed per problem before the join; the
+    response text and the gold number sets stay behind (join back on
+    (problem, attempt) when the text is needed)."""
     gf = R.gold_facts(problems, key)
     scored = R.reward_10level(attempts.join(gf, key, "left"))
-    # narrow: the response text and the gold number sets stay behind (join
-    # back on (problem, attempt) when the text is needed)
-    narrow = scored.drop("response", "gold_numbers")
-    if persist:
-        narrow = narrow.persist(StorageLevel.MEMORY_AND_DISK)
-    return R.group_advantage(narrow, key, "reward")
+    return R.group_advantage(scored.drop("response", "gold_numbers"), key, "reward")
 
 
 def rollout_report(attempts: DataFrame, problems: DataFrame, key: str = "problem_id",
@@ -93,24 +85,22 @@ def raft_stages(meta: DataFrame, messages: DataFrame, key: str = "conv_id",
                 threshold: float = 0.5) -> DataFrame:
     """Stage 1 = hard (acc < t, zero included, missing -> not hard) with
     tools defined and tool use, shortest trajectory (chars) per problem;
-    stage 2 = the same restricted to the aops source.  The common prefix is
-    one plan; the stages differ only in a source predicate."""
+    stage 2 = the same restricted to the aops source.  One pass: a trajectory emits a row for each stage
+    it qualifies for, and ``row_number`` picks per (stage, problem).  Trajectories without a user
+    turn have no problem and are left out."""
     from ..operators import curate as C
     from ..operators import filters as B
     m = meta.where(B.is_hard(F.col("accuracy"), threshold, exclude_zero=False, missing=1.0) &
                    B.has_tools_defined(F.col("n_tools")))
-    use = B.tool_use_by_conversation(messages.join(m.select(key), key, "left_semi"), key) \
-        .where("has_tool_use").select(key)
-    chars = C.trajectory_chars(messages.join(use, key, "left_semi"), key)
-    first_user = messages.where(F.col("role") == "user").groupBy(key).agg(
-        F.min_by("text", "turn").alias("problem"))
-    base = m.join(chars, key).join(first_user, key, "left")
-    out = []
-    for stage, pred in ((1, F.lit(True)), (2, B.by_source(F.col("data_source"), "aops", lower=True))):
-        s = base.where(pred)
-        best = C.best_per_problem(s, F.coalesce(F.col("problem"), F.lit("")), [F.col("traj_chars")], "uuid", key)
-        out.append(s.join(best, key, "left_semi").withColumn("stage", F.lit(stage)))
-    return out[0].unionByName(out[1])
+    facts = messages.join(m.select(key), key, "left_semi").groupBy(key).agg(
+        F.max(B.message_uses_tool(F.col("role"), F.col("text"))).alias("_tool"),
+        F.sum(F.coalesce(F.length("text"), F.lit(0))).cast("bigint").alias("traj_chars"),
+        F.min_by(F.when(F.col("role") == "user", F.col("text")), F.when(F.col("role") == "user", F.col("turn"))).alias("problem"))
+    base = m.join(facts.where("_tool and problem is not null").drop("_tool"), key)
+    second = B.by_source(F.col("data_source"), "aops", lower=True)
+    staged = base.withColumn("stage", F.explode(F.when(second, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
+    w = Window.partitionBy("stage", problem_key(F.col("problem"))).orderBy("traj_chars", "uuid")
+    return staged.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
 def mine_pairs(attempts: DataFrame, problems: DataFrame, scores: DataFrame | None = None,

@@ -76,7 +76,7 @@ def _curated_sql() -> str:
 mf AS (SELECT * FROM trajectory_meta WHERE coalesce({hard}, false) AND coalesce({intans}, false)),
 msel AS (SELECT * FROM messages_tir WHERE conv_id IN (SELECT conv_id FROM mf)),
 {compress_sql('msel', 'v4')},
-cj AS (SELECT c.*, {wc_sql('c.assistant')} AS n_words, substr({S.strip("coalesce(c.prompt, '')")}, 1, 500) AS problem_key,
+cj AS (SELECT c.*, {wc_sql('c.assistant')} AS n_words, md5({S.strip("coalesce(c.prompt, '')")}) AS problem_key,
               m.uuid, m.data_source, m.accuracy, m.n_tools, m.expected_answer
        FROM comp c JOIN mf m ON c.conv_id = m.conv_id),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY problem_key ORDER BY n_words, uuid) AS rn FROM cj)
@@ -98,6 +98,8 @@ ev AS (SELECT conv_id FROM ord ORDER BY o LIMIT 5)
 SELECT conv_id, CASE WHEN conv_id IN (SELECT conv_id FROM ev) THEN 'eval' ELSE 'train' END AS split FROM curated""")
 def c5_c6_train_eval_split(spark, sf):
     cur = jobs.curate_sft(FX.trajectory_meta(spark, sf), FX.messages_tir(spark, sf))
+    # the split reads its input twice, so it gets the curated ids as a table
+    cur = FX.as_table(cur.select("conv_id", "uuid"), sf, "curated-ids")
     tr, ev = C.train_eval_split(cur, "uuid", 5, seed=42)
     return tr.select("conv_id", F.lit("train").alias("split")).unionByName(
         ev.select("conv_id", F.lit("eval").alias("split")))
@@ -118,8 +120,7 @@ SELECT conv_id, tier, unnest(range(1, CASE accuracy WHEN 0.125 THEN 4 WHEN 0.25
 def c9_upsample(spark, sf):
     """Rows repeated by tier weight (copy number kept to make rows distinct)."""
     cur = jobs.curate_sft(FX.trajectory_meta(spark, sf), FX.messages_tir(spark, sf))
-    w = F.when(F.col("accuracy") == 0.125, 4).when(F.col("accuracy") == 0.25, 2).otherwise(1)
-    return cur.select("conv_id", "tier", F.explode(F.sequence(F.lit(1), w)).alias("copy_no"))
+    return C.upsample(cur, copy_no="copy_no").select("conv_id", "tier", "copy_no")
 
 
 @register("c8_raft_stages", with_views("messages_tir", "trajectory_meta", extra=f"""
@@ -130,7 +131,7 @@ tu AS (SELECT conv_id FROM mm GROUP BY conv_id
 ch AS (SELECT conv_id, cast(sum(coalesce(length(text), 0)) AS bigint) AS traj_chars FROM messages_tir
        WHERE conv_id IN (SELECT conv_id FROM tu) GROUP BY conv_id),
 fu AS (SELECT conv_id, arg_min(text, turn) AS problem FROM messages_tir WHERE role = 'user' GROUP BY conv_id),
-base AS (SELECT m.*, ch.traj_chars, fu.problem FROM mf m JOIN ch ON m.conv_id = ch.conv_id LEFT JOIN fu ON m.conv_id = fu.conv_id),
+base AS (SELECT m.*, ch.traj_chars, fu.problem FROM mf m JOIN ch ON m.conv_id = ch.conv_id JOIN fu ON m.conv_id = fu.conv_id WHERE fu.problem IS NOT NULL),
 s1 AS (SELECT *, 1 AS stage FROM (SELECT *, row_number() OVER (PARTITION BY coalesce(problem, '') ORDER BY traj_chars, uuid) AS rn FROM base) WHERE rn = 1),
 s2 AS (SELECT *, 2 AS stage FROM (SELECT *, row_number() OVER (PARTITION BY coalesce(problem, '') ORDER BY traj_chars, uuid) AS rn
        FROM base WHERE lower(coalesce(data_source, '')) = 'aops') WHERE rn = 1)""") +
@@ -211,9 +212,9 @@ def c17_pack_sequences(spark, sf):
 
 
 @register("c18_judge_requests", with_views("problems", "attempts", "verdicts") + """SELECT DISTINCT
-  md5(substr(p.gold_solution, 1, 200) || '||' || substr(a.response, 1, 400)) AS key
+  md5(md5(p.gold_solution) || '||' || md5(a.response)) AS key
 FROM attempts a JOIN problems p ON a.problem_id = p.problem_id
-WHERE md5(substr(p.gold_solution, 1, 200) || '||' || substr(a.response, 1, 400)) NOT IN (SELECT key FROM verdicts)""")
+WHERE md5(md5(p.gold_solution) || '||' || md5(a.response)) NOT IN (SELECT key FROM verdicts)""")
 def c18_judge_requests(spark, sf):
     a = FX.attempts(spark, sf).join(FX.problems(spark, sf).select("problem_id", "gold_solution"), "problem_id")
     return C.judge_requests(a, FX.verdicts(spark, sf)).select("key")
@@ -247,7 +248,7 @@ _POLICY_SQL = with_views("problems") + f"""SELECT problem_id, expected_answer,
   coalesce({S.num('expected_answer')} = floor({S.num('expected_answer')}) AND {S.num('expected_answer')} BETWEEN 0 AND 99999, false) AS p_integral,
   coalesce({S.num('expected_answer')} BETWEEN 0 AND 99999, false) AS p_float,
   coalesce({S.num(f"regexp_replace({S.strip('expected_answer')}, '[, ]', '', 'g')")} > -1 AND {S.num(f"regexp_replace({S.strip('expected_answer')}, '[, ]', '', 'g')")} < 100000, false) AS p_trunc,
-  coalesce(regexp_matches({S.strip('expected_answer')}, '^-*[0-9]+$') AND try_cast({S.strip('expected_answer')} AS decimal(38,0)) BETWEEN 0 AND 999, false) AS p_aimo,
+  coalesce(regexp_matches({S.strip('expected_answer')}, '^-*[0-9]+$') AND try_cast({S.strip('expected_answer')} AS decimal(38,0)) BETWEEN 0 AND 999, false) AS p_signed_digits,
   CASE WHEN {S.num('expected_answer')} > -9.2e18 AND {S.num('expected_answer')} < 9.2e18 THEN cast(cast(trunc({S.num('expected_answer')}) AS bigint) AS varchar) END AS clean_int
 FROM problems"""
 
@@ -261,7 +262,7 @@ def b4_b5_answer_policies(spark, sf):
                     B.answer_in_range(e, "integral").alias("p_integral"),
                     B.answer_in_range(e, "float").alias("p_float"),
                     B.answer_in_range(e, "trunc").alias("p_trunc"),
-                    B.answer_in_range(e, "aimo").alias("p_aimo"),
+                    B.answer_in_range(e, "signed_digits").alias("p_signed_digits"),
                     B.clean_int_answer(e).alias("clean_int"))
 
 

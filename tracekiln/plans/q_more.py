@@ -38,16 +38,19 @@ def b3_acc_for_split(spark, sf):
     return d.select("problem_id", "split", B.acc_for_split(F.col("metadata"), F.col("split")).alias("accuracy"))
 
 
-_THINK = f"""'<think>' || response || '</think>' || CASE WHEN attempt_id % 2 = 0 THEN ' {chr(92)}boxed{{' || gold || '}}' ELSE '' END"""
+_THINK = f"""'<parameter name="think">' || response || '</parameter>' || CASE WHEN attempt_id % 2 = 0 THEN ' {chr(92)}boxed{{' || gold || '}}' ELSE '' END"""
 
 
-@register("d2_strip_think", with_views("attempts", extra=f"t AS (SELECT problem_id, attempt_id, regexp_replace({_THINK}, '(?s)<think>.*?</think>', '', 'g') AS s FROM attempts)") +
+_SPOKEN = f"""regexp_replace({_THINK}, '(?s)<parameter name="think">.*?</parameter>', '', 'g')"""
+
+
+@register("d2_strip_think", with_views("attempts", extra=f"t AS (SELECT problem_id, attempt_id, {_SPOKEN} AS s FROM attempts)") +
           f"SELECT problem_id, attempt_id, {S.d1('s')} AS pred FROM t")
 def d2_strip_think(spark, sf):
     """Reasoning inside think tags is removed before D1, so only an
     answer after the closing tag counts."""
     a = FX.attempts(spark, sf)
-    t = F.concat(F.lit("<think>"), F.col("response"), F.lit("</think>"),
+    t = F.concat(F.lit('<parameter name="think">'), F.col("response"), F.lit("</parameter>"),
                  F.when(F.col("attempt_id") % 2 == 0, F.concat(F.lit(" \\\\boxed{".replace("\\\\", "\\")), F.col("gold"), F.lit("}")))
                   .otherwise(F.lit("")))
     s = a.select("problem_id", "attempt_id", A.strip_think(t).alias("s"))

@@ -14,11 +14,16 @@ from .registry import register
 
 _RULES = ", ".join(f"('{c}', true, {ok}), ('{c}', false, {bad})" for c, (ok, bad) in R.JUDGED_TABLE.items())
 
+# every third rollout opens with a think block that holds a box of its own
+_THOUGHT = '<parameter name="think">so \\boxed{9}</parameter> '
+
 _E3 = with_views("problems", "attempts", "verdicts", extra=f"""
-f AS (SELECT a.problem_id, a.attempt_id, a.response, a.gold, {S.d1('a.response')} AS pred,
-             length(a.response) AS len, {S.valid_gold('p.gold_solution')} AS gok,
-             md5(substr(p.gold_solution, 1, 200) || '||' || substr(a.response, 1, 400)) AS key
-      FROM attempts a JOIN problems p ON a.problem_id = p.problem_id),
+spoken AS (SELECT *, CASE WHEN attempt_id % 3 = 0 THEN '{_THOUGHT}' ELSE '' END || response AS said FROM attempts),
+f AS (SELECT a.problem_id, a.attempt_id, a.response, a.gold,
+             {S.d1("regexp_replace(a.said, '(?s)<parameter name=" + chr(34) + "think" + chr(34) + ">.*?</parameter>', '', 'g')")} AS pred,
+             length(a.said) AS len, {S.valid_gold('p.gold_solution')} AS gok,
+             md5(md5(p.gold_solution) || '||' || md5(a.said)) AS key
+      FROM spoken a JOIN problems p ON a.problem_id = p.problem_id),
 f2 AS (SELECT *, {S.d12('pred', 'gold')} AS correct FROM f),
 j AS (SELECT f2.*, coalesce(v.reasoning_class, 'wrong_approach') AS cls FROM f2 LEFT JOIN verdicts v ON f2.key = v.key),
 rules(rc, ac, rw) AS (VALUES {_RULES}),
@@ -33,8 +38,10 @@ FROM jr"""
 
 @register("e3_reward_judged", _E3)
 def e3_reward_judged(spark, sf):
-    a = FX.attempts(spark, sf).join(R.judge_inputs(FX.problems(spark, sf)), "problem_id")
-    r = R.reward_judged(a, FX.verdicts(spark, sf), gold_valid="gold_valid", gold_prefix="gold_prefix")
+    thought = F.when(F.col("attempt_id") % 3 == 0, F.lit(_THOUGHT)).otherwise(F.lit(""))
+    a = (FX.attempts(spark, sf).withColumn("response", F.concat(thought, "response"))
+         .join(R.judge_inputs(FX.problems(spark, sf)), "problem_id"))
+    r = R.reward_judged(a, FX.verdicts(spark, sf), gold_valid="gold_valid", gold_md5="gold_md5")
     return r.select("problem_id", "attempt_id", "judge_class", "reward")
 
 

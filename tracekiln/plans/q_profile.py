@@ -202,7 +202,7 @@ def _tech_sql(x):
 
 _TECH = with_views("messages_tir").replace("WITH ", "", 1).rstrip() + f""",
 tech AS (SELECT conv_id, turn, {_classify_sql('text', PR.DOMAIN_KEYWORDS)} AS domain,
-  {_tech_sql("lower(text || ' ' || substr(text, 1, 600))")} AS techniques FROM messages_tir)"""
+  {_tech_sql("lower(text)")} AS techniques FROM messages_tir)"""
 
 
 @register("f15_f16_technique_by_domain", "WITH " + _TECH + """, e AS (SELECT domain, unnest(techniques) AS technique FROM tech),
@@ -212,7 +212,7 @@ SELECT domain, technique, count, rank FROM (
 def f15_f16_technique_by_domain(spark, sf):
     d = FX.messages_tir(spark, sf)
     t = d.select(PR.classify_domain(F.col("text")).alias("domain"),
-                 PR.detect_techniques(F.concat(F.col("text"), F.lit(" "), F.substring("text", 1, 600))).alias("techniques"))
+                 PR.detect_techniques(F.col("text")).alias("techniques"))
     return PR.technique_by_domain(t, "domain", "techniques", 8).select("domain", "technique", "count", "rank")
 
 
@@ -221,7 +221,7 @@ def f15_f16_technique_by_domain(spark, sf):
 WHERE technique <> 'python_computation' GROUP BY technique""".replace("WITH tech", "WITH tech", 1).replace(")SELECT", ")\nSELECT"))
 def f17_cooccurrence(spark, sf):
     d = FX.messages_tir(spark, sf)
-    t = d.select(PR.detect_techniques(F.concat(F.col("text"), F.lit(" "), F.substring("text", 1, 600))).alias("techniques"))
+    t = d.select(PR.detect_techniques(F.col("text")).alias("techniques"))
     return PR.cooccurrence(t, "techniques", "python_computation")
 
 

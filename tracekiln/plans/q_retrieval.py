@@ -52,7 +52,7 @@ _WORDS = f"list_filter(regexp_split_to_array(coalesce(gold_solution, ''), '{S.WS
 
 
 @register("k3_rag_corpus", with_views("problems") + f"""SELECT problem_id, {_PARSE} AS answer_int,
-  md5(array_to_string(list_slice({_WORDS}, 1, 300), ' ')) AS rag_md5
+  md5(array_to_string({_WORDS}, ' ')) AS rag_md5
 FROM problems WHERE {_PARSE} IS NOT NULL AND {wc_sql('gold_solution')} >= 20""")
 def k3_rag_corpus(spark, sf):
     r = K.rag_corpus(FX.problems(spark, sf), "expected_answer", "gold_solution")

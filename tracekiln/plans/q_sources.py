@@ -74,7 +74,7 @@ def _render_section_spark(b):
     return F.concat(
         F.lit("## Problem "), (F.col("item_id") + 1).cast("string"), F.lit("\n\n**Subject:** "), subj,
         F.lit(" | **MOHS:** "), mohs, F.lit("M | **Source:** Bench "), i, F.lit("\n\n### Original\n"), F.col("text"),
-        F.lit("\n\n### Adapted (AIMO3)\n"), F.upper(F.substring("text", 1, 80)), F.lit("\n\n"),
+        F.lit("\n\n### Adapted\n"), F.upper("text"), F.lit("\n\n"),
         F.when(has_ans, F.concat(F.lit("**Answer:** `"), ans, F.lit("`\n\n"))).otherwise(F.lit("")), F.lit("---\n"))
 
 
@@ -83,8 +83,8 @@ def _a4_sql():
     subj = f"['Algebra', 'Combinatorics', 'Geometry', 'Number Theory'][{HS(chr(39) + 's:' + chr(39) + '||' + i)} % 4 + 1]"
     sec = (f"'## Problem ' || cast(item_id + 1 AS varchar) || chr(10) || chr(10) || '**Subject:** ' || {subj} || "
            f"' | **MOHS:** ' || cast({HS(chr(39) + 'h:' + chr(39) + '||' + i)} % 7 AS varchar) || 'M | **Source:** Bench ' || {i} || "
-           f"chr(10) || chr(10) || '### Original' || chr(10) || text || chr(10) || chr(10) || '### Adapted (AIMO3)' || chr(10) || "
-           f"upper(substr(text, 1, 80)) || chr(10) || chr(10) || "
+           f"chr(10) || chr(10) || '### Original' || chr(10) || text || chr(10) || chr(10) || '### Adapted' || chr(10) || "
+           f"upper(text) || chr(10) || chr(10) || "
            f"CASE WHEN {HS(chr(39) + 'n:' + chr(39) + '||' + i)} % 10 <> 0 THEN '**Answer:** `' || "
            f"cast({HS(chr(39) + 'a:' + chr(39) + '||' + i)} % 100000 AS varchar) || '`' || chr(10) || chr(10) ELSE '' END || '---' || chr(10)")
     return f"""WITH r AS (SELECT substr({sec}, 12) AS sec FROM benchmark)
@@ -123,36 +123,45 @@ def a10_migrate_reward_struct(spark, sf):
                     F.md5("extra_info.gold_solution").alias("gold_md5"))
 
 
-def _levels_sql(rounds: int = 7) -> str:
+def _levels_sql(final: str, rounds: int = 7) -> str:
+    # the lemma fixture has six lemmas a problem, so seven rounds settle it
     parts = [with_views("lemmas", "lemma_edges").rstrip() + """,
 known AS (SELECT e.* FROM lemma_edges e JOIN lemmas l ON e.problem_id = l.problem_id AND e.dep = l.lemma_id),
 nd AS (SELECT l.problem_id, l.lemma_id, count(k.dep) AS ndeps FROM lemmas l
        LEFT JOIN known k ON l.problem_id = k.problem_id AND l.lemma_id = k.lemma_id GROUP BY l.problem_id, l.lemma_id),
-lv0 AS (SELECT problem_id, lemma_id, 0 AS level FROM nd WHERE ndeps = 0)"""]
+lv0 AS (SELECT problem_id, lemma_id, 0 AS level,
+        row_number() OVER (PARTITION BY problem_id ORDER BY lemma_id) - 1 AS place FROM nd WHERE ndeps = 0)"""]
     for r in range(1, rounds + 1):
         parts.append(f""",
-g{r} AS (SELECT k.problem_id, k.lemma_id, count(*) AS n, max(v.level) AS mx FROM known k
+g{r} AS (SELECT k.problem_id, k.lemma_id, count(*) AS n, max(v.level) AS mx, max(v.place) AS mp FROM known k
         JOIN lv{r - 1} v ON k.problem_id = v.problem_id AND k.dep = v.lemma_id GROUP BY k.problem_id, k.lemma_id),
 lv{r} AS (SELECT * FROM lv{r - 1} UNION ALL
-        SELECT g.problem_id, g.lemma_id, g.mx + 1 FROM g{r} g JOIN nd ON g.problem_id = nd.problem_id AND g.lemma_id = nd.lemma_id
+        SELECT g.problem_id, g.lemma_id, g.mx + 1,
+          (SELECT count(*) FROM lv{r - 1} t WHERE t.problem_id = g.problem_id)
+          + row_number() OVER (PARTITION BY g.problem_id ORDER BY g.mp, g.lemma_id) - 1 FROM g{r} g JOIN nd ON g.problem_id = nd.problem_id AND g.lemma_id = nd.lemma_id
         WHERE g.n = nd.ndeps AND NOT EXISTS (SELECT 1 FROM lv{r - 1} o WHERE o.problem_id = g.problem_id AND o.lemma_id = g.lemma_id))""")
-    parts.append(f"""
-SELECT l.problem_id, l.lemma_id, cast(v.level AS bigint) AS level, v.level IS NULL AS cyclic,
-  row_number() OVER (PARTITION BY l.problem_id ORDER BY v.level ASC NULLS LAST, l.lemma_id) AS level_order
-FROM lemmas l LEFT JOIN lv{rounds} v ON l.problem_id = v.problem_id AND l.lemma_id = v.lemma_id""")
+    parts.append(f""",
+solved AS (SELECT l.problem_id, l.lemma_id, v.level, v.place, bool_or(v.level IS NULL) OVER (PARTITION BY l.problem_id) AS pc
+  FROM lemmas l LEFT JOIN lv{rounds} v ON l.problem_id = v.problem_id AND l.lemma_id = v.lemma_id)
+{final} FROM solved""")
     return "".join(parts)
 
 
-@register("g15_lemma_levels", _levels_sql())
+_BY_LEVEL = """SELECT problem_id, lemma_id, cast(level AS bigint) AS level, level IS NULL AS cyclic,
+  row_number() OVER (PARTITION BY problem_id ORDER BY CASE WHEN NOT pc THEN level END, lemma_id) AS level_order"""
+_BY_PLACE = """SELECT problem_id, lemma_id, cast(CASE WHEN pc THEN row_number() OVER (PARTITION BY problem_id ORDER BY lemma_id) - 1
+  ELSE place END AS bigint) AS position, pc AS cyclic"""
+
+
+@register("g15_lemma_levels", _levels_sql(_BY_LEVEL))
 def g15_lemma_levels(spark, sf):
-    return EV.lemma_levels(FX.lemmas(spark, sf), FX.lemma_edges(spark, sf), max_depth=7) \
+    return EV.lemma_levels(FX.lemmas(spark, sf), FX.lemma_edges(spark, sf)) \
         .select("problem_id", "lemma_id", "level", "cyclic", "level_order")
 
 
-@register("g15_dependency_order")
+@register("g15_dependency_order", _levels_sql(_BY_PLACE))
 def g15_dependency_order(spark, sf):
-    """G15, the reference's order: Kahn FIFO per problem, id order on cycles
-    (rows-only check; verified against plain Python in the tests)."""
+    """First-in-first-out dependency order per problem, id order on cycles."""
     return EV.dependency_order(FX.lemmas(spark, sf), FX.lemma_edges(spark, sf))
 
 
@@ -160,7 +169,7 @@ _G16 = with_views("lemmas").rstrip() + f""",
 d AS (SELECT l.problem_id, l.lemma_id,
   {HS(chr(39) + 'c:' + chr(39) + '||cast(l.problem_id AS varchar)||' + chr(39) + ':' + chr(39) + '||cast(l.lemma_id AS varchar)')} % 2 = 0 AS has_code,
   {HS(chr(39) + 'o:' + chr(39) + '||cast(l.problem_id AS varchar)||' + chr(39) + ':' + chr(39) + '||cast(l.lemma_id AS varchar)')} % 3 <> 0 AS code_ok,
-  substr(doc.text, 1, cast({HS(chr(39) + 'p:' + chr(39) + '||cast(l.problem_id AS varchar)||' + chr(39) + ':' + chr(39) + '||cast(l.lemma_id AS varchar)')} % 200 AS integer)) AS proof
+  CASE WHEN {HS(chr(39) + 'p:' + chr(39) + '||cast(l.problem_id AS varchar)||' + chr(39) + ':' + chr(39) + '||cast(l.lemma_id AS varchar)')} % 2 = 0 THEN doc.text ELSE '' END AS proof
   FROM lemmas l JOIN documents doc ON l.problem_id = doc.doc_id)
 SELECT problem_id, cast(sum(cast(coalesce(CASE WHEN has_code THEN code_ok ELSE length(proof) > 100 END, false) AS integer)) AS bigint) AS verified,
   count(*) AS total,
@@ -176,5 +185,5 @@ def g16_lemma_verified_ratio(spark, sf):
     k = lambda p: FX.H(FX._k(p, F.col("problem_id"), F.col("lemma_id")))
     x = l.join(d, "problem_id").select(
         "problem_id", "lemma_id", (k("c:") % 2 == 0).alias("has_code"), (k("o:") % 3 != 0).alias("code_ok"),
-        F.col("text").substr(F.lit(1), (k("p:") % 200).cast("int")).alias("proof"))
+        F.when(k("p:") % 2 == 0, F.col("text")).otherwise(F.lit("")).alias("proof"))
     return EV.lemma_verified_ratio(x)

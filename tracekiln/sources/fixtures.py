@@ -9,9 +9,12 @@ every derived row is a pure function of base-table columns and an md5-based
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
 from .tables import read_table
 
 ATTEMPTS_PER_PROBLEM = 8
@@ -37,27 +40,31 @@ def _k(prefix: str, *cols: Column) -> Column:
 
 
 def keyed_documents(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
-    """Documents hash-distributed by ``doc_id``: every view derived from them
-    (problems, attempts, lemmas) inherits that partitioning, so joins between
-    them on the problem key need no further exchange, and the per-row text
-    work is spread over the shuffle partitions rather than over however many
-    row groups the input files happen to have.  The plan reuses this one
-    exchange across views."""
-    # the key filter is explicit so every derived view has the same exchange
-    # child and the plan reuses one shuffle of the documents (ReusedExchange)
-    return (read_table(spark, sf_dir, "documents").where(F.col("doc_id").isNotNull())
-            .select("doc_id", *cols).repartition("doc_id"))
+    """Documents that have an id."""
+    return read_table(spark, sf_dir, "documents").where(F.col("doc_id").isNotNull()).select("doc_id", *cols)
 
 
 def keyed_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations hash-distributed by ``conv_id`` (per-conversation
-    aggregates then run without another exchange)."""
-    return read_table(spark, sf_dir, "conversations").repartition("conv_id")
+    return read_table(spark, sf_dir, "conversations")
+
+
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+
+
+def as_table(df: DataFrame, sf_dir: str, name: str) -> DataFrame:
+    """A view as the table a user would have: written once per application to
+    the shared folder, then only read."""
+    spark = df.sparkSession
+    at = (spark.sparkContext.applicationId, sf_dir, name)
+    if at not in _WRITTEN:
+        path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        _WRITTEN[at] = path
+    return spark.read.parquet(_WRITTEN[at])
 
 
 def problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One problem per document: id, uuid, problem text (first 600 chars),
-    gold solution, source, accuracy on the k/8 grid, expected answer."""
+    """One problem per document: id, uuid, problem text, gold solution, source, accuracy on the k/8 grid, expected answer."""
     d = keyed_documents(spark, sf_dir, "text")
     i = F.col("doc_id")
     f = H(_k("f:", i)) % 8
@@ -68,7 +75,7 @@ def problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(
         i.alias("problem_id"),
         F.md5(_k("u:", i)).alias("uuid"),
-        F.col("text").substr(F.lit(1), F.lit(600)).alias("problem"),
+        F.col("text").alias("problem"),
         F.col("text").alias("gold_solution"),
         F.when(H(_k("s:", i)) % 6 == 0, F.lit("aops")).otherwise(F.lit("stackflow")).alias("data_source"),
         F.when(H(_k("m:", i)) % 10 == 0, F.lit(None).cast("double"))
@@ -78,8 +85,13 @@ def problems(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Eight rollouts per document with a hash-chosen answer suffix."""
-    d = keyed_documents(spark, sf_dir, "text")
+    """Eight rollouts per document: its whole text, rotated by a hash-chosen
+    number of characters, and a hash-chosen answer suffix."""
+    return as_table(_attempts(spark, sf_dir), sf_dir, "attempts")
+
+
+def _attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = keyed_documents(spark, sf_dir, "text").repartition(spark.sparkContext.defaultParallelism, "doc_id")
     a = d.select("doc_id", "text",
                  F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(ATTEMPTS_PER_PROBLEM - 1).cast("bigint"))).alias("attempt_id"))
     i = F.col("doc_id")
@@ -101,7 +113,7 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
         i.alias("problem_id"),
         F.col("attempt_id"),
         G.alias("gold"),
-        F.concat(F.col("text").substr(F.lit(1), n), suffix).alias("response"),
+        F.concat(F.col("text").substr(n + 1, F.length("text")), F.col("text").substr(F.lit(1), n), suffix).alias("response"),
         ((H(F.concat(F.lit("e:"), ik)) % 4000 + 1).cast("double") / F.lit(1000.0)).alias("entropy"),
     )
 
@@ -197,10 +209,13 @@ def lemma_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Judge verdicts keyed by the C18 cache key of (gold solution, response):
     three keys in four are judged; the class is picked by hash."""
-    a = attempts(spark, sf_dir).select("problem_id", "response")
-    p = problems(spark, sf_dir).select("problem_id", F.substring("gold_solution", 1, 200).alias("gold_prefix"))
-    k = a.join(p, "problem_id").select(F.md5(F.concat(
-        F.col("gold_prefix"), F.lit("||"), F.substring("response", 1, 400))).alias("key")).distinct()
+    return as_table(_verdicts(spark, sf_dir), sf_dir, "verdicts")
+
+
+def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = attempts(spark, sf_dir).select("problem_id", F.md5("response").alias("r"))
+    p = problems(spark, sf_dir).select("problem_id", F.md5("gold_solution").alias("g"))
+    k = a.join(p, "problem_id").select(F.md5(F.concat("g", F.lit("||"), "r")).alias("key")).distinct()
     classes = F.array(*[F.lit(c) for c in REASONING_CLASSES])
     return (k.where(H(F.concat(F.lit("vk:"), F.col("key"))) % 4 != 0)
              .select("key", F.element_at(classes, (H(F.concat(F.lit("vc:"), F.col("key"))) % 7 + 1).cast("int"))

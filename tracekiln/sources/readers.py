@@ -22,13 +22,15 @@ COLUMN_ALIASES = {
     "answer": ["answer", "expected_answer", "final_answer", "target"],
     "solution": ["solution", "response", "output", "generation"],
 }
+# The lemma that stands for a text without any.
+FALLBACK_LEMMA = ("Solve the problem directly", "Compute final answer")
 FORMAT_BY_SUFFIX = {".parquet": "parquet", ".jsonl": "json", ".json": "json", ".csv": "csv"}
 
 
 def read_trajectories(spark: SparkSession, paths: dict[str, str], schema=None) -> DataFrame:
     """A1: read named splits, tag each with ``split`` and union by name
-    (missing columns null).  A missing split is skipped with a warning; no
-    split at all is an error."""
+    (missing columns null).  A split whose path does not exist is skipped with a
+    warning, any other failure is raised; no split at all is an error."""
     parts = []
     for split, path in paths.items():
         try:
@@ -36,6 +38,8 @@ def read_trajectories(spark: SparkSession, paths: dict[str, str], schema=None) -
             df = r.parquet(path)
             df.schema  # resolve now so a missing path fails here
         except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             log.warning("split %s skipped: %s", split, str(e).splitlines()[0])
             continue
         parts.append(df.withColumn("split", F.lit(split)))
@@ -179,21 +183,20 @@ def parse_problem_markdown(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_lemmas(text) -> Column:
-    """``**Lemma n**: ...`` sections (at most 8); first line is the
+    """``**Lemma n**: ...`` sections; first line is the
     statement (``- `` stripped), the rest the verification plan; no section ->
     one fallback lemma."""
     t = F.col(text) if isinstance(text, str) else text
     bodies = F.regexp_extract_all(t, F.lit(r"(?is)\*\*Lemma\s*\d+\*\*:?\s*(.+?)(?=\*\*Lemma|$)"), 1)
-    bodies = F.slice(bodies, 1, 8)
 
     def one(b):
         lines = F.split(F.regexp_replace(b, r"^\s+|\s+$", ""), "\n")
         first = F.regexp_replace(F.element_at(lines, 1), r"^[- ]+|[- ]+$", "")
-        rest = F.array_join(F.slice(lines, 2, 1_000_000), "\n")
+        rest = F.array_join(F.slice(lines, F.lit(2), F.size(lines)), "\n")
         return F.struct(first.alias("statement"), F.regexp_replace(rest, r"^\s+|\s+$", "").alias("verification_plan"))
 
-    fallback = F.array(F.struct(F.lit("Solve the problem directly").alias("statement"),
-                                F.lit("Compute final answer").alias("verification_plan")))
+    fallback = F.array(F.struct(F.lit(FALLBACK_LEMMA[0]).alias("statement"),
+                                F.lit(FALLBACK_LEMMA[1]).alias("verification_plan")))
     return F.when(F.size(bodies) > 0, F.transform(bodies, one)).otherwise(fallback)
 
 
