@@ -10,9 +10,9 @@ show where that text begins and ends.
 
 from __future__ import annotations
 
-import os.path
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -52,8 +52,13 @@ class MarkedTurns:
     def label(cls, role: str) -> str:
         return cls.names.get(role) or "=" + cls.role_control.sub(lambda m: "\\" + m[0], role)
 
+    @classmethod
+    def turn(cls, role: str, text: str) -> str:
+        return f"### {cls.label(role)}: {cls.escape(text)} </turn>\n"
+
     def __call__(self, messages: list[Message]) -> str:
-        return "".join(f"### {self.label(role)}: {self.escape(text)} </turn>\n" for role, text in messages)
+        # the turns of a conversation's prefixes recur
+        return "".join((_remembered_turn if len(text) < REMEMBERED else self.turn)(role, text) for role, text in messages)
 
     @classmethod
     def parse(cls, formatted: str) -> list[Message]:
@@ -71,6 +76,28 @@ class MarkedTurns:
         return found
 
 
+REMEMBERED = 1 << 14
+
+
+@lru_cache(maxsize=2048)
+def _remembered_turn(role: str, text: str) -> str:
+    return MarkedTurns.turn(role, text)
+
+
+def _shared(a: str, b: str) -> int:
+    """Length of the common beginning, by comparing halves."""
+    low, high = 0, min(len(a), len(b))
+    if a[:high] == b[:high]:
+        return high
+    while high - low > 1:
+        middle = (low + high) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle
+    return low
+
+
 def locate(messages: list[Message], render: Callable[[list[Message]], str],
            learn: frozenset[str] = frozenset({"assistant"})) -> dict:
     """Render prefix by prefix: text, each turn's span and its text's span.
@@ -79,17 +106,16 @@ def locate(messages: list[Message], render: Callable[[list[Message]], str],
     continues it up to a closing part that every output ends with; then there
     are no spans and nothing is learnt from the conversation.
     """
-    shared = lambda a, b: len(os.path.commonprefix([a, b]))
     turns, before, stable, rewrites = [], "", 0, False
     for n, (role, _) in enumerate(messages, 1):
         output = render(messages[:n])
-        start = shared(before, output)
+        start = _shared(before, output)
         closing = before[start:]
         if start < stable or not output.endswith(closing):
             rewrites = True
             break
         one, two = (render([*messages[:n - 1], (role, p)]) for p in PROBES)
-        left = shared(one, two)
+        left = _shared(one, two)
         right = len(one) - left - 1
         if left < start or output[:left] != one[:left] or output[len(output) - right:] != one[left + 1:]:
             rewrites = True
