@@ -41,6 +41,69 @@ DOMAIN_KEYWORDS_SMALL = {
     "geometry": ["triangle", "circle", "angle", "polygon", "area",
                  "perpendicular", "tangent", "radius", "inscribed"],
 }
+# Three more taxonomies of the same shape.
+DOMAIN_KEYWORDS_SEQUENCES = {
+    "number_theory": ["prime", "divisib", "modulo", "gcd", "lcm", "congruent",
+                      "remainder", "digit", "integer", "factor", "coprime",
+                      "totient", "primitive root", "quadratic residue"],
+    "combinatorics": ["choose", "combinat", "permut", "arrange", "subset",
+                      "count", "ways", "select", "committee", "distribute",
+                      "graph", "path", "cycle", "coloring", "tournament"],
+    "algebra": ["polynomial", "equation", "function", "sequence", "series",
+                "inequality", "maximum", "minimum", "real number", "complex",
+                "functional equation", "recurrence", "sum of", "product of"],
+    "geometry": ["triangle", "circle", "angle", "polygon", "area", "length",
+                 "perpendicular", "parallel", "tangent", "chord", "radius",
+                 "inscribed", "circumscribed", "coordinate", "point"],
+    "sequences": ["sequence", "series", "term", "fibonacci", "arithmetic",
+                  "geometric", "recurrence", "limit", "converge"],
+}
+DOMAIN_KEYWORDS_FUNCTIONAL = {
+    "number_theory": ["prime", "divisib", "modulo", "gcd", "lcm",
+                      "remainder", "digit", "coprime", "factorial"],
+    "combinatorics": ["choose", "combinat", "permut", "arrange",
+                      "count", "ways", "select", "committee"],
+    "algebra": ["polynomial", "equation", "function", "inequality",
+                "maximum", "minimum", "recurrence", "sequence"],
+    "geometry": ["triangle", "circle", "angle", "polygon", "area",
+                 "perpendicular", "tangent", "chord", "radius"],
+    "functional_eq": ["functional equation", "f(x+y)", "g(x+y)", "cauchy"],
+}
+DOMAIN_KEYWORDS_USABLE = {
+    "number_theory": ["prime", "divisib", "modulo", "gcd", "lcm",
+                      "remainder", "digit", "coprime", "factorial"],
+    "combinatorics": ["choose", "combinat", "permut", "arrange",
+                      "count", "ways", "select", "committee"],
+    "algebra": ["polynomial", "equation", "function", "inequality",
+                "maximum", "minimum", "real number", "recurrence"],
+    "geometry": ["triangle", "circle", "angle", "polygon", "area",
+                 "perpendicular", "tangent", "chord", "radius"],
+    "functional_eq": ["functional equation", "f(x+y)", "f(xy)",
+                      "g(x+y)", "cauchy", "f:", "g:"],
+}
+# The shorter technique list.
+TECHNIQUES_SHORT = {
+    "modular_arithmetic": ["mod", "modulo", "congruent", "remainder"],
+    "inclusion_exclusion": ["inclusion-exclusion", "inclusion exclusion"],
+    "generating_functions": ["generating function", "power series"],
+    "functional_equations": ["functional equation", "f(x+y)", "g(x+y)"],
+    "linear_recurrences": ["recurrence", "a_n =", "linear recurrence"],
+    "pigeonhole": ["pigeonhole", "drawer"],
+    "invariant": ["invariant", "monovariant"],
+    "induction": ["induction", "base case", "inductive"],
+    "extremal": ["maximum", "minimum", "extremal", "optimal"],
+    "bijection": ["bijection", "one-to-one"],
+    "vieta_jumping": ["vieta jumping", "vieta"],
+    "am_gm": ["am-gm", "arithmetic mean", "geometric mean"],
+    "cauchy_schwarz": ["cauchy-schwarz", "cauchy schwarz"],
+    "infinite_descent": ["infinite descent", "well-ordering"],
+    "graph_theory": ["graph", "vertex", "edge", "spanning tree"],
+    "floor_ceiling": ["floor", "ceiling", "\\lfloor", "\\lceil"],
+    "complex_numbers": ["complex number", "roots of unity", "argument"],
+    "number_theory_adv": ["lifting the exponent", "lte", "zsygmondy",
+                          "primitive root"],
+    "polynomial_roots": ["vieta formulas", "factor theorem", "polynomial root"],
+}
 TECHNIQUES = {
     "modular_arithmetic": ["mod", "modulo", "congruent", "remainder"],
     "tower_exponentiation": ["tower", "a^(b^c)", "power tower", "tetration"],
@@ -292,11 +355,11 @@ def classify_domain(text, taxonomy: dict | None = None) -> Column:
     return F.when(best["s"] > 0, best["d"]).otherwise(F.lit("other"))
 
 
-def detect_techniques(text) -> Column:
+def detect_techniques(text, techniques: dict | None = None) -> Column:
     """array of techniques whose (lower-cased) keywords occur in ``text``
     (callers pass lower(solution || ' ' || problem))."""
     low = F.lower(_c(text))
-    hits = [F.when(_any_contains(low, kws, lower_words=True), F.lit(name)) for name, kws in TECHNIQUES.items()]
+    hits = [F.when(_any_contains(low, kws, lower_words=True), F.lit(name)) for name, kws in (techniques or TECHNIQUES).items()]
     return F.filter(F.array(*hits), lambda x: x.isNotNull())
 
 

@@ -10,7 +10,7 @@ from ..operators import rewards as R
 from ..oracle import sqlfn as S
 from ..oracle.fixtures_sql import with_views
 from ..sources import fixtures as FX
-from .registry import register
+from .registry import ORACLE, register
 
 _RULES = ", ".join(f"('{c}', true, {ok}), ('{c}', false, {bad})" for c, (ok, bad) in R.JUDGED_TABLE.items())
 
@@ -143,3 +143,17 @@ def e10_pair_stats(spark, sf):
     two = P.pairs_two_way(a, p, s).select(F.lit("two_way").alias("policy"), "outcome")
     one = P.pairs_vs_gold(a, p).select(F.lit("vs_gold").alias("policy"), "outcome")
     return P.pair_stats(two.unionByName(one), ["policy"])
+
+
+@register("a9_write_pairs", "SELECT prompt_md5, chosen_md5, rejected_md5 FROM (" + ORACLE["e7_pairs_vs_gold"] + ") WHERE outcome = 'pair'")
+def a9_write_pairs(spark, sf):
+    """Pairs as JSON lines, read back."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    from ..sources import readers as RD
+    path = f"{ensure_checkpoint_dir(spark)}/roundtrip/a9_{uuid.uuid4().hex}.jsonl"
+    pairs = P.pairs_vs_gold(FX.attempts(spark, sf), FX.problems(spark, sf))
+    RD.write_pairs(pairs.where("outcome = 'pair'"), path)
+    back = RD.read_any(spark, path)
+    return back.select(F.md5("prompt").alias("prompt_md5"), F.md5("chosen").alias("chosen_md5"), F.md5("rejected").alias("rejected_md5"))

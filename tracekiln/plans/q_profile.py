@@ -195,8 +195,20 @@ def f14_classify_domain(spark, sf):
             .agg(F.count("*").alias("n"))
 
 
-def _tech_sql(x):
-    hits = [f"CASE WHEN {_anyc(x, kws, lower=True)} THEN '{name}' END" for name, kws in PR.TECHNIQUES.items()]
+_MORE = {"sequences": PR.DOMAIN_KEYWORDS_SEQUENCES, "functional": PR.DOMAIN_KEYWORDS_FUNCTIONAL, "usable": PR.DOMAIN_KEYWORDS_USABLE}
+
+
+@register("f14_more_taxonomies", "SELECT sequences, functional, usable, count(*) AS n FROM (SELECT " + ", ".join(
+    f"{_classify_sql('text', kws)} AS {name}" for name, kws in _MORE.items()) + " FROM documents) GROUP BY ALL")
+def f14_more_taxonomies(spark, sf):
+    """F14 with the other three taxonomies."""
+    d = _docs(spark, sf)
+    return d.groupBy(*[PR.classify_domain(F.col("text"), kws).alias(name) for name, kws in _MORE.items()]) \
+            .agg(F.count("*").alias("n"))
+
+
+def _tech_sql(x, techniques=PR.TECHNIQUES):
+    hits = [f"CASE WHEN {_anyc(x, kws, lower=True)} THEN '{name}' END" for name, kws in techniques.items()]
     return f"list_filter([{', '.join(hits)}], lambda t: t IS NOT NULL)"
 
 
@@ -321,3 +333,11 @@ def f28_label_change_report(spark, sf):
     g = FX.attempts(spark, sf).select("problem_id", "gold").dropDuplicates(["problem_id"])
     j = FX.problems(spark, sf).join(g, "problem_id")
     return PR.label_change_report(j, "expected_answer", "gold")
+
+
+@register("f15_short_list", f"""SELECT technique, count(*) AS n FROM (
+  SELECT unnest({_tech_sql('lower(text)', PR.TECHNIQUES_SHORT)}) AS technique FROM documents) GROUP BY technique""")
+def f15_short_list(spark, sf):
+    """F15 with the shorter technique list."""
+    t = _docs(spark, sf).select(F.explode(PR.detect_techniques(F.col("text"), PR.TECHNIQUES_SHORT)).alias("technique"))
+    return t.groupBy("technique").agg(F.count("*").alias("n"))

@@ -187,3 +187,65 @@ def g16_lemma_verified_ratio(spark, sf):
         "problem_id", "lemma_id", (k("c:") % 2 == 0).alias("has_code"), (k("o:") % 3 != 0).alias("code_ok"),
         F.when(k("p:") % 2 == 0, F.col("text")).otherwise(F.lit("")).alias("proof"))
     return EV.lemma_verified_ratio(x)
+
+
+@register("a6_detect_columns", with_views("problems") +
+          "SELECT problem_id, md5(problem) AS question_md5, expected_answer AS answer, md5(gold_solution) AS solution_md5 FROM problems")
+def a6_detect_columns(spark, sf):
+    """Columns under other names are found and renamed by role."""
+    p = FX.problems(spark, sf).select("problem_id", F.col("problem").alias("Problem"), F.col("expected_answer").alias("Final_Answer"),
+                                      F.col("gold_solution").alias("generation"))
+    r = RD.rename_detected(p)
+    return r.select("problem_id", F.md5("question").alias("question_md5"), "answer", F.md5("solution").alias("solution_md5"))
+
+
+@register("a8_dataset_card", with_views("problems") + """
+SELECT 'sources' AS card, data_source AS value, count(*) AS n FROM problems GROUP BY data_source
+UNION ALL SELECT 'accuracy', coalesce(cast(round(acc_high_tool, 3) AS varchar), 'none'), count(*) FROM problems GROUP BY round(acc_high_tool, 3)
+UNION ALL SELECT 'content', 'rows', count(*) FROM problems
+UNION ALL SELECT 'words', 'rows', count(*) FROM problems""")
+def a8_dataset_card(spark, sf):
+    """The card's tables in one."""
+    card = RD.dataset_card(FX.problems(spark, sf), "data_source", "acc_high_tool", "problem")
+    rows = [card["sources"].select(F.lit("sources").alias("card"), F.col("data_source").alias("value"), "n"),
+            card["accuracy"].select(F.lit("accuracy"), F.coalesce(F.col("accuracy").cast("string"), F.lit("none")), "n"),
+            card["content"].select(F.lit("content"), F.lit("rows"), "n"), card["words"].select(F.lit("words"), F.lit("rows"), "n")]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.union(r)
+    return out
+
+
+_LEMMA_SQL = """SELECT item_id + 1 AS number, 'b' || item_id AS problem_id, item_id * 7 AS answer, 1 AS lemma_no, 'first' AS title,
+  md5(trim(regexp_replace(text, '[ \\t\\n]+', ' ', 'g'))) AS statement_md5, 'check ' || item_id AS verification FROM benchmark
+UNION ALL SELECT item_id + 1, 'b' || item_id, item_id * 7, 2, 'second', md5('so'), '' FROM benchmark"""
+
+
+@register("a12_lemma_markdown", "SELECT cast(number AS bigint) AS number, problem_id, cast(answer AS bigint) AS answer, "
+          "cast(lemma_no AS bigint) AS lemma_no, title, statement_md5, verification FROM (" + _LEMMA_SQL + ")")
+def a12_lemma_markdown(spark, sf):
+    """The benchmark as lemma markdown files, parsed back."""
+    path = _scratch(spark, "a12")
+    i = F.col("item_id").cast("string")
+    one_line = F.trim(F.regexp_replace("text", "[ \\t\\n]+", " "))
+    sec = F.concat(F.lit("## Problem "), (F.col("item_id") + 1).cast("string"), F.lit(": title\n\n**ID:** b"), i, F.lit(" | **Answer:** "),
+                   (F.col("item_id") * 7).cast("string"), F.lit("\n\n**Lemma 1 (first):** "), one_line, F.lit("\n*Verification:* check "), i,
+                   F.lit("\n\n**Lemma 2 (second):** so\n*Verification:* \n"))
+    read_table(spark, sf, "benchmark").select(sec.alias("value")).repartition(4).write.mode("overwrite").text(path)
+    m = RD.parse_lemma_markdown(spark, path)
+    return m.select("number", "problem_id", "answer", "lemma_no", "title", F.md5("statement").alias("statement_md5"), "verification")
+
+
+@register("d21_parse_lemmas", with_views("problems") + f"""
+SELECT problem_id, 1 AS lemma_no, CASE WHEN problem_id % 3 = 0 THEN 'Solve the problem directly' ELSE md5(problem) END AS statement,
+  md5(CASE WHEN problem_id % 3 = 0 THEN 'Compute final answer' ELSE {S.strip('problem')} END) AS plan_md5 FROM problems
+UNION ALL SELECT problem_id, n, 'lemma ' || n, md5('') FROM problems, range(2, 12) t(n) WHERE problem_id % 3 <> 0""")
+def d21_parse_lemmas(spark, sf):
+    """Eleven lemmas in a text, or none."""
+    p = FX.problems(spark, sf)
+    more = F.array_join(F.transform(F.sequence(F.lit(2), F.lit(11)), lambda n: F.concat(
+        F.lit("**Lemma "), n.cast("string"), F.lit("**: lemma "), n.cast("string"))), "\n")
+    text = F.when(F.col("problem_id") % 3 == 0, F.lit("no sections here")).otherwise(F.concat(
+        F.lit("intro **Lemma 1**: - "), F.md5("problem"), F.lit("\n"), F.col("problem"), F.lit("\n"), more))
+    return p.select("problem_id", F.posexplode(RD.parse_lemmas(text)).alias("i", "l")).select(
+        "problem_id", (F.col("i") + 1).alias("lemma_no"), F.col("l.statement").alias("statement"), F.md5("l.verification_plan").alias("plan_md5"))
