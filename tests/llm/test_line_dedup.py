@@ -21,7 +21,7 @@ def near(a, b):
 def brute(rows, hashes, least=8):
     """Text of every row by comparing every line with every earlier one."""
     keys = sorted({((d is None, d or 0, hashes[t]), t) for d, t in rows if t is not None})
-    places = [(key, pos, line.strip(" ").lower()) for key, t in keys for pos, line in enumerate(t.split("\n"))]
+    places = [(key, pos, line.strip(" ")) for key, t in keys for pos, line in enumerate(t.split("\n"))]
     first = {}
     for key, pos, line in places:
         if line:

@@ -2,7 +2,7 @@
 
 Two lines are near duplicates if they are equal, or both have at least
 ``min_words`` words and one word inserted, deleted or replaced turns one into the
-other (lower case, outer blanks removed, words between single spaces).  The
+other (outer blanks removed, words between single spaces).  The
 earliest such line, by document id and place, stays.
 
 1. Equal lines meet by hash; the earliest stands for them.
@@ -32,14 +32,14 @@ from . import bloom, common
 MOD = (1 << 62) - 1
 # A word may end a part if its last character is one of these; of such words one in 2**(level - 1), by hash,
 # does at a level.  At level 0 every word is a part.
-CUT = r"(?<=[dny\p{Punct}\p{Nd}]) "
-LEAST_LEVEL_WORDS, TOP = 32, 14         # level 1 up to so many words, one more for every doubling
-FEW, ENOUGH = 3, 4
+CUT = r" (?<=[dny0-9!-/:-@\[-`{-~] )"
+LEVEL_CHUNKS, TOP = 7, 14               # level 1 up to so many chunks (parts of level 1), one more for every doubling
+FEW, ENOUGH = 2, 3
 KEY = ["late", "id", "th"]
 
 
 def _canonical(line: Column) -> Column:
-    return F.lower(F.trim(line))
+    return F.trim(line)
 
 
 def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -54,24 +54,20 @@ def _lines(documents: DataFrame) -> DataFrame:
             .withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit("2"), F.col("line"))))
 
 
-def _n_words(line: str) -> Column:
-    return F.length(line) - F.length(F.replace(F.col(line), F.lit(" "), F.lit(""))) + 1
-
-
-def _start_level(n: Column) -> Column:
-    return F.least(F.lit(TOP), F.greatest(F.lit(1), F.ceil(F.log2(n / LEAST_LEVEL_WORDS)).cast("int") + 1))
+def _start_level(chunks: Column) -> Column:
+    return F.least(F.lit(TOP), F.greatest(F.lit(1), F.ceil(F.log2(chunks / LEVEL_CHUNKS)).cast("int") + 1))
 
 
 def _with_variants(lines: DataFrame, min_words: int) -> DataFrame:
     """Adds ``keys``: hashes of the line's variants; empty for short lines.
 
     Levels are tried from coarse to fine.  One with at least ``FEW`` parts emits; the
-    search ends at one with ``ENOUGH`` that is no coarser than a line of n - 1 words would
-    start at, and starts where one of n + 1 words would.  An edit changes the count of parts by one
+    search ends at one with ``ENOUGH`` that is no coarser than a line of one chunk less would
+    start at, and starts where one of one chunk more would.  An edit changes the count of a level's parts by one
     at most, so two lines within the bound emit at some common level.
     """
     none = F.array().cast("array<bigint>")
-    df = lines.withColumn("n", _n_words("line")).withColumn("near", F.col("n") >= min_words)
+    df = lines.withColumn("near", F.substring_index("line", " ", min_words - 1) != F.col("line"))
     df = df.withColumn("chunks", F.when(F.col("near"), F.split("line", CUT)).otherwise(F.array().cast("array<string>")))
     # the last word ends the line whether it may end a part or not
     last_word = F.transform(F.slice("chunks", 1, F.greatest(F.size("chunks") - 1, F.lit(0))),
@@ -82,8 +78,8 @@ def _with_variants(lines: DataFrame, min_words: int) -> DataFrame:
               h.bitwiseOR(1 << TOP - 1).bitwiseXOR(h.bitwiseOR(1 << TOP - 1) - 1)).cast("int"))))
     ranked = F.sort_array("tops", asc=False)
     at_least = lambda parts: F.coalesce(F.get(ranked, F.lit(parts - 2)), F.lit(0))  # noqa: E731  coarsest level with so many parts
-    df = (df.withColumn("fine", F.least(at_least(ENOUGH), _start_level(F.col("n") - 1)))
-          .withColumn("coarse", F.greatest("fine", F.least(at_least(FEW), _start_level(F.col("n") + 1)))))
+    df = (df.withColumn("fine", F.least(at_least(ENOUGH), _start_level(F.greatest(F.size("chunks") - 1, F.lit(1)))))
+          .withColumn("coarse", F.greatest("fine", F.least(at_least(FEW), _start_level(F.size("chunks") + 1)))))
     by_level = F.flatten(F.transform(F.sequence(F.greatest("fine", F.lit(1)), F.greatest("coarse", F.lit(1))), _part_hashes))
     keys = F.when(~F.col("near"), none).when(F.col("coarse") == 0, _keys(_words(), F.lit(0))).when(
         F.col("fine") == 0, F.concat(_keys(_words(), F.lit(0)), by_level)).otherwise(by_level)
@@ -104,7 +100,8 @@ def _part_hashes(level: Column) -> Column:
 
 
 def _keys(parts: Column, level: Column) -> Column:
-    """The line without one part, and without two neighbouring ones.  What remains is
+    """The line without one part, and without two neighbouring ones unless nothing is left
+    (such a line has no partner that needs it: one of two parts against one of three).  What remains is
     the sum of its parts' hashes, so leaving parts out is a subtraction; lines with
     the same parts in another order are told apart by the comparison of words."""
     def build(p: Column) -> Column:
@@ -112,22 +109,23 @@ def _keys(parts: Column, level: Column) -> Column:
         key = lambda rest: F.xxhash64(level, rest.bitwiseAND(MOD))
         return F.flatten(F.transform(F.array(whole), lambda s: F.concat(
             F.transform(p, lambda x: key(s - x)),
-            F.transform(F.slice(p, F.lit(2), F.size(p)), lambda x, i: key((s - x).bitwiseAND(MOD) - F.get(p, i))))))
+            F.transform(F.slice(p, F.lit(2), F.when(F.size(p) > 2, F.size(p)).otherwise(F.lit(0))),
+                        lambda x, i: key((s - x).bitwiseAND(MOD) - F.get(p, i))))))
 
     return F.flatten(F.transform(F.array(parts), build))
 
 
 def near_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                          min_words: int = 8) -> tuple[DataFrame, DataFrame]:
-    """(distinct lines ``h1, h2, first``; those of them that have an earlier near duplicate ``h1, h2``).
+    """(distinct lines ``h1, h2, first, copies``; those of them that have an earlier near duplicate ``h1, h2``).
 
-    ``first`` is the earliest place ``late, id, th, pos`` of an equal line.
+    ``first`` is the earliest place ``late, id, th, pos`` of an equal line, ``copies`` the number of all.
     """
     documents = _documents(docs, id_col, text_col)
     lines = _lines(documents)
     distinct = common.stored(
         _with_variants(lines, min_words).select("h1", "h2", "first", "keys")
-        .groupBy("h1", "h2").agg(F.min("first").alias("first"), F.first("keys").alias("keys")), "distinct-lines")
+        .groupBy("h1", "h2").agg(F.min("first").alias("first"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("copies")), "distinct-lines")
     shared = common.stored(distinct.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
                            .where("n > 1"), "shared-variants")
     members = common.stored(
@@ -154,7 +152,7 @@ def near_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     more = _verified(emitted.join(groups, ["place", "rest"]).where("first > e.first")
                      .select(*line, F.col("e.h1").alias("e1"), F.col("e.h2").alias("e2")).distinct(), texts)
     later = linked.select(*line).unionByName(more.select(*line)).distinct()
-    return distinct.select(*line, "first"), common.stored(later, "later-lines")
+    return distinct.select(*line, "first", "copies"), common.stored(later, "later-lines")
 
 
 def _neighbourhood() -> Column:
@@ -200,11 +198,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept = (distinct.join(later, ["h1", "h2"], "left_anti").select("first.*")
             .groupBy(*KEY, block).agg(F.bit_or(bit).alias("bits"))
             .groupBy(*KEY).agg(F.collect_list(F.struct("block", "bits")).alias("kept")))
+    # documents without a line that is repeated or goes are not moved
+    touched = distinct.where("copies > 1").select("h1").unionByName(later.select("h1"))
+    n = bloom.n_blocks(touched.count(), max_bytes=4 << 20)
     rows = docs.select(F.col(id_col).alias("doc_id"), *[F.col(c).alias(f"keep_{c}") for c in keep],
                        F.col(id_col).isNull().alias("late"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(0)).alias("id"),
                        F.xxhash64(F.col(text_col).cast("string")).alias("th"), F.col(text_col).cast("string").alias("text"))
-    joined = (rows.join(kept, KEY, "left")
-              .withColumn("lines", F.split("text", "\n"))
+    rows = rows.withColumn("filter", bloom.inline(touched, "h1", n)).withColumn("lines", F.split("text", "\n"))
+    touches = F.coalesce(F.exists("lines", lambda x: bloom.perhaps_in("filter", F.xxhash64(_canonical(x)), n)), F.lit(False))
+    joined = (rows.where(touches).drop("filter", "lines").join(kept, KEY, "left").withColumn("lines", F.split("text", "\n"))
               .withColumn("bits", F.when(F.col("kept").isNotNull(), F.map_from_entries("kept")))
               # all blocks of 64 lines, so that a line's bit is found by its place
               .withColumn("bits", F.transform(F.sequence(F.lit(0), F.shiftright(F.size("lines"), 6)),
@@ -212,5 +214,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
               .withColumn("stay", F.filter("lines", lambda x, i: (F.trim(x) == "") | (F.call_function(
                   "shiftright", F.get("bits", F.shiftright(i, 6)), i.bitwiseAND(63)).bitwiseAND(1) == 1))))
     size = lambda c: F.when(F.col("text").isNull(), 0).otherwise(F.size(c)).cast("bigint")
-    return joined.select("doc_id", *[F.col(f"keep_{c}").alias(c) for c in keep], size("lines").alias("n_lines"),
-                         size("stay").alias("n_kept"), F.array_join("stay", "\n").alias("text"))
+    out = lambda df, text, lines, stay: df.select("doc_id", *[F.col(f"keep_{c}").alias(c) for c in keep],
+                                                  size(lines).alias("n_lines"), size(stay).alias("n_kept"), text.alias("text"))
+    return out(joined, F.array_join("stay", "\n"), "lines", "stay").unionByName(
+        out(rows.where(~touches), F.col("text"), "lines", "lines"))

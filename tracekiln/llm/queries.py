@@ -43,7 +43,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP2_SQL = """
 with docs as (select distinct doc_id, text, string_split(text, chr(10)) as l from documents),
-lines as (select doc_id, p - 1 as pos, lower(trim(l[p], ' ')) as line from docs, lateral unnest(range(1, len(l) + 1)) as t(p)),
+lines as (select doc_id, p - 1 as pos, trim(l[p], ' ') as line from docs, lateral unnest(range(1, len(l) + 1)) as t(p)),
 firsts as (select line, min((doc_id, pos)) as first from lines where line <> '' group by line),
 words as (select line, first, string_split(line, ' ') as w from firsts where len(string_split(line, ' ')) >= 8),
 keys as (select line, first, p as place, line as rest from words, lateral unnest(range(0, len(w) + 1)) as t(p)
