@@ -4,11 +4,11 @@ Documents are sets of five-word shingles; those with equal sets are one class
 (copies are never paired).  A class has a MinHash signature.  In a run, every
 bucket of classes is split on sampled signature positions: members that share the value
 at a position fall into a common child.  A bucket of at most ``SMALL`` classes is compared
-by brute force, larger ones are split again.  Those that twice in a row, or on a long path, stay
-(nearly) whole hold near copies throughout and are linked as they are.  A pair of similarity J goes on together with probability J for each
+by brute force, larger ones are split again.  Those that are still large at the greatest depth
+hold near copies throughout and are linked as they are.  A pair of similarity J goes on together with probability J for each
 sampled position (one, or two for a quarter of the nodes), so its chance per run is known
-for every depth, and runs are repeated until the target recall holds at the
-deepest bucket met.
+for every depth, and there are as many runs as the target recall needs at the greatest
+depth.
 
 The brute force in buckets is on signatures and links what may be similar; the
 classes that are linked, directly or not, are then all compared exactly, in
@@ -32,7 +32,7 @@ from .components import components
 
 SIGNATURE = 64
 NODE_SECOND = 4                 # one node in so many is split on two positions
-SMALL, DEPTH, WHOLE = 200, 5, 2
+SMALL, DEPTH = 200, 3
 BLOCK_SHINGLES = 200_000
 SEEDS = np.random.default_rng(20240229).integers(1, 1 << 63, SIGNATURE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -144,43 +144,35 @@ def candidate_edges(classes: DataFrame, threshold: float, recall: float) -> Data
     sigs = classes.select("cid", "sig")
     found: DataFrame | None = None
     rng = np.random.default_rng(5)
-    done, wanted = 0, runs_for(threshold, 2, recall)
-    while done < wanted:
-        # positions by which the root, which holds all classes, is split in each run
-        picks = [(r, int(p)) for r in range(done, wanted)
-                 for p in rng.choice(SIGNATURE, 1 + (rng.random() < 1 / NODE_SECOND), replace=False)]
-        keys = F.array(*[F.xxhash64(F.lit(r), F.lit(p), _at(F.lit(p))) for r, p in picks])
-        level = common.stored(_shared(sigs.select("cid", F.explode(keys).alias("key")))
-                              .select("key", "n", "cid", F.lit(0).alias("whole")), "buckets")
-        deepest, depth = 1, 1
-        while True:
-            ripe = level.where(F.col("n") <= SMALL)
-            edges = _similar_in_buckets(ripe, sigs, 0.75 * threshold)
-            found = edges if found is None else found.unionByName(edges)
-            large = level.where(F.col("n") > SMALL)
-            if large.isEmpty():
-                break
-            deepest = depth
+    # positions by which the root, which holds all classes, is split in each run
+    picks = [(r, int(p)) for r in range(runs_for(threshold, DEPTH, recall))
+             for p in rng.choice(SIGNATURE, 1 + (rng.random() < 1 / NODE_SECOND), replace=False)]
+    keys = F.array(*[F.xxhash64(F.lit(r), F.lit(p), _at(F.lit(p))) for r, p in picks])
+    level = common.stored(_shared(sigs.select("cid", F.explode(keys).alias("key")))
+                          .select("key", "n", "cid"), "buckets")
+    depth = 1
+    while True:
+        ripe = level.where(F.col("n") <= SMALL)
+        edges = _similar_in_buckets(ripe, sigs, 0.75 * threshold)
+        found = edges if found is None else found.unionByName(edges)
+        large = level.where(F.col("n") > SMALL)
+        if large.isEmpty():
+            break
+        if depth == DEPTH:
             # near copies throughout: linked to the least class, compared exactly later
-            settled = large if depth == DEPTH else large.where(F.col("whole") >= WHOLE)
-            least = settled.groupBy("key").agg(F.min("cid").alias("b"))
-            found = found.unionByName(settled.join(least, "key").select(F.col("cid").alias("a"), "b"))
-            if depth == DEPTH:
-                break
-            large = large.where(F.col("whole") < WHOLE)
-            # a bucket's own positions
-            first = F.pmod(F.xxhash64("key", F.lit("first")), F.lit(SIGNATURE)).cast("int")
-            second = F.pmod(first + 1 + F.pmod(F.xxhash64("key", F.lit("second")), F.lit(SIGNATURE - 1)).cast("int"), F.lit(SIGNATURE))
-            two = F.pmod(F.xxhash64("key", F.lit("two")), F.lit(NODE_SECOND)) == 0
-            child = lambda p: F.xxhash64("key", p, _at(p))
-            split = (large.join(sigs, "cid")
-                     .select("cid", "whole", F.col("n").alias("parent"), F.explode(F.when(two, F.array(child(first), child(second))).otherwise(F.array(child(first)))).alias("key")))
-            counts = split.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-            whole = F.when(F.col("n") >= threshold * F.col("parent"), F.col("whole") + 1).otherwise(F.lit(0))
-            level = common.stored(split.join(counts, "key").select("key", "n", "cid", whole.alias("whole")), "buckets")
-            depth += 1
-        done = wanted
-        wanted = max(wanted, runs_for(threshold, min(deepest + 1, DEPTH), recall))
+            least = large.groupBy("key").agg(F.min("cid").alias("b"))
+            found = found.unionByName(large.join(least, "key").select(F.col("cid").alias("a"), "b"))
+            break
+        # a bucket's own positions
+        first = F.pmod(F.xxhash64("key", F.lit("first")), F.lit(SIGNATURE)).cast("int")
+        second = F.pmod(first + 1 + F.pmod(F.xxhash64("key", F.lit("second")), F.lit(SIGNATURE - 1)).cast("int"), F.lit(SIGNATURE))
+        two = F.pmod(F.xxhash64("key", F.lit("two")), F.lit(NODE_SECOND)) == 0
+        child = lambda p: F.xxhash64("key", p, _at(p))
+        split = (large.join(sigs, "cid")
+                 .select("cid", F.explode(F.when(two, F.array(child(first), child(second))).otherwise(F.array(child(first)))).alias("key")))
+        counts = split.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        level = common.stored(split.join(counts, "key").select("key", "n", "cid"), "buckets")
+        depth += 1
     return common.stored(found.distinct(), "candidate-edges")
 
 
