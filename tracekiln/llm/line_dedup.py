@@ -35,6 +35,7 @@ MOD = (1 << 62) - 1
 CUT = r" (?<=[dny0-9!-/:-@\[-`{-~] )"
 LEVEL_CHUNKS, TOP = 7, 14               # level 1 up to so many chunks (parts of level 1), one more for every doubling
 FEW, ENOUGH = 2, 3
+LEVEL_MARK = 0x9E3779B97F4A7        # keys of different levels differ
 KEY = ["late", "id", "th"]
 
 
@@ -106,7 +107,7 @@ def _keys(parts: Column, level: Column) -> Column:
     the same parts in another order are told apart by the comparison of words."""
     def build(p: Column) -> Column:
         whole = F.aggregate(p, F.lit(0).cast("bigint"), lambda s, x: (s + x).bitwiseAND(MOD))
-        key = lambda rest: F.xxhash64(level, rest.bitwiseAND(MOD))
+        key = lambda rest: rest.bitwiseAND(MOD).bitwiseXOR(level.cast("bigint") * F.lit(LEVEL_MARK))
         return F.flatten(F.transform(F.array(whole), lambda s: F.concat(
             F.transform(p, lambda x: key(s - x)),
             F.transform(F.slice(p, F.lit(2), F.when(F.size(p) > 2, F.size(p)).otherwise(F.lit(0))),
