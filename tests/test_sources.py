@@ -101,3 +101,14 @@ def test_flatten_metadata_pushes_down(spark):
     plan = q._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(acc_high_with_tool), GreaterThan(acc_high_with_tool,0.0)" in plan
     assert [r["id"] for r in q.collect()] == [1]
+
+
+def test_card_query_returns_every_value(spark):
+    from tracekiln import catalog
+    from .conftest import SF_SMALL
+    rows = catalog.queries()["a8_dataset_card_values"](spark, SF_SMALL).collect()
+    got = {(r.card, r.value): r.amount for r in rows}
+    assert {v for c, v in got if c == "content"} == {"code", "boxed", "sympy", "python"}
+    assert all(0 < got["content", v] < 1 for v in ("code", "boxed", "sympy", "python"))
+    assert got["words", "p50"] < got["words", "p90"]
+    assert abs(sum(a for (c, _), a in got.items() if c == "sources") - 100) < 1e-4

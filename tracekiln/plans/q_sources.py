@@ -17,7 +17,7 @@ from ..sources import fixtures as FX
 from ..sources import readers as RD
 from ..sources.tables import read_table
 from . import jobs
-from .q_curation import _curated_sql
+from .q_curation import _curated_sql, wc_sql
 from .registry import register
 
 
@@ -216,6 +216,38 @@ def a8_dataset_card(spark, sf):
     return out
 
 
+_CARD_TEXT = f"""problem || CASE {HS("'k:'||cast(problem_id AS varchar)")} % 5
+  WHEN 0 THEN chr(10) || '```python' || chr(10) || 'import sympy' || chr(10) || '```' WHEN 1 THEN ' ' || chr(92) || 'boxed{{7}}'
+  WHEN 2 THEN ' in Python' ELSE '' END"""
+_CARD_SHARES = {"code": "contains(t, '```')", "boxed": "contains(t, chr(92) || 'boxed')",
+                "sympy": "contains(lower(t), 'sympy')", "python": "contains(lower(t), 'python')"}
+
+
+@register("a8_dataset_card_values", with_views("problems").rstrip() + f""",
+x AS (SELECT data_source, acc_high_tool, {_CARD_TEXT} AS t FROM problems)
+SELECT 'sources' AS card, data_source AS value, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 6) AS amount FROM x GROUP BY data_source
+UNION ALL SELECT 'accuracy', coalesce(cast(round(acc_high_tool, 3) AS varchar), 'none'), count(*), NULL FROM x GROUP BY round(acc_high_tool, 3)
+""" + "".join(f"UNION ALL SELECT 'content', '{k}', count(*), round(avg(cast({c} AS double)), 6) FROM x\n" for k, c in _CARD_SHARES.items())
+          + "".join(f"UNION ALL SELECT 'words', 'p{int(p * 100)}', count(*), round(quantile_cont({wc_sql('t')}, {p}), 6) FROM x\n" for p in (0.5, 0.9)))
+def a8_dataset_card_values(spark, sf):
+    """Every value of the card: % of a source, rows of an accuracy, content shares,
+    word quantiles; the texts get code, boxed answers and library names by hash."""
+    p = FX.problems(spark, sf)
+    k = FX.H(FX._k("k:", F.col("problem_id"))) % 5
+    p = p.withColumn("t", F.concat("problem", F.when(k == 0, F.lit("\n```python\nimport sympy\n```")).when(k == 1, F.lit(" \\boxed{7}"))
+                                   .when(k == 2, F.lit(" in Python")).otherwise(F.lit(""))))
+    card = RD.dataset_card(p, "data_source", "acc_high_tool", "t")
+    shares = ", ".join(f"'{x}', {x}_share" for x in _CARD_SHARES)
+    rows = [card["sources"].select(F.lit("sources").alias("card"), F.col("data_source").alias("value"), "n", F.col("pct").cast("double").alias("amount")),
+            card["accuracy"].select(F.lit("accuracy"), F.coalesce(F.col("accuracy").cast("string"), F.lit("none")), "n", F.lit(None).cast("double")),
+            card["content"].selectExpr("'content'", "n", f"stack({len(_CARD_SHARES)}, {shares}) AS (value, amount)").select("content", "value", "n", "amount"),
+            card["words"].selectExpr("'words'", "n", "stack(2, 'p50', q50, 'p90', q90) AS (value, amount)").select("words", "value", "n", "amount")]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.union(r)
+    return out
+
+
 _LEMMA_SQL = """SELECT item_id + 1 AS number, 'b' || item_id AS problem_id, item_id * 7 AS answer, 1 AS lemma_no, 'first' AS title,
   md5(trim(regexp_replace(text, '[ \\t\\n]+', ' ', 'g'))) AS statement_md5, 'check ' || item_id AS verification FROM benchmark
 UNION ALL SELECT item_id + 1, 'b' || item_id, item_id * 7, 2, 'second', md5('so'), '' FROM benchmark"""
