@@ -4,7 +4,7 @@ Decisions are made on narrow per-attempt facts (correct, judge score) pivoted
 per problem by conditional aggregation; the chosen/rejected texts are joined
 back by (problem, attempt) afterwards, so only ids and flags shuffle for the
 decision and each text moves once.  Every problem gets a row with an
-``outcome`` (pair / skip) so the counters (E10) are one ``groupBy``.
+``outcome`` (pair / skip / error) so the counters (E10) are one ``groupBy``.
 """
 
 from __future__ import annotations
@@ -70,7 +70,7 @@ def pairs_two_way(attempts: DataFrame, problems: DataFrame, scores: DataFrame, k
                   margin: float = 0.2) -> DataFrame:
     """E8 (rounds 2-3): a ok / b wrong -> (a, b) and vice versa; both wrong
     -> (gold, a); both ok -> judge scores (missing 1.0), pair if |diff| >=
-    margin, else skip."""
+    margin, else skip; an attempt missing -> error."""
     attempts = attempts.where(F.col("attempt_id").isin(a, b))       # only these two count
     f = attempt_facts(attempts, key, response, gt).join(
         scores.select(key, "attempt_id", "score"), [key, "attempt_id"], "left")
@@ -79,12 +79,14 @@ def pairs_two_way(attempts: DataFrame, problems: DataFrame, scores: DataFrame, k
     sa, sb = F.coalesce(F.col("score_a"), F.lit(1.0)), F.coalesce(F.col("score_b"), F.lit(1.0))
     both_ok_pair = oka & okb & (F.abs(sa - sb) >= margin)
     la, lb = F.lit(a).cast("bigint"), F.lit(b).cast("bigint")
-    outcome = F.when(oka & okb & ~both_ok_pair, F.lit("skip")).otherwise(F.lit("pair"))
+    outcome = (F.when(oka.isNull() | okb.isNull(), F.lit("error")).when(oka & okb & ~both_ok_pair, F.lit("skip"))
+               .otherwise(F.lit("pair")))
     chosen = (F.when(oka & ~okb, la).when(okb & ~oka, lb).when(~oka & ~okb, F.lit(-1).cast("bigint"))
                .when(both_ok_pair, F.when(sa > sb, la).otherwise(lb)))
     rejected = (F.when(oka & ~okb, lb).when(okb & ~oka, la).when(~oka & ~okb, la)
                  .when(both_ok_pair, F.when(sa > sb, lb).otherwise(la)))
-    dec = p.select(key, outcome.alias("outcome"), chosen.alias("chosen_id"), rejected.alias("rejected_id"))
+    ids = [F.when(outcome == "pair", x) for x in (chosen, rejected)]
+    dec = p.select(key, outcome.alias("outcome"), ids[0].alias("chosen_id"), ids[1].alias("rejected_id"))
     return _materialise(dec, attempts, problems, key, response, gt)
 
 
@@ -92,7 +94,7 @@ def pairs_by_score(attempts: DataFrame, problems: DataFrame, scores: DataFrame,
                    response: str = "response", gt: str = "gold", a: int = 0, b: int = 1,
                    low: float = 0.3, close: float = 0.1) -> DataFrame:
     """Missing score -> 1/0 from our own check; both < low -> (gold,
-    worse); |diff| < close -> skip; else the winner."""
+    worse); |diff| < close -> skip; else the winner; an attempt missing -> error."""
     attempts = attempts.where(F.col("attempt_id").isin(a, b))       # only these two count
     f = attempt_facts(attempts, key, response, gt).join(
         scores.select(key, "attempt_id", "score"), [key, "attempt_id"], "left")
@@ -102,17 +104,19 @@ def pairs_by_score(attempts: DataFrame, problems: DataFrame, scores: DataFrame,
     la, lb = F.lit(a).cast("bigint"), F.lit(b).cast("bigint")
     both_low = (sa < low) & (sb < low)
     too_close = ~both_low & (F.abs(sa - sb) < close)
-    outcome = F.when(too_close, F.lit("skip")).otherwise(F.lit("pair"))
+    outcome = F.when(sa.isNull() | sb.isNull(), F.lit("error")).when(too_close, F.lit("skip")).otherwise(F.lit("pair"))
     chosen = F.when(both_low, F.lit(-1).cast("bigint")).when(~too_close, F.when(sa > sb, la).otherwise(lb))
     rejected = (F.when(both_low, F.when(sa <= sb, la).otherwise(lb))
                  .when(~too_close, F.when(sa > sb, lb).otherwise(la)))
-    dec = p.select(key, outcome.alias("outcome"), chosen.alias("chosen_id"), rejected.alias("rejected_id"))
+    ids = [F.when(outcome == "pair", x) for x in (chosen, rejected)]
+    dec = p.select(key, outcome.alias("outcome"), ids[0].alias("chosen_id"), ids[1].alias("rejected_id"))
     return _materialise(dec, attempts, problems, key, response, gt)
 
 
-def pair_stats(pairs: DataFrame, by: list | None = None) -> DataFrame:
-    """Pairs / skipped per round (or overall)."""
+def pair_stats(pairs: DataFrame, by: list | None = None, errors: bool = False) -> DataFrame:
+    """Pairs / skipped per round (or overall); with ``errors`` also the rows that could not be judged."""
+    more = [F.count(F.when(F.col("outcome") == "error", 1)).alias("errors")] if errors else []
     return pairs.groupBy(*(by or [])).agg(
         F.count(F.when(F.col("outcome") == "pair", 1)).alias("pairs"),
-        F.count(F.when(F.col("outcome") == "skip", 1)).alias("skipped"),
+        F.count(F.when(F.col("outcome") == "skip", 1)).alias("skipped"), *more,
         F.count("*").alias("problems"))

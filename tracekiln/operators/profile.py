@@ -214,6 +214,12 @@ def answer_buckets(df: DataFrame, answer: str) -> DataFrame:
     return df.where(a.between(0, 99999)).agg(*aggs)
 
 
+def top_answers(df: DataFrame, answer: str, k: int = 20) -> DataFrame:
+    """the ``k`` most common valid answers (ties by value)."""
+    return (df.where(F.col(answer).between(0, 99999)).groupBy(answer).agg(F.count("*").alias("n"))
+            .orderBy(F.col("n").desc(), F.col(answer).asc()).limit(k))
+
+
 def _bucket(x: Column, spec) -> Column:
     out = None
     for name, lo, hi in spec:
@@ -306,6 +312,16 @@ def turn_stats(messages: DataFrame, key: str = "conv_id", turn: str = "turn", ro
         F.expr(f"listagg({role}, '>') WITHIN GROUP (ORDER BY {turn})").alias("role_sequence"))
 
 
+def turn_quantiles(messages: DataFrame, key: str = "conv_id", probs: tuple = (0.1, 0.25, 0.5, 0.75, 0.9),
+                   at_most: tuple = (2, 4, 6, 8, 10, 12, 16, 20, 30)) -> DataFrame:
+    """messages per conversation -- quantiles, min, max, mean, and how many have at most so many."""
+    per = messages.groupBy(key).agg(F.count("*").alias("turns"))
+    ends = per.agg(F.min("turns").alias("min"), F.max("turns").alias("max"), F.round(F.avg("turns"), 6).alias("mean"),
+                   *[F.count(F.when(F.col("turns") <= n, 1)).alias(f"le_{n}") for n in at_most])
+    q = quantile_linear(per, "turns", list(probs))
+    return q.withColumn("_e", ends.select(F.struct(*ends.columns)).scalar()).select(*q.columns, "_e.*")
+
+
 def quality_flags(df: DataFrame, text: str) -> DataFrame:
     """too short (<20 words), just an answer (<5), step words, math
     notation, proof language -- counts in one aggregate."""

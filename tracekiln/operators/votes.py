@@ -81,9 +81,9 @@ def weighted_vote(df: DataFrame, weight, key: str = "problem_id", answer: str =
                       F.round("score", 6).alias("score"))
 
 
-def entropy_vote(df: DataFrame, entropy: str = "entropy", **kw) -> DataFrame:
-    """G3."""
-    return weighted_vote(df, entropy_weight(entropy), **kw)
+def entropy_vote(df: DataFrame, entropy: str = "entropy", variant: str = "max", **kw) -> DataFrame:
+    """G3 with either weight."""
+    return weighted_vote(df, entropy_weight(entropy, variant=variant), **kw)
 
 
 def verified_vote(df: DataFrame, verified: str = "verified_count", total: str = "total_lemmas",
@@ -96,8 +96,11 @@ def verified_vote(df: DataFrame, verified: str = "verified_count", total: str =
 def magnitude_scores(df: DataFrame, key: str = "problem_id", answer: str = "answer",
                      order: str = "attempt_id") -> DataFrame:
     """G5 table: per answer, score = ln(1.25 + |v|) x count."""
-    c = answer_counts(df, key, answer, order)
-    return c.withColumn("score", F.log(F.lit(1.25) + F.abs(F.col(answer))) * F.col("votes"))
+    return add_magnitude(answer_counts(df, key, answer, order), answer)
+
+
+def add_magnitude(counts: DataFrame, answer: str = "answer") -> DataFrame:
+    return counts.withColumn("score", F.log(F.lit(1.25) + F.abs(F.col(answer))) * F.col("votes"))
 
 
 def magnitude_vote(df: DataFrame, key: str = "problem_id", answer: str = "answer",
@@ -105,7 +108,11 @@ def magnitude_vote(df: DataFrame, key: str = "problem_id", answer: str = "answer
     """G5 + G6: winner by tuple max (score, votes, value) and the decision
     rule top > max(1, total/(2+ln(1+total))) and (one candidate or lead > 1).
     Windows run over the small (problem, answer) table only."""
-    s = magnitude_scores(df, key, answer, order)
+    return magnitude_decision(magnitude_scores(df, key, answer, order), key, answer)
+
+
+def magnitude_decision(s: DataFrame, key: str = "problem_id", answer: str = "answer") -> DataFrame:
+    """G5 + G6 from the table of ``magnitude_scores`` (or a running one)."""
     allw = Window.partitionBy(key)
     w = Window.partitionBy(key).orderBy(F.col("score").desc(), F.col("votes").desc(), F.col(answer).desc())
     s = s.withColumn("_total", F.sum("score").over(allw)).withColumn("_cands", F.count("*").over(allw)) \

@@ -145,6 +145,25 @@ def e10_pair_stats(spark, sf):
     return P.pair_stats(two.unionByName(one), ["policy"])
 
 
+@register("e10_pair_errors", with_views("problems", "attempts", "judge_scores", extra=_facts_cte() + """,
+here AS (SELECT * FROM fa WHERE attempt_id <> 1 OR problem_id % 5 <> 0),
+sc AS (SELECT f.*, coalesce(s.score, 1.0) AS s2, coalesce(s.score, CASE WHEN f.ok THEN 1.0 ELSE 0.0 END) AS s3
+  FROM here f LEFT JOIN judge_scores s ON f.problem_id = s.problem_id AND f.attempt_id = s.attempt_id WHERE f.attempt_id IN (0, 1)),
+two AS (SELECT problem_id, count(*) AS k, bool_and(ok) AS both_ok, max(s2) - min(s2) AS d2, max(s3) AS top, max(s3) - min(s3) AS d3
+  FROM sc GROUP BY problem_id),
+allp AS (SELECT 'two_way' AS policy, CASE WHEN k < 2 THEN 'error' WHEN both_ok AND d2 < 0.2 THEN 'skip' ELSE 'pair' END AS outcome FROM two
+  UNION ALL SELECT 'by_score', CASE WHEN k < 2 THEN 'error' WHEN top >= 0.3 AND d3 < 0.1 THEN 'skip' ELSE 'pair' END FROM two)
+SELECT policy, count(*) FILTER (WHERE outcome = 'pair') AS pairs, count(*) FILTER (WHERE outcome = 'skip') AS skipped,
+  count(*) FILTER (WHERE outcome = 'error') AS errors, count(*) AS problems FROM allp GROUP BY policy"""))
+def e10_pair_errors(spark, sf):
+    """E10 with its error counter: every fifth problem has lost its second attempt."""
+    a, p, s = FX.attempts(spark, sf), FX.problems(spark, sf), FX.judge_scores(spark, sf)
+    a = a.where((F.col("attempt_id") != 1) | (F.col("problem_id") % 5 != 0))
+    two = P.pairs_two_way(a, p, s).select(F.lit("two_way").alias("policy"), "outcome")
+    one = P.pairs_by_score(a, p, s).select(F.lit("by_score").alias("policy"), "outcome")
+    return P.pair_stats(two.unionByName(one), ["policy"], errors=True)
+
+
 @register("a9_write_pairs", "SELECT prompt_md5, chosen_md5, rejected_md5 FROM (" + ORACLE["e7_pairs_vs_gold"] + ") WHERE outcome = 'pair'")
 def a9_write_pairs(spark, sf):
     """Pairs as JSON lines, read back."""

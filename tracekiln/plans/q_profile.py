@@ -59,6 +59,21 @@ def f4_crosstab(spark, sf):
     return PR.crosstab(p.withColumn("d", d), "data_source", "d", ["hard", "easy", "unknown"])
 
 
+_DEPTHS = ["high", "medium", "low"]
+
+
+@register("f4_accuracy_depth", with_views("problems").rstrip() + f""",
+x AS (SELECT round(acc_high_tool, 3) AS accuracy,
+  {_DEPTHS}[cast(('0x'||substr(md5('depth:'||cast(problem_id AS varchar)),1,8)) AS bigint) % 3 + 1] AS d FROM problems)
+SELECT accuracy, """ + ", ".join(f"count(*) FILTER (WHERE d = '{x}') AS {x}" for x in _DEPTHS) + " FROM x GROUP BY accuracy")
+def f4_accuracy_depth(spark, sf):
+    """accuracy x reasoning depth (dealt to problems by hash)."""
+    depth = F.element_at(F.array(*[F.lit(x) for x in _DEPTHS]), (FX.H(FX._k("depth:", F.col("problem_id"))) % 3 + 1).cast("int"))
+    p = FX.problems(spark, sf).select(F.round("acc_high_tool", 3).alias("accuracy"), depth.alias("d"))
+    return PR.crosstab(p, "accuracy", "d", _DEPTHS)
+
+
+
 def _d14(x):
     raw = f"replace(replace({S.strip(S.last_match(x, S.BOXED))}, ',', ''), ' ', '')"
     d = S.num(raw)
@@ -90,6 +105,14 @@ def f6_answer_buckets(spark, sf):
     return PR.answer_buckets(a, "answer")
 
 
+@register("f6_top_answers", with_views("attempts", extra=f"x AS (SELECT {S.d4('response')} AS answer FROM attempts)") +
+          "SELECT answer, count(*) AS n FROM x WHERE answer BETWEEN 0 AND 99999 GROUP BY answer ORDER BY n DESC, answer LIMIT 20")
+def f6_top_answers(spark, sf):
+    """the 20 most common answers (a top-k report: the limit is the feature)."""
+    a = FX.attempts(spark, sf).select(A.boxed_int_scan(F.col("response")).alias("answer"))
+    return PR.top_answers(a, "answer")
+
+
 @register("f7_length_buckets", f"""SELECT CASE WHEN w = 0 THEN 'empty' WHEN w <= 19 THEN 'tiny' WHEN w <= 99 THEN 'short'
   WHEN w <= 499 THEN 'medium' ELSE 'long' END AS bucket, count(*) AS n
 FROM (SELECT {wc_sql('text')} AS w FROM documents) GROUP BY 1""")
@@ -142,6 +165,17 @@ def f10_turn_stats(spark, sf):
     return PR.turn_stats(read_table(spark, sf, "conversations"))
 
 
+_TURNS = (0.1, 0.25, 0.5, 0.75, 0.9)
+
+
+@register("f10_turn_quantiles", "SELECT count(*) AS n, " + ", ".join(
+    f"round(quantile_cont(turns, {p}), 6) AS q{int(p * 100)}" for p in _TURNS) + ", min(turns) AS min, max(turns) AS max, round(avg(turns), 6) AS mean, " +
+          ", ".join(f"count(*) FILTER (WHERE turns <= {n}) AS le_{n}" for n in (2, 4, 6, 8, 10, 12, 16, 20, 30)) +
+          " FROM (SELECT conv_id, count(*) AS turns FROM conversations GROUP BY conv_id)")
+def f10_turn_quantiles(spark, sf):
+    return PR.turn_quantiles(read_table(spark, sf, "conversations"))
+
+
 def _anyc(x, words, lower=False):
     return "(" + " OR ".join(f"contains({x}, {S.q(w.lower() if lower else w)})" for w in words) + ")"
 

@@ -159,6 +159,14 @@ def g3_entropy_vote(spark, sf):
     return V.entropy_vote(a)
 
 
+@register("g3_entropy_vote_sum", _ANS.rstrip() + _WVOTE.format(
+    w="CASE WHEN entropy = 'inf'::double THEN 0.0 ELSE 1.0 / (entropy + 1e-9) END"))
+def g3_entropy_vote_sum(spark, sf):
+    """G3 with the weight 1/(e + 1e-9)."""
+    a = FX.attempts(spark, sf).withColumn("answer", A.boxed_int_scan(F.col("response")))
+    return V.entropy_vote(a, variant="sum")
+
+
 _VER = with_views("attempts", extra=f"""ans AS (
   SELECT problem_id, attempt_id,
          CASE WHEN {S.d4('response')} BETWEEN 0 AND 99999 THEN {S.d4('response')} END AS answer,
