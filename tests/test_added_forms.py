@@ -41,3 +41,13 @@ def test_top_answers_and_turns(spark):
     m = spark.createDataFrame([(1,)] * 2 + [(2,)] * 4, "conv_id bigint")
     r = PR.turn_quantiles(m).first()
     assert (r.q50, r.min, r.max, r.mean, r.le_2, r.le_4) == (3.0, 2, 4, 3.0, 1, 2)
+
+
+def test_queries_call_the_operators():
+    import inspect
+
+    import bench
+    from tracekiln.plans import q_answers, q_scoring
+    assert "success_flag(" in inspect.getsource(q_answers.d25_bound_answer)
+    assert "early_stop_point(a)" in inspect.getsource(q_scoring.g8_early_stop_four)
+    assert '"BENCH_WARM", "3"' in inspect.getsource(bench.main)

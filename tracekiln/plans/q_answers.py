@@ -300,7 +300,7 @@ FROM attempts"""
 @register("d25_bound_answer", _D25_SQL)
 def d25_bound_answer(spark, sf):
     """Bounded answer (null/out of range -> 0) and the success flag with
-    the low-entropy share standing in for confidence."""
+    1 - entropy standing in for confidence."""
     a = FX.attempts(spark, sf).withColumn("answer", A.boxed_int_scan(F.col("response")))
     return a.select("problem_id", "attempt_id", A.bound_answer(F.col("answer")).alias("bounded"),
-                    ((F.coalesce(F.col("answer"), F.lit(0)) != 0) & (F.col("entropy") < 0.5)).alias("success"))
+                    A.success_flag(F.col("answer"), 1 - F.col("entropy")).alias("success"))

@@ -237,6 +237,13 @@ def g8_early_stop_point(spark, sf):
     return V.early_stop_point(a, k=2)
 
 
+@register("g8_early_stop_four", _ES.replace("WHERE rn = 2 GROUP BY", "WHERE rn = 4 GROUP BY"))
+def g8_early_stop_four(spark, sf):
+    """G8 at the operator's k = 4."""
+    a = FX.attempts(spark, sf).withColumn("answer", A.boxed_int_scan(F.col("response")))
+    return V.early_stop_point(a)
+
+
 _CORR = with_views("attempts", extra=f"""cr AS (SELECT problem_id, attempt_id, gold, entropy,
   {S.d12(S.d1('response'), 'gold')} AS correct FROM attempts)""")
 
