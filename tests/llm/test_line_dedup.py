@@ -64,6 +64,22 @@ def test_repetitive_words(spark):
     compare(spark, rows + [doc(100, "on " * 3000 + "end\n" + "on " * 3001 + "end"), doc(101, "x, " * 2000 + "\n" + "x, " * 2001)])
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_many_lines_of_two_words(spark, seed):
+    """A thousand lines of a vocabulary of two words: common beginning and end cover the same words."""
+    rng = random.Random(100 + seed)
+    rows = [doc(i, "\n".join(" ".join(rng.choice("ab") for _ in range(rng.randint(8, 22))) for _ in range(4))) for i in range(250)]
+    rows += [doc(300, "x " * 8 + "\n" + "x " * 10), doc(301, "a b " * 4 + "\n" + "a b " * 6), doc(302, "x " * 9 + "\n" + "x " * 12)]
+    compare(spark, rows)
+
+
+def test_within_one_word(spark):
+    pairs = [("x " * 8, "x " * 10), ("a b " * 4, "a b " * 6), ("x " * 8, "x " * 9), ("a b a", "a a"), ("a b", "b a"), ("a", "b"), ("a a", "a a")]
+    df = spark.createDataFrame([(a.split(), b.split()) for a, b in pairs], "a array<string>, b array<string>")
+    got = [r[0] for r in df.select(line_dedup.within_one_word(df.a, df.b)).collect()]
+    assert got == [near(a.split(), b.split()) for a, b in pairs] == [False, False, True, True, False, True, True]
+
+
 def test_hot_template(spark):
     """Many lines that differ in two places: none within the bound of the earliest, some of each other."""
     rng = random.Random(9)

@@ -173,15 +173,16 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def within_one_word(a: Column, b: Column) -> Column:
-    """Whether one inserted, deleted or replaced element at most turns a into b:
-    the common beginning and end leave one element of the longer array."""
+    """Whether one inserted, deleted or replaced element at most turns a into b: the sizes
+    differ by one at most, and the common beginning and end leave one element of the longer array.
+    (Where repeated elements let both cover the same ones, the sizes decide.)"""
     def common_start(x: Column, y: Column) -> Column:
         differs = F.zip_with(x, y, lambda p, q: F.when(p.eqNullSafe(q), 0).otherwise(1))
         at = F.array_position(differs, 1)
         return F.when(at > 0, at - 1).otherwise(F.least(F.size(x), F.size(y)).cast("bigint"))
 
     longer = F.greatest(F.size(a), F.size(b))
-    return common_start(a, b) + common_start(F.reverse(a), F.reverse(b)) >= longer - 1
+    return (F.abs(F.size(a) - F.size(b)) <= 1) & (common_start(a, b) + common_start(F.reverse(a), F.reverse(b)) >= longer - 1)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 8,
