@@ -14,7 +14,7 @@ from .test_packing import check
 
 def test_registered():
     found = E.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(name.startswith(f"op{n}_") for name in found) == 1
     assert set(queries.oracle_sql()) <= set(found)
 
@@ -33,6 +33,14 @@ def test_toxicity_query(spark):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in rows)
 
 
+def test_quality_query(spark):
+    rows = queries.op12_quality(spark, SF_SMALL).collect()
+    ids = {r.doc_id for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id").collect()}
+    assert {r.doc_id for r in rows} == ids and len(rows) == len(ids)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in rows)
+
+
 def test_jaccard_query(spark):
     from .test_jaccard_join import brute
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text").collect()]

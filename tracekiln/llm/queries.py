@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, common, decontaminate, jaccard_join, line_dedup, mtree, packing, token_store, toxicity, url_filter, warc_zst
+from . import (chat_format, collocations, common, decontaminate, jaccard_join, line_dedup, mtree, packing, quality, spelling, token_store, toxicity,
+               url_filter, warc_zst)
 from .common import table
 
 END_ID = 2
@@ -149,8 +150,78 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_store(manifest)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_chat_format, op4_url_filter, op5_decontamination, op6_warc, op7_jaccard_join, op8_best_fit_packing, op9_exact_top_k, op10_token_store)}
-ORACLE: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op4_url_filter": OP4_SQL, "op5_decontamination": OP5_SQL, "op9_exact_top_k": OP9_SQL}
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form and root of every repeated long word."""
+    return spelling.group_variants(spelling.count_words(table(spark, sf_dir, "documents")))
+
+
+OP11_SQL = """
+with recursive
+polynomial as (select list(list_reduce([i] || range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by i) as t
+               from range(256) as r(i)),
+runs as (select coalesce(doc_id::varchar, '') as id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run from documents),
+counted as (select id, run, count(*) as n from runs where length(run) >= 7 group by all),
+bytes as (select id, run, n, list_transform(range(0, octet_length(encode(id || ':' || run)) * 2, 2),
+                 lambda p: ('0x' || hex(encode(id || ':' || run))[p + 1:p + 2])::bigint) as b from counted),
+hashed as (select run, n, xor(list_reduce([4294967295] || b, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) as h from bytes, polynomial),
+dropped as (select case when h % 31 = 0 then run[1:(h % length(run))::int] || run[(h % length(run))::int + 2:] else run end as word, n from hashed),
+words as (select word, sum(n)::bigint as n from dropped where length(word) >= 7 group by word having sum(n) >= 2),
+places as (select word, n, unnest(range(0, length(word) + 1)) as p from words),
+holes as (select word, n, 'r' || p || ':' || word[1:p] || '_' || word[p + 2:] as k from places where p < length(word)),
+less as (select distinct word, n, word[1:p] || word[p + 2:] as k from places where p < length(word)),
+near as (select a.word, b.word as x, b.n as xn from holes a join holes b on a.k = b.k and a.word <> b.word
+         union all select l.word, w.word, w.n from less l join words w on l.k = w.word
+         union all select w.word, l.word, l.n from less l join words w on l.k = w.word),
+best as (select word, count(*) as n_near, min((-xn, x)) as b from near group by word),
+formed as (select w.word, w.n, coalesce(n_near, 0) as n_near, case when -b[1] >= 10 * w.n then b[2] end as form,
+                  case when -b[1] >= 10 * w.n then -b[1] end as form_n from words w left join best using (word)),
+chain as (select word, coalesce(form, word) as root, 1 as step from formed
+          union all select c.word, f.form, step + 1 from chain c join formed f on c.root = f.word where f.form is not null),
+roots as (select word, arg_max(root, step) as root from chain group by word)
+select word, form, root, n, n_near, form_n from formed join roots using (word)
+"""
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; rows with crc32(doc_id) mod 5 = 0 teach nothing."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    net = quality.fit(docs, labels.where(f"not ({HELD_OUT})"))
+    return (quality.score_documents(docs, net)
+            .select("doc_id", F.coalesce(F.expr(HELD_OUT), F.lit(False)).alias("held_out"), "score", "predicted"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's first 2,000 phrases."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+with pieces as (select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[.,;:!?\x0A-\x0D]')) as piece from documents),
+lists as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces),
+grams as (select lang, k as words, array_to_string(list_slice(w, p, p + k - 1), ' ') as phrase
+          from lists, lateral unnest(range(1, least(4, len(w)) + 1)) as t(k), lateral unnest(range(1, len(w) - k + 2)) as u(p)),
+f as (select lang, words, phrase, count(*) as f from grams group by all),
+totals as (select lang, sum(f)::bigint as n from f where words = 1 group by lang),
+usual as (select lang, words, phrase, f, string_split(phrase, ' ') as w from f where f >= 30),
+cuts as (select c.lang, c.phrase, c.f as a, k, l.f as l, r.f as r, (2000000::hugeint * c.f // (l.f + r.f))::bigint as score
+         from usual c, lateral unnest(range(1, c.words)) as t(k)
+         join usual l on l.lang = c.lang and l.phrase = array_to_string(c.w[1:k], ' ')
+         join usual r on r.lang = c.lang and r.phrase = array_to_string(c.w[k + 1:], ' ')),
+scored as (select lang, phrase, any_value(a) as a, min((score, k, l, r)) as s from cuts group by lang, phrase),
+inside as (select c.lang, array_to_string(c.w[p:p + k - 1], ' ') as phrase, max(c.f) as longer
+           from usual c, lateral unnest(range(2, c.words)) as t(k), lateral unnest(range(1, c.words - k + 2)) as u(p) group by all),
+ranked as (select lang, row_number() over (partition by lang order by s[1] desc, a desc, phrase) as rank, phrase, a, s[3] as l, s[4] as r, s[1] as score
+           from scored left join inside using (lang, phrase) where longer is null or 100 * longer < 80 * a)
+select lang, rank, phrase, a, l, r, n, score from ranked join totals using (lang) where rank <= 2000
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_chat_format, op4_url_filter, op5_decontamination, op6_warc, op7_jaccard_join, op8_best_fit_packing, op9_exact_top_k, op10_token_store,
+                                   op11_spelling, op12_quality, op13_collocations)}
+ORACLE: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op4_url_filter": OP4_SQL, "op5_decontamination": OP5_SQL, "op9_exact_top_k": OP9_SQL,
+                          "op11_spelling": OP11_SQL, "op13_collocations": OP13_SQL}
 
 
 def queries():
