@@ -10,8 +10,8 @@
    every n-gram with ``least`` occurrences has a counter in the end.  Its hash is a candidate.
    The number of hash partitions grows with the words, a partition's mass stays about ``PARTITION_MASS``
    (one n-gram that is a third of all adds mass but one counter).
-3. Second pass: n-grams that a Bloom filter of the candidates admits are counted by their
-   texts, in the task and then over all tasks; whatever the filter admits in vain is too rare and goes.
+3. Second pass: n-grams that a Bloom filter of the candidates admits are counted, in the task and then by
+   their texts over all tasks; whatever the filter admits in vain is too rare and goes.
 4. Scores are joins among the frequent phrases.
 
 N-grams are told apart by 64-bit hashes within a few million n-grams of one task, and by their
@@ -37,7 +37,7 @@ LONGEST = 4
 UNKNOWN = "und"
 HELD = 1 << 22                # n-grams summarised at a time
 HELD_WORDS = 200_000
-HELD_PHRASES = 300_000
+HELD_PHRASES = 600_000
 BUFFER = 1 << 20              # bytes cut into words at a time
 PARTITION_MASS = 1 << 24
 FILTER_WORDS = 1 << 19        # 64-bit words of a Bloom filter at most: 4 MB
@@ -182,7 +182,7 @@ def filter_of(keys: DataFrame) -> np.ndarray:
     """The filter of the bigint column ``key``; only its words come to the driver."""
     n = 1
     count = keys.count()
-    while n < min(FILTER_WORDS, count // 4):
+    while n < min(FILTER_WORDS, count // 2):
         n *= 2
     mark = F.lit(0).cast("bigint")
     for s in _bit_places():
@@ -303,16 +303,27 @@ def _candidates(summaries: DataFrame, least: int) -> DataFrame:
     return summaries.repartition("part").sortWithinPartitions("part", "rank").mapInArrow(merge, "key bigint")
 
 
-def _counted(source: DataFrame, words, candidates, bits: int) -> DataFrame:
-    """``lang, phrase, words, f``: exact numbers of the n-grams that the candidates' filter admits."""
-    def rows(found: dict[int, list]) -> pa.RecordBatch:
-        flat = list(found.values())
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in flat], t) for k, t in enumerate(
-            (pa.int64(), pa.string(), pa.string(), pa.int32()))], ["f", "lang", "phrase", "words"])
+def _counted(source: DataFrame, words, candidates, bits: int, least: int) -> DataFrame:
+    """``lang, phrase, words, f``: the n-grams that the candidates' filter admits and that occur ``least`` times.
+    Tasks pass their numbers on in blocks by hash partition; a block holds numbers and phrases, which have no line feeds."""
+    def blocks(names: dict[int, str], phrases: dict[int, tuple[int, bytes]], held: list) -> pa.RecordBatch:
+        keys, counts, _ = merged(held, len(phrases))
+        found: dict[tuple[int, int], tuple[list, list]] = {}
+        for key, part, n in zip(keys.tolist(), (keys >> U(33) >> U(31 - bits)).tolist(), counts.tolist(), strict=True):
+            lang, phrase = phrases[key]
+            numbers, texts = found.setdefault((lang, part), ([], []))
+            numbers.append(n)
+            texts.append(phrase)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([names[lang] for lang, _ in found], pa.string()), pa.array([part for _, part in found], pa.int64()),
+             pa.array([np.array(n, np.int64).tobytes() + b"\n".join(t) for n, t in found.values()], pa.binary()),
+             pa.array([len(n) for n, _ in found.values()], pa.int64())], ["lang", "part", "counts", "n"])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, list] = {}
         names: dict[int, str] = {}
+        phrases: dict[int, tuple[int, bytes]] = {}
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
 
         def texts():
             for lang, data in _texts(batches):
@@ -320,24 +331,43 @@ def _counted(source: DataFrame, words, candidates, bits: int) -> DataFrame:
                 yield lang, data
 
         for data, starts, langs, stops in _buffers(texts()):
-            for n, keys, of, a, b in _grams(data, starts, langs, stops, words.value):
+            for _, keys, of, a, b in _grams(data, starts, langs, stops, words.value):
                 yes = np.flatnonzero(admits(candidates.value, mix(keys >> U(32 - bits))))
-                keys, at, counts = np.unique(keys[yes], return_index=True, return_counts=True)
-                at = yes[at]
-                for key, count, k in zip(keys.tolist(), counts.tolist(), at.tolist(), strict=True):
-                    entry = found.get(key)
-                    if entry:
-                        entry[0] += count
-                    else:
-                        phrase = b" ".join([w for w in data[a[k]:b[k]].split(b" ") if w]).decode("utf-8")
-                        found[key] = [count, names[int(langs[of[k]])], phrase, n]
-            if len(found) > HELD_PHRASES:
-                yield rows(found)
-                found.clear()
-        yield rows(found)
+                once, at, counts = np.unique(keys[yes], return_index=True, return_counts=True)
+                held.append((once, counts))
+                size += len(once)
+                for key, k in zip(once.tolist(), yes[at].tolist(), strict=True):
+                    if key not in phrases:
+                        phrases[key] = int(langs[of[k]]), b" ".join([w for w in data[a[k]:b[k]].split(b" ") if w])
+            if len(phrases) > HELD_PHRASES:
+                yield blocks(names, phrases, held)
+                phrases, held, size = {}, [], 0
+            elif size > HELD:
+                held, size = [merged(held, len(phrases))[:2]], len(phrases)
+        yield blocks(names, phrases, held)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, found = None, Counter()
+
+        def rows() -> pa.RecordBatch:
+            often = [(p.decode("utf-8"), p.count(b" ") + 1, n) for p, n in found.items() if n >= least]
+            return pa.RecordBatch.from_arrays([pa.array([of[0]] * len(often), pa.string()), *[pa.array([x[k] for x in often], t) for k, t in enumerate(
+                (pa.string(), pa.int32(), pa.int64()))]], ["lang", "phrase", "words", "f"])
+
+        for batch in batches:
+            for lang, part, blob, n in zip(*[batch[k].to_pylist() for k in range(4)], strict=True):
+                if (lang, part) != of:
+                    if of:
+                        yield rows()
+                    of, found = (lang, part), Counter()
+                for phrase, k in zip(blob[8 * n:].split(b"\n"), np.frombuffer(blob, np.int64, n).tolist(), strict=True):
+                    found[phrase] += k
+        if of:
+            yield rows()
 
-    return (source.mapInArrow(counted, "f bigint, lang string, phrase string, words int")
-            .groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")))
+    return (source.mapInArrow(counted, "lang string, part bigint, counts binary, n bigint")
+            .repartition("lang", "part").sortWithinPartitions("lang", "part")
+            .mapInArrow(summed, "lang string, phrase string, words int, f bigint"))
 
 
 def frequent_phrases(docs: DataFrame, least: int = 30, lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -352,7 +382,7 @@ def frequent_phrases(docs: DataFrame, least: int = 30, lang_col: str = "lang", t
     known = spark.sparkContext.broadcast(filter_of(word_keys(usual)))
     candidates = common.stored(_candidates(_summaries(source, known, bits), least), "candidates")
     likely = spark.sparkContext.broadcast(filter_of(candidates))
-    phrases = _counted(source, known, likely, bits).where(F.col("f") >= least)
+    phrases = _counted(source, known, likely, bits, least)
     return common.stored(usual.unionByName(phrases), "phrases"), totals
 
 
