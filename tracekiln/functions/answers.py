@@ -349,12 +349,20 @@ def last_int_in_output(text, hi: int = 99999) -> Column:
     return F.when((v >= 0) & (v <= hi), v.cast("bigint"))
 
 
-def parse_json_reply(text, schema: str) -> Column:
-    """Strip a ```json fence, take the greedy ``{.*}`` span, parse with
-    ``schema``; unparsable -> null struct (callers coalesce defaults)."""
-    t = F.regexp_replace(_c(text), r"```json|```", "")
-    body = F.regexp_extract(t, r"(?s)\{.*\}", 0)
-    return F.from_json(F.when(body != "", body), schema, {"mode": "PERMISSIVE"})
+def parse_json_reply(text, fields: dict[str, tuple[str, object]]) -> Column:
+    """Strip a ```json fence, take the greedy ``{.*}`` span, parse it as VARIANT and read ``fields``
+    (name -> type, default).  A field that is missing, null or of another type has its
+    default, an unparsable reply the default of every field: struct(``parsed`` boolean, fields)."""
+    body = F.regexp_extract(F.regexp_replace(_c(text), r"```json|```", ""), r"(?s)\{.*\}", 0)
+
+    def read(v):
+        return F.struct(v.isNotNull().alias("parsed"), *[F.coalesce(F.try_variant_get(v, f"$.{name}", kind), F.lit(default).cast(kind)).alias(name)
+                                                         for name, (kind, default) in fields.items()])
+
+    return _let(F.try_parse_json(F.when(body != "", body)), read)
+
+
+JUDGE_FIELDS = {"answer_correct": ("boolean", False), "reasoning_valid": ("boolean", False), "score": ("double", 0.0)}
 
 
 def token_entropy(logprob_maps) -> Column:

@@ -199,19 +199,21 @@ def assistant_mask_spans(messages: DataFrame, key: str = "conv_id", turn: str =
 
 
 def pack_sequences(df: DataFrame, id_col: str, length, max_len: int, shards: int, shard: Column | None = None,
-                   block_ids: int = 1_000_000) -> DataFrame:
+                   block_rows: int = 1_000_000) -> DataFrame:
     """C17: concatenate-and-cut packing plan.  Rows are spread over ``shards``
     hash shards; inside a shard a running sum of lengths, by id, gives each row its
-    offset and bin = floor(offset / max_len).  Running sums are of two levels: within
-    blocks of ``block_ids`` consecutive (integer) ids, and over the blocks' sums, so a
-    task never holds more than a block however large a shard is."""
+    offset and bin = floor(offset / max_len).  Running sums are of two levels: the rows are range-partitioned by
+    (shard, id) with sampled bounds into blocks of about ``block_rows``, whatever the ids are (sparse
+    ones, hashes, strings), and the blocks' sums are summed up over the blocks.  The blocks are kept by ``checkpoint()``, so
+    that both levels see the same bounds.  Rows of equal id share a block, in the order of their length."""
     d = df.select(id_col, (F.col(length) if isinstance(length, str) else length).alias("length"))
     d = d.withColumn("shard", F.pmod(F.xxhash64(F.col(id_col)), F.lit(shards)) if shard is None else shard)
-    d = d.withColumn("_block", F.floor(F.col(id_col) / block_ids))
+    blocks = max(1, -(-d.count() // block_rows))
+    d = d.repartitionByRange(blocks, "shard", id_col).withColumn("_block", F.spark_partition_id()).checkpoint()
     sums = d.groupBy("shard", "_block").agg(F.sum("length").alias("_sum"))
     earlier = Window.partitionBy("shard").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(earlier), F.lit(0))).drop("_sum")
-    inside = Window.partitionBy("shard", "_block").orderBy(id_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("shard", "_block").orderBy(id_col, "length").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     d = d.withColumn("_run", F.sum("length").over(inside) - F.col("length")).join(sums, ["shard", "_block"])
     d = d.withColumn("offset", F.col("_run") + F.col("_before")).select(id_col, "length", "shard", "offset")
     return d.withColumn("bin", F.floor(F.col("offset") / F.lit(max_len)).cast("bigint"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
 from .votes import majority_vote
 
 # Curriculum stages by accuracy (k/8 grid), hardest first.
@@ -104,14 +107,23 @@ def _solved_lemmas(lemmas: DataFrame, edges: DataFrame, key: str, node: str, dep
     a round adds nothing, so the rounds are the longest chain.  In a
     first-in-first-out queue a node enters when its last dependency leaves, so all nodes of
     a level come before the next level, in the order of their last dependency's place, then
-    of id.  ``checkpoint()`` cuts the lineage each round."""
+    of id.  Each round's new rows are appended to a table in the shared folder and read back, so a solved row is
+    written once, and a lost executor reads files."""
     known = (edges.select(key, node, dep).distinct().join(lemmas.select(key, F.col(node).alias(dep)), [key, dep], "left_semi")
              .join(lemmas.select(key, node), [key, node], "left_semi"))
     n_dep = known.groupBy(key, node).agg(F.count("*").alias("_ndeps"))
     first = lemmas.select(key, node).distinct().join(n_dep, [key, node], "left_anti")
     by_id = Window.partitionBy(key).orderBy(node)
-    solved = first.select(key, node, F.lit(0).alias("level"), (F.row_number().over(by_id) - 1).alias("place")).checkpoint()
+    path = f"{ensure_checkpoint_dir(lemmas.sparkSession).rstrip('/')}/solved-{uuid.uuid4().hex}"
+    new = first.select(key, node, F.lit(0).alias("level"), (F.row_number().over(by_id) - 1).alias("place"))
+    schema = new.schema
+    n = 0
     while True:
+        new.write.mode("append").parquet(path)
+        solved = lemmas.sparkSession.read.schema(schema).parquet(path)
+        n, before_n = solved.count(), n
+        if n == before_n:
+            return solved
         before = solved.select(key, F.col(node).alias(dep), F.col("level").alias("_dl"), F.col("place").alias("_dp"))
         ready = (known.join(solved.select(key, node), [key, node], "left_anti").join(before, [key, dep])
                  .groupBy(key, node).agg(F.count("*").alias("_n"), F.max("_dl").alias("_dl"), F.max("_dp").alias("_dp"))
@@ -119,10 +131,7 @@ def _solved_lemmas(lemmas: DataFrame, edges: DataFrame, key: str, node: str, dep
         taken = solved.groupBy(key).agg(F.count("*").alias("_taken"))
         turn = Window.partitionBy(key).orderBy("_dp", node)
         new = ready.join(taken, key).select(key, node, (F.col("_dl") + 1).alias("level"),
-                                            (F.row_number().over(turn) - 1 + F.col("_taken")).cast("int").alias("place")).checkpoint()
-        if new.isEmpty():
-            return solved
-        solved = solved.unionByName(new).checkpoint()
+                                            (F.row_number().over(turn) - 1 + F.col("_taken")).cast("int").alias("place"))
 
 
 def _with_order(lemmas: DataFrame, edges: DataFrame, key: str, node: str, dep: str) -> DataFrame:

@@ -458,6 +458,18 @@ def schema_report(df: DataFrame) -> DataFrame:
     return names.join(counted, "i", "left").select("column", "type", zero("non_null"), zero("nulls"), zero("distinct"))
 
 
+def python_stats(messages: DataFrame, key: str = "conv_id", role: str = "role", text: str = "text") -> DataFrame:
+    """Tool calls and tool errors per conversation (conditional counts)."""
+    tool, t = F.col(role) == "tool", F.col(text)
+    error = t.startswith("[ERROR]") | t.contains("Traceback") | t.contains("Error:")
+    return messages.groupBy(key).agg(F.count(F.when(tool, 1)).alias("python_calls"), F.count(F.when(tool & error, 1)).alias("python_errors"))
+
+
+def corpus_by_subject(problems: DataFrame, by: tuple = ("subject", "mohs")) -> DataFrame:
+    """problems by subject and difficulty."""
+    return problems.groupBy(*by).agg(F.count("*").alias("n"))
+
+
 def compare_datasets(a: DataFrame, b: DataFrame, key: str, metric: str) -> DataFrame:
     """metric by key for two corpora, full outer join, 0 for missing."""
     ma = a.groupBy(key).agg(F.count("*").alias("_n")).withColumnRenamed("_n", f"{metric}_a")

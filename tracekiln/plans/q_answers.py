@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import answers as A
+from ..functions import sql as SQ
 from ..oracle import sqlfn as S
 from ..oracle.fixtures_sql import with_views
 from ..sources import fixtures as FX
@@ -170,6 +171,24 @@ def d14_answer_type(spark, sf):
                                                          F.countDistinct("t.value").alias("distinct_values"))
 
 
+@register("l_sql_functions", with_views("attempts", extra=f"p AS (SELECT *, {S.d1('response')} AS pred FROM attempts)") + f"""
+SELECT problem_id, attempt_id, pred, {S.d4('response')} AS boxed_int, {S.d9('pred')} AS normalized, {S.d12('pred', 'gold')} AS correct FROM p""")
+def l_sql_functions(spark, sf):
+    """2.L: the answer functions called from SQL (D1, D4, D9, D12), inlined by Catalyst."""
+    SQ.register(spark)
+    return spark.sql("""SELECT problem_id, attempt_id, pred, trace_boxed_int(response) AS boxed_int, trace_normalize_answer(pred) AS normalized,
+      trace_answers_match(pred, gold) AS correct FROM (SELECT *, trace_boxed_first(response) AS pred FROM {a})""", a=FX.attempts(spark, sf))
+
+
+@register("l_sql_table_functions", with_views("problems") + f"""SELECT problem_id, count(*) AS n, round(sum(v), 6) AS total
+FROM (SELECT problem_id, unnest({S.d15('gold_solution')}) AS v FROM problems) GROUP BY problem_id""")
+def l_sql_table_functions(spark, sf):
+    """2.L: a table function (D15) in a lateral join."""
+    SQ.register(spark)
+    return spark.sql("""SELECT problem_id, count(*) AS n, round(sum(v.number), 6) AS total
+      FROM {p}, LATERAL trace_numbers(gold_solution) v GROUP BY problem_id""", p=FX.problems(spark, sf))
+
+
 _D15_SQL = with_views("problems") + f"""SELECT problem_id, list_sort({S.d15('gold_solution')}) AS numbers
 FROM problems"""
 
@@ -244,12 +263,10 @@ FROM per_token GROUP BY problem_id, attempt_id"""
 @register("d22_token_entropy", _D22_SQL.replace("\n, per_token", ", per_token").replace("WITH ", "WITH ", 1))
 def d22_token_entropy(spark, sf):
     """D22 on long-form log-probabilities: -sum p log2 p per token, mean per attempt."""
-    lp = FX.logprobs(spark, sf)
-    p = F.exp("logprob")
-    per_token = lp.groupBy("problem_id", "attempt_id", "pos").agg(
-        F.sum(F.when(p > 0, -p * F.log2(p)).otherwise(F.lit(0.0))).alias("h"))
-    return per_token.groupBy("problem_id", "attempt_id").agg(F.round(F.avg("h"), 6).alias("entropy"),
-                                                             F.count("*").alias("tokens"))
+    maps = FX.logprobs(spark, sf).groupBy("problem_id", "attempt_id", "pos").agg(
+        F.map_from_entries(F.collect_list(F.struct(F.col("token").cast("string"), "logprob"))).alias("m"))       # a token's few alternatives
+    per = maps.groupBy("problem_id", "attempt_id").agg(F.collect_list("m").alias("ms"), F.count("*").alias("tokens"))
+    return per.select("problem_id", "attempt_id", F.round(A.token_entropy("ms"), 6).alias("entropy"), "tokens")
 
 
 _D23_SQL = _MT + """SELECT conv_id,
@@ -261,11 +278,8 @@ FROM messages_tir GROUP BY conv_id"""
 @register("d23_python_stats", _D23_SQL)
 def d23_python_stats(spark, sf):
     """Tool calls and tool errors per conversation (conditional counts)."""
-    m = FX.messages_tir(spark, sf)
-    tool = F.col("role") == "tool"
-    err = tool & (F.col("text").startswith("[ERROR]") | F.col("text").contains("Traceback") | F.col("text").contains("Error:"))
-    return m.groupBy("conv_id").agg(F.count(F.when(tool, 1)).alias("python_calls"),
-                                    F.count(F.when(err, 1)).alias("python_errors"))
+    from ..operators import profile as PR
+    return PR.python_stats(FX.messages_tir(spark, sf))
 
 
 _D24_SQL = """SELECT conv_id,
@@ -290,6 +304,15 @@ def d24_problem_solution(spark, sf):
         F.coalesce(first_asst, F.when(F.count("*") > 1, F.max_by("text", "turn")).otherwise(F.lit(""))).alias("solution"))
 
 
+@register("d24_nested_messages", _D24_SQL)
+def d24_nested_messages(spark, sf):
+    """D24 on conversations with their messages nested, as trajectory files have them."""
+    from ..operators import curate as C
+    from ..sources.tables import read_table
+    nested = read_table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("m"))
+    return nested.select("conv_id", C.get_problem("m").alias("problem"), C.get_solution("m").alias("solution"))
+
+
 _D25_SQL = _ATT + f"""SELECT problem_id, attempt_id,
   CASE WHEN {S.d4('response')} IS NULL OR {S.d4('response')} < 0 OR {S.d4('response')} > 99999 THEN 0
        ELSE {S.d4('response')} END AS bounded,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import answers as A
@@ -105,6 +106,18 @@ def c5_c6_train_eval_split(spark, sf):
         ev.select("conv_id", F.lit("eval").alias("split")))
 
 
+@register("c5_seeded_shuffle", _curated_sql() + """
+SELECT conv_id, row_number() OVER (ORDER BY md5('42:' || uuid)) AS place FROM curated""")
+def c5_seeded_shuffle(spark, sf):
+    """The whole curated set in its shuffled order; places over the sorted partitions' counts."""
+    cur = jobs.curate_sft(FX.trajectory_meta(spark, sf), FX.messages_tir(spark, sf)).select("conv_id", "uuid")
+    rows = C.seeded_shuffle(cur, "uuid", 42).select("conv_id", F.monotonically_increasing_id().alias("_i"))
+    rows = FX.as_table(rows.withColumn("_part", F.shiftright("_i", 33)), sf, "shuffled-ids")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("_part").agg(F.count("*").alias("_c")).select("_part", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
+    return rows.join(counts, "_part").select("conv_id", (F.col("_before") + F.col("_i").bitwiseAND((1 << 33) - 1) + 1).alias("place"))
+
+
 @register("c7_c9_c10_upsample_plan", _curated_sql() + """
 SELECT accuracy, count(*) AS n,
   cast(CASE accuracy WHEN 0.125 THEN 4 WHEN 0.25 THEN 2 ELSE 1 END AS bigint) AS weight,
@@ -272,12 +285,14 @@ def b4_b5_answer_policies(spark, sf):
   cast(sum(cast(ceil({wc_sql('gold_solution')} * 1.3) <= 2048 AS integer)) AS bigint) AS within_2048_tokens
 FROM problems GROUP BY acc_high_tool""")
 def b9_b10_b11_b12_length_and_gold(spark, sf):
-    p = FX.problems(spark, sf).withColumnRenamed("acc_high_tool", "accuracy")
-    return p.groupBy("accuracy").agg(
-        F.count("*").alias("n"),
-        F.round(F.avg((~B.is_valid_gold(F.col("gold_solution"))).cast("double")), 6).alias("broken_share"),
-        F.sum(B.min_text_len(F.col("gold_solution"), 100).cast("int")).cast("bigint").alias("longer_than_100"),
-        F.sum((B.token_estimate(F.col("gold_solution")) <= 2048).cast("int")).cast("bigint").alias("within_2048_tokens"))
+    p = FX.problems(spark, sf).select(F.col("acc_high_tool").alias("accuracy"), "gold_solution")
+    broken = B.broken_gold_rate(p)
+    longer = p.groupBy("accuracy").agg(F.sum(B.min_text_len(F.col("gold_solution"), 100).cast("int")).cast("bigint").alias("longer_than_100"))
+    within = B.drop_overlong(p, B.token_estimate(F.col("gold_solution")), 2048).groupBy("accuracy").agg(F.count("*").alias("within_2048_tokens"))
+    same = lambda d: d.withColumnRenamed("accuracy", "_a")
+    return (broken.join(same(longer), F.col("accuracy").eqNullSafe(F.col("_a"))).drop("_a")
+            .join(same(within), F.col("accuracy").eqNullSafe(F.col("_a")), "left").drop("_a")
+            .fillna(0, ["within_2048_tokens"]))
 
 
 @register("b13_rejection_sample", with_views("attempts", extra=f"""

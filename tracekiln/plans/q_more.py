@@ -98,7 +98,7 @@ def f27_corpus_by_subject(spark, sf):
     b = read_table(spark, sf, "benchmark")
     b.select(_render_section_spark(b).alias("value")).repartition(4).write.mode("overwrite").text(path)
     m = RD.parse_problem_markdown(spark, path)
-    return m.groupBy("subject", "mohs").agg(F.count("*").alias("n"))
+    return PR.corpus_by_subject(m)
 
 
 _CFG_KEYS = ["reason_high_with_tool", "reason_medium_with_tool", "reason_low_no_tool"]

@@ -75,6 +75,18 @@ def d6_resolve_answer(spark, sf):
     return p.select("problem_id", "r.value", "r.source")
 
 
+_D6_LAST = with_views("problems", extra=f"r AS (SELECT problem_id, {_PARSE} AS vf, {_PARSE.replace('expected_answer', 'bl')} AS vb FROM "
+                      f"(SELECT *, regexp_extract_all(gold_solution, {S.q(S.BOXED)}, 1)[-1] AS bl FROM problems))") + """
+SELECT problem_id, coalesce(vf, vb) AS value, CASE WHEN vf IS NOT NULL THEN 'expected_answer' WHEN vb IS NOT NULL THEN 'boxed' END AS source FROM r"""
+
+
+@register("d6_resolve_last_boxed", _D6_LAST)
+def d6_resolve_last_boxed(spark, sf):
+    """D6's second variant: only the last boxed answer counts."""
+    p = FX.problems(spark, sf).select("problem_id", A.resolve_answer(["expected_answer"], F.col("gold_solution"), any_valid_boxed=False).alias("r"))
+    return p.select("problem_id", "r.value", "r.source")
+
+
 @register("d20_parse_json_reply", """SELECT event_id,
   coalesce(try_cast(json_extract_string(regexp_extract(replace(replace('Verdict: ```json' || chr(10) || props || chr(10) || '``` done',
     '```json', ''), '```', ''), '(?s)\\{.*\\}', 0), '$.k') AS bigint), -1) AS k FROM events""")
@@ -83,4 +95,24 @@ def d20_parse_json_reply(spark, sf):
     json fence; the field falls back to -1 when unparsable."""
     ev = read_table(spark, sf, "events")
     reply = F.concat(F.lit("Verdict: ```json\n"), F.col("props"), F.lit("\n``` done"))
-    return ev.select("event_id", F.coalesce(A.parse_json_reply(reply, "k INT")["k"], F.lit(-1)).alias("k"))
+    return ev.select("event_id", A.parse_json_reply(reply, {"k": ("bigint", -1)})["k"].alias("k"))
+
+
+# a whole fenced reply, one field of three, a cut one, no JSON between braces, prose, a field of another type
+_JUDGE = """CASE event_id % 6 WHEN 0 THEN 'Verdict: ```json' || chr(10) || '{"answer_correct": ' || c || ', "reasoning_valid": true, "score": 0.' || s || '}' || chr(10) || '``` done'
+  WHEN 1 THEN '{"answer_correct": ' || c || '}' WHEN 2 THEN '{"answer_correct": ' || c || ', "score": 0.' WHEN 3 THEN 'it {is} not'
+  WHEN 4 THEN 'no verdict' ELSE '{"answer_correct": "perhaps", "reasoning_valid": null, "score": 0.' || s || '}' END"""
+
+
+@register("d20_judge_replies", f"""WITH r AS (SELECT event_id, CASE WHEN event_id % 5 < 2 THEN 'true' ELSE 'false' END AS c,
+  lpad(cast(user_id % 100 AS varchar), 2, '0') AS s FROM events),
+b AS (SELECT event_id, regexp_extract(replace(replace({_JUDGE}, '```json', ''), '```', ''), '(?s)\\{{.*\\}}', 0) AS body FROM r),
+j AS (SELECT event_id, CASE WHEN body <> '' AND json_valid(body) THEN body END AS body FROM b)
+SELECT event_id, body IS NOT NULL AS parsed, coalesce(try_cast(json_extract_string(body, '$.answer_correct') AS boolean), false) AS answer_correct,
+  coalesce(try_cast(json_extract_string(body, '$.reasoning_valid') AS boolean), false) AS reasoning_valid,
+  coalesce(try_cast(json_extract_string(body, '$.score') AS double), 0.0) AS score FROM j""")
+def d20_judge_replies(spark, sf):
+    """D20 on judge replies with three fields: whole, fenced, partial, cut, invalid ones and prose, each a row."""
+    ev = (read_table(spark, sf, "events").withColumn("c", F.when(F.col("event_id") % 5 < 2, "true").otherwise("false"))
+          .withColumn("s", F.lpad((F.col("user_id") % 100).cast("string"), 2, "0")))
+    return ev.select("event_id", A.parse_json_reply(F.expr(_JUDGE), A.JUDGE_FIELDS).alias("r")).select("event_id", "r.*")

@@ -51,6 +51,31 @@ def a2_a7_curated_roundtrip(spark, sf):
     return back.select("conv_id", "accuracy", "n_words", F.md5("assistant").alias("assistant_md5"))
 
 
+@register("a2_a7_messages_json", _curated_sql() + """
+, m AS (SELECT conv_id, 'Problem ' || conv_id || chr(10) || 'Say "why", briefly' AS question, assistant FROM curated)
+SELECT fmt, conv_id, 2::bigint AS n_messages, 'user' AS first_role, md5(question) AS question_md5, md5(assistant) AS answer_md5
+FROM m, (VALUES ('csv'), ('jsonl'), ('parquet')) f(fmt)""")
+def a2_a7_messages_json(spark, sf):
+    """The curated table with its messages as JSON, and the same as JSON lines and CSV; A2 reads all three, fields by VARIANT."""
+    base = _scratch(spark, "a7m")
+    cur = jobs.curate_sft(FX.trajectory_meta(spark, sf), FX.messages_tir(spark, sf))
+    question = F.concat(F.lit("Problem "), F.col("conv_id").cast("string"), F.lit('\nSay "why", briefly'))
+    message = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
+    cur = cur.select("conv_id", "accuracy", F.array(message("user", question), message("assistant", F.col("assistant"))).alias("messages"))
+    RD.write_curated(cur, f"{base}.parquet", "accuracy")
+    written = RD.read_any(spark, f"{base}.parquet").select("conv_id", "messages")
+    written.write.json(f"{base}.jsonl")
+    RD.write_problem_csv(written, f"{base}.csv")
+    out = None
+    for fmt in ("parquet", "jsonl", "csv"):
+        m = RD.messages_of(RD.read_any(spark, f"{base}.{fmt}"))
+        m = m.select(F.lit(fmt).alias("fmt"), F.col("conv_id").cast("bigint").alias("conv_id"), F.size("messages").alias("n_messages"),
+                     F.col("messages")[0]["role"].alias("first_role"), F.md5(F.col("messages")[0]["content"]).alias("question_md5"),
+                     F.md5(F.col("messages")[1]["content"]).alias("answer_md5"))
+        out = m if out is None else out.unionByName(m)
+    return out
+
+
 @register("a3_problem_csv_roundtrip", with_views("problems") +
           "SELECT problem_id, md5(problem) AS problem_md5, expected_answer AS answer FROM problems")
 def a3_problem_csv_roundtrip(spark, sf):
@@ -108,6 +133,18 @@ def a4_problem_markdown(spark, sf):
     return m.select("number", "subject", "mohs", "answer", F.md5("original").alias("original_md5"))
 
 
+@register("a4_markdown_line_ends", _a4_sql())
+def a4_markdown_line_ends(spark, sf):
+    """A4 with carriage returns before the line feeds, a preamble and the first section at a file's beginning."""
+    path = _scratch(spark, "a4crlf")
+    b = read_table(spark, sf, "benchmark")
+    text = F.regexp_replace(_render_section_spark(b), r"\n", "\r\n")
+    text = F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("Collected problems\r\n2 files\r\n"), text)).otherwise(text)
+    b.select(text.alias("value")).repartition(4).write.mode("overwrite").option("lineSep", "\r\n").text(path)
+    m = RD.parse_problem_markdown(spark, path)
+    return m.select("number", "subject", "mohs", "answer", F.md5(F.regexp_replace("original", r"\r\n", "\n")).alias("original_md5"))
+
+
 @register("a10_migrate_reward_struct", with_views("problems") + f"""SELECT problem_id,
   expected_answer AS ground_truth,
   md5(CASE WHEN {HS(chr(39) + 'r:' + chr(39) + '||cast(problem_id AS varchar)')} % 5 = 0 THEN '' ELSE gold_solution END) AS gold_md5

@@ -112,6 +112,12 @@ def write_curated(df: DataFrame, path: str, partition_by: str | None = "accuracy
     w.parquet(path)
 
 
+def messages_of(df: DataFrame, column: str = "messages") -> DataFrame:
+    """The JSON column of ``write_curated`` as an array of (role, content), by way of VARIANT; null where it is no such JSON."""
+    kept = [F.col(c) for c in df.columns if c != column]
+    return df.select(*kept, F.try_variant_get(F.try_parse_json(F.col(column)), "$", "array<struct<role: string, content: string>>").alias(column))
+
+
 def dataset_card(df: DataFrame, source: str, acc: str, text: str) -> dict[str, DataFrame]:
     """The card's tables as (small) DataFrames -- source shares, accuracy
     histogram, code/boxed shares, word quantiles; rendering is up to the caller."""
@@ -161,9 +167,17 @@ def read_solution_files(spark: SparkSession, root: str) -> DataFrame:
 
 
 # ------------------------------------------------------------- markdown corpora
+SECTION = "## Problem "
+
+
 def _sections(spark: SparkSession, path: str) -> DataFrame:
-    t = spark.read.text(path, wholetext=True)
-    return t.select(F.posexplode(F.split("value", r"(?m)^## Problem ")).alias("pos", "sec")).where("pos > 0")
+    """``sec``: what follows each line that begins with ``## Problem ``.  The mark separates the records that the text source
+    reads, so a large file is split over many tasks and no row is a whole file.  A file may begin with a section, or
+    with a preamble: the only record that need not begin with a section's number."""
+    t = spark.read.option("lineSep", "\n" + SECTION).text(path)
+    first = F.startswith("value", F.lit(SECTION))
+    return (t.select(F.when(first, F.substring("value", len(SECTION) + 1, 1 << 30)).otherwise(F.col("value")).alias("sec"))
+            .where(F.col("sec").rlike(r"^\d+\s*?(\r?\n|:|$)")))
 
 
 def parse_problem_markdown(spark: SparkSession, path: str) -> DataFrame:
@@ -173,13 +187,13 @@ def parse_problem_markdown(spark: SparkSession, path: str) -> DataFrame:
     sec = F.col("sec")
     ans = F.regexp_extract(sec, r"\*\*Answer:\*\*\s*`?(-?\d+)`?", 1)
     return s.select(
-        F.regexp_extract(sec, r"^(\d+)", 1).cast("bigint").alias("number"),
+        F.regexp_extract(sec, r"^(\d+)", 1).try_cast("bigint").alias("number"),
         F.regexp_extract(sec, r"\*\*Subject:\*\*\s*([^|\n]*?)\s*(\||\n|$)", 1).alias("subject"),
-        F.regexp_extract(sec, r"\*\*MOHS:\*\*\s*(\d+)M", 1).cast("bigint").alias("mohs"),
+        F.regexp_extract(sec, r"\*\*MOHS:\*\*\s*(\d+)M", 1).try_cast("bigint").alias("mohs"),
         F.regexp_extract(sec, r"\*\*Source:\*\*\s*([^\n]*?)\s*(\n|$)", 1).alias("source"),
-        F.regexp_extract(sec, r"(?s)### Original\s*\n(.*?)\n\s*### ", 1).alias("original"),
-        F.regexp_extract(sec, r"(?s)### Adapted[^\n]*\n(.*?)\n\s*\*\*Answer", 1).alias("adapted"),
-        F.when(ans != "", ans.cast("bigint")).alias("answer"))
+        F.regexp_extract(sec, r"(?s)### Original\s*\n(.*?)\r?\n\s*### ", 1).alias("original"),
+        F.regexp_extract(sec, r"(?s)### Adapted[^\n]*\n(.*?)\r?\n\s*\*\*Answer", 1).alias("adapted"),
+        F.when(ans != "", ans.try_cast("bigint")).alias("answer"))
 
 
 def parse_lemmas(text) -> Column:
@@ -206,9 +220,9 @@ def parse_lemma_markdown(spark: SparkSession, path: str) -> DataFrame:
     s = _sections(spark, path)
     sec = F.col("sec")
     base = s.select(
-        F.regexp_extract(sec, r"^(\d+)", 1).cast("bigint").alias("number"),
+        F.regexp_extract(sec, r"^(\d+)", 1).try_cast("bigint").alias("number"),
         F.regexp_extract(sec, r"\*\*ID:\*\*\s*([^\s|*]+)", 1).alias("problem_id"),
-        F.regexp_extract(sec, r"\*\*Answer:\*\*\s*(-?\d+)", 1).cast("bigint").alias("answer"),
+        F.regexp_extract(sec, r"\*\*Answer:\*\*\s*(-?\d+)", 1).try_cast("bigint").alias("answer"),
         F.regexp_extract_all(sec, F.lit(r"\*\*Lemma\s*\d+[^\n]*"), 0).alias("_lem"),
         F.regexp_extract_all(sec, F.lit(r"\*Verification:\*\s*([^\n]*)"), 1).alias("_ver"))
     z = base.select("number", "problem_id", "answer", F.posexplode(F.arrays_zip("_lem", "_ver")).alias("i", "l"))
