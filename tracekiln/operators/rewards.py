@@ -44,19 +44,29 @@ def gold_facts(problems: DataFrame, key: str = "problem_id", gold: str = "gold_s
     return p.select(F.col(key), F.col("_gold_valid").alias("gold_valid"), step_nums.alias("gold_numbers"))
 
 
-def reward_10level(df: DataFrame, response: str = "response", gt: str = "gold",
-                   gold_valid: str = "gold_valid", gold_numbers: str = "gold_numbers",
-                   out: str = "reward") -> DataFrame:
-    """E2.  Adds ``pred, correct, response_len, sim, reward``."""
+def response_facts(df: DataFrame, response: str = "response", gt: str = "gold") -> DataFrame:
+    """What E2 needs of a response, per row: ``pred, correct, response_len, _steps, _numbers``.  With these the
+    text can stay behind before any join."""
     r = F.col(response)
     facts = A.add_boxed_first(df, r, "pred").withColumns({
         "response_len": F.length(r), "_steps": A.has_step_words(r)})
     facts = A.add_answers_match(facts, F.col("pred"), F.col(gt), "correct")
+    return facts.withColumn("_numbers", F.when((F.col("response_len") > 200) & F.col("pred").isNotNull(), A.extract_numbers(r)))
+
+
+def reward_10level(df: DataFrame, response: str = "response", gt: str = "gold",
+                   gold_valid: str = "gold_valid", gold_numbers: str = "gold_numbers",
+                   out: str = "reward") -> DataFrame:
+    """E2.  Adds ``pred, correct, response_len, sim, reward``."""
+    return reward_from_facts(response_facts(df, response, gt), gold_valid, gold_numbers, out)
+
+
+def reward_from_facts(facts: DataFrame, gold_valid: str = "gold_valid", gold_numbers: str = "gold_numbers", out: str = "reward") -> DataFrame:
+    """E2 of ``response_facts`` joined with ``gold_facts``: adds ``sim, reward``."""
     gv = F.coalesce(F.col(gold_valid), F.lit(False))
     need_sim = gv & (F.col("response_len") > 200) & F.col("pred").isNotNull()
     gold_set = F.col(gold_numbers)
-    resp_set = A.extract_numbers(r)
-    inter = F.size(F.array_intersect(gold_set, resp_set))
+    inter = F.size(F.array_intersect(gold_set, F.col("_numbers")))
     sim = F.when(need_sim, F.when(F.size(gold_set) > 0, inter / F.size(gold_set)).otherwise(F.lit(0.0)))
     facts = facts.withColumn("sim", sim.cast("double"))
     n, ok, s, steps = F.col("response_len"), F.col("correct"), F.coalesce(F.col("sim"), F.lit(0.0)), F.col("_steps")
@@ -72,7 +82,7 @@ def reward_10level(df: DataFrame, response: str = "response", gt: str = "gold",
               .when((n > 200) & steps, -0.6)
               .when(n > 200, -0.75)
               .otherwise(-1.0))
-    return facts.withColumn(out, ladder.cast("double")).drop("_steps")
+    return facts.withColumn(out, ladder.cast("double")).drop("_steps", "_numbers")
 
 
 def reward_3level(df: DataFrame, response: str = "response", gt: str = "gold",

@@ -14,12 +14,12 @@ from ..operators import votes as V
 
 def score_rollouts(attempts: DataFrame, problems: DataFrame, key: str = "problem_id") -> DataFrame:
     """attempts x problems -> reward (E2), correctness, advantage (E4) and the
-    zero-variance flag.  Gold facts are computed per problem before the join; the
-    response text and the gold number sets stay behind (join back on
+    zero-variance flag.  Gold facts are computed per problem and response facts per row
+    before the join, so no text is shuffled (join back on
     (problem, attempt) when the text is needed)."""
-    gf = R.gold_facts(problems, key)
-    scored = R.reward_10level(attempts.join(gf, key, "left"))
-    return R.group_advantage(scored.drop("response", "gold_numbers"), key, "reward")
+    facts = R.response_facts(attempts).drop("response")
+    scored = R.reward_from_facts(facts.join(R.gold_facts(problems, key), key, "left"))
+    return R.group_advantage(scored.drop("gold_numbers"), key, "reward")
 
 
 def rollout_report(attempts: DataFrame, problems: DataFrame, key: str = "problem_id",
@@ -32,9 +32,8 @@ def rollout_report(attempts: DataFrame, problems: DataFrame, key: str = "problem
     statistics combine those partials and the vote picks from the same small
     table (``max_by`` in the same aggregate), so the extraction work runs once,
     the plan is a single chain and a hot problem is reduced map-side."""
-    gf = R.gold_facts(problems, key)
-    scored = R.reward_10level(attempts.join(gf, key, "left")) \
-        .withColumn("answer", A.boxed_int_scan(F.col("response")))
+    facts = R.response_facts(attempts).withColumn("answer", A.boxed_int_scan(F.col("response"))).drop("response")
+    scored = R.reward_from_facts(facts.join(R.gold_facts(problems, key), key, "left"))
     r = F.col("reward")
     part = scored.groupBy(key, "answer").agg(
         F.count("*").alias("_n"), F.sum(r).alias("_s"), F.sum(r * r).alias("_ss"),

@@ -64,8 +64,8 @@ _SCORED = with_views("problems", "attempts", extra=scored_cte())
 @register("e2_reward_10level", _SCORED + """SELECT problem_id, attempt_id, pred, correct, response_len,
   round(sim, 6) AS sim, round(reward, 6) AS reward FROM scored""")
 def e2_reward_10level(spark, sf):
-    gf = R.gold_facts(FX.problems(spark, sf))
-    s = R.reward_10level(FX.attempts(spark, sf).join(gf, "problem_id", "left"))
+    facts = R.response_facts(FX.attempts(spark, sf)).drop("response")
+    s = R.reward_from_facts(facts.join(R.gold_facts(FX.problems(spark, sf)), "problem_id", "left"))
     return s.select("problem_id", "attempt_id", "pred", "correct", "response_len",
                     F.round("sim", 6).alias("sim"), F.round("reward", 6).alias("reward"))
 
