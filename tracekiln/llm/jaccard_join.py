@@ -5,7 +5,8 @@ Documents are sets of five-word shingles; those with equal sets are one class
 bucket of classes is split on sampled signature positions: members that share the value
 at a position fall into a common child.  A bucket of at most ``SMALL`` classes is compared
 by brute force, larger ones are split again.  Those that are still large at the greatest depth
-hold near copies throughout and are linked as they are.  A pair of similarity J goes on together with probability J for each
+mostly hold near copies, but also
+documents that share a long passage; they are linked as they are and compared exactly, which is quadratic in the bucket.  A pair of similarity J goes on together with probability J for each
 sampled position (one, or two for a quarter of the nodes), so its chance per run is known
 for every depth, and there are as many runs as the target recall needs at the greatest
 depth.
@@ -159,7 +160,7 @@ def candidate_edges(classes: DataFrame, threshold: float, recall: float) -> Data
         if large.isEmpty():
             break
         if depth == DEPTH:
-            # near copies throughout: linked to the least class, compared exactly later
+            # mostly near copies: linked to the least class, compared exactly later
             least = large.groupBy("key").agg(F.min("cid").alias("b"))
             found = found.unionByName(large.join(least, "key").select(F.col("cid").alias("a"), "b"))
             break
