@@ -1,13 +1,13 @@
 """Exact top-k retrieval over embedding vectors (K1-K3).
 
-Both sides are cut into blocks of bounded size: a vector goes to the nearest of a bounded number of
-pivots (corpus vectors far apart from each other, out of a bounded sample), and a pivot's vectors are dealt to as many blocks as they need, in K2 by domain.  A
+Both sides are cut into blocks of bounded size: a vector's cell is the side of each of a few fixed
+random planes that it lies on, and a cell's vectors are dealt to as many blocks as they need, in K2 by domain.  A
 block has a centre and a covering radius (angles), so each pair of a query block and a corpus
 block has a least and a largest possible inner product.  For each query block the corpus
 blocks with the largest least products that hold ``k`` vectors together give a threshold that every
 query reaches; block pairs whose largest product is below it are ruled out before any vectors are
 joined.  The pairs left are scored with numpy inside ``mapInArrow``; a pair returns at most ``k`` rows per query, and
-``row_number() <= k`` per query merges them (WindowGroupLimit).  Only that sample passes through
+``row_number() <= k`` per query merges them (WindowGroupLimit).  Nothing passes through
 the driver, and neither side has a size limit.
 """
 
@@ -46,19 +46,22 @@ def centroids(corpus: DataFrame, group: str = "label", vec: str = "embedding") -
                     normalise(F.transform("_v", lambda s: s["x"])).alias("qvec"))
 
 
-PIVOTS, SAMPLE = 256, 16      # pivots at most; sampled vectors for each
+PLANES = 8              # at most: 256 cells
 SLACK = 1e-7            # of angles, for rounding
 
 
-def _block_table(df: DataFrame, keys: list, pivots: np.ndarray, rows: int, label: str) -> DataFrame:
+def _block_table(df: DataFrame, keys: list, planes: int, rows: int, label: str) -> DataFrame:
     """``keys, block, ids, vecs, centre, radius, n``: the rows ``keys, id, v`` in blocks of about ``rows``
-    vectors around the same pivot, written to the shared folder (both the bounds and the join read it)."""
+    vectors of the same cell, written to the shared folder (both the bounds and the join read it)."""
     def assign(batches):
         for batch in batches:
-            v = np.array(batch["v"].to_pylist(), dtype=np.float64).reshape(batch.num_rows, -1)
-            near = (v @ pivots.T).argmax(axis=1) if len(pivots) and batch.num_rows else np.zeros(batch.num_rows, np.int64)
-            near[~v.any(axis=1)] = -1                               # vectors of zeros have no direction
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype(np.int32))], [*batch.schema.names, "cell"])
+            if not batch.num_rows:
+                continue
+            v = np.array(batch["v"].to_pylist(), dtype=np.float64)
+            normals = np.random.default_rng(7).normal(size=(planes, v.shape[1]))        # the same in every task
+            cell = (v @ normals.T > 0) @ (1 << np.arange(planes))
+            cell[~v.any(axis=1)] = -1                               # vectors of zeros have no direction
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32))], [*batch.schema.names, "cell"])
 
     schema = ", ".join([*[f"{c} string" for c in keys], "id bigint, v array<double>, cell int"])
     dealt = df.select(*keys, "id", "v").mapInArrow(assign, schema)
@@ -90,16 +93,6 @@ def _block_table(df: DataFrame, keys: list, pivots: np.ndarray, rows: int, label
     return _written(blocks.mapInArrow(bounded, schema), label)
 
 
-def _far_apart(sample: np.ndarray, n: int) -> np.ndarray:
-    """Up to ``n`` vectors of the sample, each the farthest one from those before it."""
-    chosen: list[int] = []
-    nearest = np.full(len(sample), -np.inf)
-    while len(chosen) < min(n, len(sample)):
-        chosen.append(int(nearest.argmin()))
-        nearest = np.maximum(nearest, sample @ sample[chosen[-1]])
-    return sample[chosen]
-
-
 def _written(df: DataFrame, label: str) -> DataFrame:
     path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -146,10 +139,8 @@ def _sides(queries: DataFrame, corpus: DataFrame, vec: str, id_col: str, partiti
                                                     *([F.col(partition).cast("string").alias("_group")] if partition else []))
     if partition:
         q, c = q.where("_group is not null"), c.where("_group is not null")
-    n = min(PIVOTS, 2 * -(-c.count() // corpus_rows))
-    sample = c.orderBy(F.xxhash64("id"), "id").limit(SAMPLE * n).select("v").collect()
-    pivots = _far_apart(np.array([r.v for r in sample], dtype=np.float64), n)
-    return _block_table(q, keys, pivots, query_rows, "query-blocks"), _block_table(c, keys, pivots, corpus_rows, "corpus-blocks"), keys
+    planes = min(PLANES, (-(-c.count() // corpus_rows)).bit_length() + 2)       # some four cells for each block that the corpus needs
+    return _block_table(q, keys, planes, query_rows, "query-blocks"), _block_table(c, keys, planes, corpus_rows, "corpus-blocks"), keys
 
 
 def _blockwise(queries: DataFrame, corpus: DataFrame, k: int, vec: str, id_col: str, partition: str | None, query_rows: int, corpus_rows: int) -> DataFrame:
