@@ -2,6 +2,7 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from tracekiln.llm import jaccard_join
@@ -88,6 +89,47 @@ def test_large_groups(spark, monkeypatch, small, depth, block):
     assert got(spark, rows) == brute(rows)
 
 
+def candidates(spark, rows):
+    df = docs(spark, [doc(d, t) for d, t in rows])
+    known = jaccard_join.describe(df, "doc_id", "text").where("cid is not null").selectExpr("cid", "sig", "doc_id").dropDuplicates(["cid"])
+    edges = jaccard_join.candidate_edges(known.select("cid", "sig"), 0.8, 0.999)
+    return known, [r["count"] for r in components(edges).groupBy("root").count().collect()]
+
+
+@pytest.mark.parametrize("block", [16, 1024])
+def test_shared_passage_links_nothing(spark, monkeypatch, block):
+    """Documents that share a passage of half their length meet in large buckets and stay apart there; near copies among them are found."""
+    monkeypatch.setattr(jaccard_join, "SMALL", 10)
+    monkeypatch.setattr(jaccard_join, "SIGNATURE_BLOCK", block)
+    rng = random.Random(23)
+    passage = prose(rng, 60)
+    rows = [(i, passage + " " + prose(rng, 60)) for i in range(160)]
+    rows += [(500 + i, edited(rng, rows[3][1], 1)) for i in range(30)]
+    assert got(spark, rows) == brute(rows)
+    _, sizes = candidates(spark, rows)
+    assert max(sizes) <= 35
+
+
+def test_large_bucket_connects_what_brute_force_connects(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "SIGNATURE_BLOCK", 8)
+    rng = np.random.default_rng(24)
+    bases = rng.integers(0, 1 << 32, (6, 64), dtype=np.uint64).astype("<u4")
+    sigs = []
+    for n in range(90):
+        s = bases[n % 6].copy()
+        s[rng.choice(64, rng.integers(0, 30), replace=False)] = rng.integers(0, 1 << 32)
+        sigs.append(s)
+    rows = [(bytes([n]), s.tobytes()) for n, s in enumerate(sigs)]
+    df = spark.createDataFrame([(bytearray(c), bytearray(s)) for c, s in rows], "cid binary, sig binary")
+    whole = df.selectExpr("bigint(1) as key", "cid")
+
+    def groups(edges):
+        return {bytes(r.node): bytes(r.root) for r in components(edges).collect()}
+
+    want = groups(jaccard_join._similar_in_buckets(whole, df, 0.6))
+    assert groups(jaccard_join._similar_in_large(whole, df, 0.6)) == want and len(set(want.values())) > 1
+
+
 def test_one_of_each_group(spark):
     rows = [doc(d, t) for d, t in family(random.Random(20))] + awkward()
     df = docs(spark, rows)

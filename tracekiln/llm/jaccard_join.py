@@ -5,8 +5,10 @@ Documents are sets of five-word shingles; those with equal sets are one class
 bucket of classes is split on sampled signature positions: members that share the value
 at a position fall into a common child.  A bucket of at most ``SMALL`` classes is compared
 by brute force, larger ones are split again.  Those that are still large at the greatest depth
-mostly hold near copies, but also
-documents that share a long passage; they are linked as they are and compared exactly, which is quadratic in the bucket.  A pair of similarity J goes on together with probability J for each
+hold near copies, or documents that share a long passage.  Their members are compared with the bucket's least
+member; those that agree with it are connected through it, and only the others are compared, in blocks, with
+all members.  So near copies cost one comparison each, and documents whose signatures differ are not
+linked.  A pair of similarity J goes on together with probability J for each
 sampled position (one, or two for a quarter of the nodes), so its chance per run is known
 for every depth, and there are as many runs as the target recall needs at the greatest
 depth.
@@ -34,6 +36,7 @@ from .components import components
 SIGNATURE = 64
 NODE_SECOND = 4                 # one node in so many is split on two positions
 SMALL, DEPTH = 200, 3
+SIGNATURE_BLOCK = 1024          # signatures a side in a block pair of a large bucket
 BLOCK_SHINGLES = 200_000
 SEEDS = np.random.default_rng(20240229).integers(1, 1 << 63, SIGNATURE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -111,33 +114,89 @@ def _shared(df: DataFrame) -> DataFrame:
     return bloom.admitted(df, F.col("key"), counts, "key").join(counts, "key")
 
 
+def _least_reachable(agree: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric boolean matrix the least row it is connected to (rows are connected to themselves)."""
+    n = len(agree)
+    joined = agree | np.eye(n, dtype=bool)
+    root = np.arange(n)
+    while True:
+        new = np.where(joined, root[None, :], n).min(axis=1)
+        if (new == root).all():
+            return root
+        root = new
+
+
 def _similar_in_buckets(members: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
     """Edges (class, least class it is connected to in the bucket) over pairs whose
     signatures agree in at least ``least`` of the positions."""
-    buckets = (members.join(sigs, "cid").groupBy("key")
-               .agg(F.sort_array(F.collect_list(F.struct("cid", "sig"))).alias("m")).select("m"))
+    groups = members.join(sigs, "cid").select("key", F.lit(False).alias("right"), F.lit(True).alias("same"), "cid", "sig")
+    return _similar_in_groups(groups, ["key"], least)
+
+
+def _similar_in_groups(rows: DataFrame, by: list[str], least: float) -> DataFrame:
+    """Edges within groups of bounded size of ``rows (right, same, cid, sig)``: over all pairs of a group, or, if not
+    ``same``, over pairs of a left and a right row."""
+    groups = (rows.groupBy(*by).agg(F.first("same").alias("same"), F.sort_array(F.collect_list(F.struct("right", "cid", "sig"))).alias("m"))
+              .select("same", "m"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            column = b.column(0)
+            column = b.column(1)
             flat, bounds = column.flatten(), column.offsets.to_numpy()
-            cids, data = flat.field(0).to_pylist(), flat.field(1).to_pylist()
+            rights, cids, data = (flat.field(k) for k in range(3))
+            rights, cids, data = rights.to_numpy(zero_copy_only=False), cids.to_pylist(), data.to_pylist()
             lo = bounds[0]
             edges = set()
-            for x, y in zip(bounds[:-1] - lo, bounds[1:] - lo):
+            for x, y, same in zip(bounds[:-1] - lo, bounds[1:] - lo, b.column(0).to_pylist()):
                 sig = np.frombuffer(b"".join(data[x:y]), "<u4").reshape(y - x, SIGNATURE)
-                agree = np.stack([(sig == s).sum(axis=1) for s in sig]) >= least * SIGNATURE
-                root = np.arange(y - x)
-                while True:                                     # least reachable number
-                    new = np.where(agree, root[None, :], y - x).min(axis=1)
-                    if (new == root).all():
-                        break
-                    root = new
+                left = y - x if same else int((~rights[x:y]).sum())
+                others = sig if same else sig[left:]
+                agree = np.zeros((y - x, y - x), bool)
+                for k in range(left):
+                    agree[k, 0 if same else left:] = (others == sig[k]).sum(axis=1) >= least * SIGNATURE
+                root = _least_reachable(agree | agree.T)
                 edges.update((cids[x + k], cids[x + r]) for k, r in enumerate(root.tolist()) if k != r)
             a, c = zip(*edges) if edges else ([], [])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(c, pa.binary())], names=["a", "b"])
 
-    return buckets.mapInArrow(work, "a binary, b binary").distinct()
+    return groups.mapInArrow(work, "a binary, b binary").distinct()
+
+
+def _similar_in_large(large: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
+    """As ``_similar_in_buckets``, for buckets of any size: the same classes are connected.
+
+    A member that agrees with the bucket's least member is linked to it.  The
+    others, the rest, are compared with the rest and with the linked ones in block pairs of ``SIGNATURE_BLOCK``
+    signatures a side.  (Two linked members need no comparison: the least one connects them.)
+    """
+    heads = large.groupBy("key").agg(F.min("cid").alias("head"))
+    heads = heads.join(sigs.select(F.col("cid").alias("head"), F.col("sig").alias("head_sig")), "head")
+    rows = large.select("key", "cid").join(heads, "key").join(sigs, "cid").select("key", "cid", "sig", "head", "head_sig")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own, head = (np.frombuffer(b"".join(b.column(k).to_pylist()), "<u4").reshape(b.num_rows, SIGNATURE) for k in (2, 4))
+            linked = (own == head).sum(axis=1) >= least * SIGNATURE
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(linked)], names=["key", "cid", "sig", "head", "linked"])
+
+    judged = common.stored(rows.mapInArrow(compare, "key bigint, cid binary, sig binary, head binary, linked boolean"), "large-buckets")
+    blocks = lambda linked: F.ceil(F.count_if(F.col("linked") == linked) / SIGNATURE_BLOCK).cast("int")
+    sizes = judged.groupBy("key").agg(blocks(False).alias("rests"), blocks(True).alias("links")).where("rests > 0")
+    placed = (judged.join(sizes, "key")
+              .withColumn("block", F.pmod(F.xxhash64("cid", F.lit("block")), F.when(F.col("linked"), F.col("links")).otherwise(F.col("rests"))).cast("int")))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    rest, linked = placed.where("not linked"), placed.where("linked")
+    other = rest.withColumn("other", F.explode(upto("rests")))
+    among = other.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.lit(False).alias("outer"),
+                         (F.col("block") > F.col("other")).alias("right"), (F.col("block") == F.col("other")).alias("same"), "cid", "sig")
+    # the head itself is linked, so there is at least one block of linked ones
+    to_linked = rest.withColumn("j", F.explode(upto("links"))).select(
+        "key", F.col("block").alias("i"), "j", F.lit(True).alias("outer"), F.lit(False).alias("right"), F.lit(False).alias("same"), "cid", "sig")
+    from_linked = linked.withColumn("i", F.explode(upto("rests"))).select(
+        "key", "i", F.col("block").alias("j"), F.lit(True).alias("outer"), F.lit(True).alias("right"), F.lit(False).alias("same"), "cid", "sig")
+    pairs = among.unionByName(to_linked).unionByName(from_linked)
+    return (judged.where("linked and cid <> head").select(F.col("cid").alias("a"), F.col("head").alias("b")).distinct()
+            .unionByName(_similar_in_groups(pairs, ["key", "outer", "i", "j"], least)))
 
 
 def candidate_edges(classes: DataFrame, threshold: float, recall: float) -> DataFrame:
@@ -160,9 +219,7 @@ def candidate_edges(classes: DataFrame, threshold: float, recall: float) -> Data
         if large.isEmpty():
             break
         if depth == DEPTH:
-            # mostly near copies: linked to the least class, compared exactly later
-            least = large.groupBy("key").agg(F.min("cid").alias("b"))
-            found = found.unionByName(large.join(least, "key").select(F.col("cid").alias("a"), "b"))
+            found = found.unionByName(_similar_in_large(large, sigs, 0.75 * threshold))
             break
         # a bucket's own positions
         first = F.pmod(F.xxhash64("key", F.lit("first")), F.lit(SIGNATURE)).cast("int")
@@ -233,13 +290,7 @@ def exact_links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, thresh
             full[:left, 0 if same else left:] = similar
             full |= full.T
             copies = np.array([r["copies"] for r in group])
-            root = np.arange(len(group))
-            joined = full | np.eye(len(group), dtype=bool)
-            while True:
-                new = np.where(joined, root[None, :], len(group)).min(axis=1)
-                if (new == root).all():
-                    break
-                root = new
+            root = _least_reachable(full)
             has = np.flatnonzero(full.any(axis=1))
             cids = [r["cid"] for r in group]
             yield pa.RecordBatch.from_arrays([
