@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
+COPIES = 10_000
 SCHEMA = "doc_id bigint, piece bigint, bin_id string, bin_offset bigint, n_tokens bigint"
 
 
@@ -55,9 +56,9 @@ def pack(docs: DataFrame, capacity: int = 2048, shard_docs: int = 4096, id_col:
     """``doc_id, piece, bin_id, bin_offset, n_tokens``: where each piece of each document lies.
 
     A bin holds at most one piece of a source and one of a duplicate cluster
-    (full sequences are bins of their own).  Rows are dealt by a hash of id
-    and length into shards of about ``shard_docs``, so a hot source or
-    cluster spreads evenly; shards are packed independently.  The
+    (full sequences are bins of their own).  Rows are dealt by a hash of all their values, and of the number of the copy
+    among repeated rows, into shards of about ``shard_docs``, so a hot source, cluster, id (null too) or
+    row spreads evenly; shards are packed independently.  The
     result depends only on the rows.  A null or non-positive length has one empty piece;
     a null source or cluster conflicts with nothing; repeated rows are packed each;
     no rows, no pieces; other columns are ignored.
@@ -68,7 +69,12 @@ def pack(docs: DataFrame, capacity: int = 2048, shard_docs: int = 4096, id_col:
                        F.greatest(F.coalesce(F.col(length_col).cast("bigint"), F.lit(0)), F.lit(0)).alias("n"),
                        col(source_col, "string").alias("source"), col(cluster_col, "string").alias("cluster"))
     n_shards = max(1, -(-docs.count() // shard_docs))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "n"), F.lit(n_shards)))
+    # repeated rows are counted, then numbered in two steps, so that no array is longer than COPIES
+    counted = rows.groupBy("doc_id", "n", "source", "cluster").agg(F.count(F.lit(1)).alias("copies"))
+    rows = (counted.withColumn("first", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1, F.lit(COPIES).cast("bigint"))))
+            .withColumn("copy", F.explode(F.sequence("first", F.least(F.col("first") + COPIES, F.col("copies")) - 1)))
+            .select("doc_id", "n", "source", "cluster",
+                    F.pmod(F.xxhash64("doc_id", "n", "source", "cluster", "copy"), F.lit(n_shards)).alias("shard")))
 
     def work(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         shard = key[0].as_py()
