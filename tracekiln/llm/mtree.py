@@ -191,8 +191,11 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
     n_blocks = max(1, -(-asked.count() // BLOCK))
     blocks = (asked.groupBy("dim", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int").alias("block"))
               .agg(F.collect_list(F.struct("vec_id", "v")).alias("queries")))
+    # a pair of page and block is a task's unit of work; a fixed number of partitions, or few bytes would be merged into few tasks
+    n_pairs = max(1, trees.count() * n_blocks)
+    tasks = min(n_pairs, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism))
     pairs = (trees.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(blocks, ["dim", "block"])
-             .select("dim", "tree", "ids", "queries"))
+             .select("dim", "tree", "ids", "queries").repartition(tasks))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for dim, tree, ids, queries in ((x.as_py() for x in row) for b in batches for row in zip(*b.columns)):
