@@ -121,12 +121,12 @@ def test_large_bucket_connects_what_brute_force_connects(spark, monkeypatch):
         sigs.append(s)
     rows = [(bytes([n]), s.tobytes()) for n, s in enumerate(sigs)]
     df = spark.createDataFrame([(bytearray(c), bytearray(s)) for c, s in rows], "cid binary, sig binary")
-    whole = df.selectExpr("bigint(1) as key", "cid")
+    whole = df.selectExpr("bigint(1) as key", "bigint(90) as n", "cid")
 
     def groups(edges):
         return {bytes(r.node): bytes(r.root) for r in components(edges).collect()}
 
-    want = groups(jaccard_join._similar_in_buckets(whole, df, 0.6))
+    want = groups(jaccard_join._similar_in_buckets(whole.select("key", "cid"), df, 0.6))
     assert groups(jaccard_join._similar_in_large(whole, df, 0.6)) == want and len(set(want.values())) > 1
 
 

@@ -169,20 +169,28 @@ def _similar_in_large(large: DataFrame, sigs: DataFrame, least: float) -> DataFr
     others, the rest, are compared with the rest and with the linked ones in block pairs of ``SIGNATURE_BLOCK``
     signatures a side.  (Two linked members need no comparison: the least one connects them.)
     """
-    heads = large.groupBy("key").agg(F.min("cid").alias("head"))
-    heads = heads.join(sigs.select(F.col("cid").alias("head"), F.col("sig").alias("head_sig")), "head")
-    rows = large.select("key", "cid").join(heads, "key").join(sigs, "cid").select("key", "cid", "sig", "head", "head_sig")
+    # joins by bucket are salted by its size
+    salts = F.ceil(F.col("n") / SIGNATURE_BLOCK).cast("int")
+    every = F.explode(F.sequence(F.lit(0), salts - 1))
+    heads = large.groupBy("key", "n").agg(F.min("cid").alias("head"))
+    heads = (heads.join(sigs.select(F.col("cid").alias("head"), F.col("sig").alias("head_sig")), "head")
+             .select("key", "head", "head_sig", every.alias("salt")))
+    salted = large.select("key", "n", "cid", F.pmod(F.xxhash64("cid", F.lit("salt")), salts).cast("int").alias("salt"))
+    rows = (salted.join(heads, ["key", "salt"]).join(sigs, "cid")
+            .select("key", "cid", "sig", "head", "n", "salt", "head_sig"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own, head = (np.frombuffer(b"".join(b.column(k).to_pylist()), "<u4").reshape(b.num_rows, SIGNATURE) for k in (2, 4))
+            own, head = (np.frombuffer(b"".join(b.column(k).to_pylist()), "<u4").reshape(b.num_rows, SIGNATURE) for k in (2, 6))
             linked = (own == head).sum(axis=1) >= least * SIGNATURE
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(linked)], names=["key", "cid", "sig", "head", "linked"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:6], pa.array(linked)],
+                                             names=["key", "cid", "sig", "head", "n", "salt", "linked"])
 
-    judged = common.stored(rows.mapInArrow(compare, "key bigint, cid binary, sig binary, head binary, linked boolean"), "large-buckets")
+    judged = common.stored(rows.mapInArrow(compare, "key bigint, cid binary, sig binary, head binary, n bigint, salt int, linked boolean"), "large-buckets")
     blocks = lambda linked: F.ceil(F.count_if(F.col("linked") == linked) / SIGNATURE_BLOCK).cast("int")
-    sizes = judged.groupBy("key").agg(blocks(False).alias("rests"), blocks(True).alias("links")).where("rests > 0")
-    placed = (judged.join(sizes, "key")
+    sizes = (judged.groupBy("key", "n").agg(blocks(False).alias("rests"), blocks(True).alias("links")).where("rests > 0")
+             .select("key", "rests", "links", every.alias("salt")))
+    placed = (judged.join(sizes, ["key", "salt"])
               .withColumn("block", F.pmod(F.xxhash64("cid", F.lit("block")), F.when(F.col("linked"), F.col("links")).otherwise(F.col("rests"))).cast("int")))
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     rest, linked = placed.where("not linked"), placed.where("linked")
