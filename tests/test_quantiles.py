@@ -58,3 +58,14 @@ def test_schema_report(spark):
     assert "Expand" not in plan
     empty = PR.schema_report(df.limit(0)).collect()
     assert len(empty) == 4 and all(r[2:] == (0, 0, 0) for r in empty)
+
+
+def test_values_of_texts_are_not_worked_out_again_at_each_pivot(spark):
+    """The filter on a value's interval stays above the aggregate that counts the values."""
+    from tracekiln.functions.text import word_count
+    texts = spark.createDataFrame([(" ".join("x" * (i % 40 + 1)),) for i in range(200)], "t string")
+    words = texts.select(word_count(F.col("t")).alias("words"))
+    got = PR.quantile_linear(words, "words", [0.5, 0.9])
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter " in line and "split(" in line and "subquery" in line]
+    assert [tuple(r) for r in got.collect()] == [(200, 20.5, 36.1)]
