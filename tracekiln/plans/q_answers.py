@@ -263,7 +263,8 @@ FROM per_token GROUP BY problem_id, attempt_id"""
 @register("d22_token_entropy", _D22_SQL.replace("\n, per_token", ", per_token").replace("WITH ", "WITH ", 1))
 def d22_token_entropy(spark, sf):
     """D22 on long-form log-probabilities: -sum p log2 p per token, mean per attempt."""
-    maps = FX.logprobs(spark, sf).groupBy("problem_id", "attempt_id", "pos").agg(
+    rows = FX.logprobs(spark, sf).repartition("problem_id", "attempt_id")         # one shuffle serves both aggregates
+    maps = rows.groupBy("problem_id", "attempt_id", "pos").agg(
         F.map_from_entries(F.collect_list(F.struct(F.col("token").cast("string"), "logprob"))).alias("m"))       # a token's few alternatives
     per = maps.groupBy("problem_id", "attempt_id").agg(F.collect_list("m").alias("ms"), F.count("*").alias("tokens"))
     return per.select("problem_id", "attempt_id", F.round(A.token_entropy("ms"), 6).alias("entropy"), "tokens")
