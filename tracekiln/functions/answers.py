@@ -35,6 +35,10 @@ DEPTH_WORDS_RE = r"(therefore|thus|so |hence|we get|we have|gives|equals|=)"
 STEP_WORDS = ["therefore", "thus", "so ", "we have", "note that", "since",
               "because", "=", "hence", "gives", "compute", "calculate"]
 # --- end of fixed values ---
+# PLAIN_NUMBER_RE with its look-behind behind the first digit: the same matches, but nothing is tried at other characters
+PLAIN_NUMBER_SCAN = r"(\d(?<![a-zA-Z]\d)\d*\.?\d*)(?![a-zA-Z])"
+# A literal that a text must hold (lower-cased) for the phrase of the same place to match
+PHRASE_LITERALS = ["answer", "answer:", "= ", "equal", "is"]
 
 
 def _c(x) -> Column:
@@ -122,26 +126,32 @@ def answer_cascade(text) -> Column:
     backwards) -> five phrases in order (last hit each, on lower-cased text) ->
     last 1-5 digit integer in the last five lines, bottom up."""
     t = _c(text)
-    boxed = F.regexp_extract_all(t, F.lit(BOXED_SIMPLE_RE), 1)
-    boxed_vals = F.transform(F.reverse(boxed), lambda m: trunc_int_in_range(
-        to_double(F.regexp_replace(strip(m), ",", ""))))
-    v_boxed = F.try_element_at(F.filter(boxed_vals, lambda v: v.isNotNull()), F.lit(1))
-    low = F.lower(t)
-    phrase_vals = []
-    for pat in CASCADE_PHRASES:
-        m = last_match(low, pat)
-        d = m.try_cast("decimal(38,0)")
-        phrase_vals.append(F.when((d >= 0) & (d <= 99999), d.cast("bigint")))
-    v_phrase = F.coalesce(*phrase_vals)
-    lines = F.split(strip(t), "\n")
-    tail = F.reverse(F.slice(lines, F.greatest(F.size(lines) - 4, F.lit(1)), 5))
-    line_vals = F.transform(tail, lambda ln: last_match(ln, r"\b(\d{1,5})\b").cast("bigint"))
-    v_last = F.try_element_at(F.filter(line_vals, lambda v: v.isNotNull()), F.lit(1))
-    return (F.when(v_boxed.isNotNull(), F.struct(v_boxed.alias("value"), F.lit("boxed").alias("source")))
-            .when(v_phrase.isNotNull(), F.struct(v_phrase.alias("value"), F.lit("text_pattern").alias("source")))
-            .when(v_last.isNotNull(), F.struct(v_last.alias("value"), F.lit("last_int").alias("source")))
-            .otherwise(F.struct(F.lit(None).cast("bigint").alias("value"),
-                                F.lit(None).cast("string").alias("source"))))
+    found = lambda value, source: F.struct(value.alias("value"), F.lit(source).cast("string").alias("source"))
+
+    def boxed():
+        vals = F.transform(F.reverse(F.regexp_extract_all(t, F.lit(BOXED_SIMPLE_RE), 1)), lambda m: trunc_int_in_range(
+            to_double(F.regexp_replace(strip(m), ",", ""))))
+        return F.when(F.contains(t, F.lit("\\boxed{")), F.try_element_at(F.filter(vals, lambda v: v.isNotNull()), F.lit(1)))
+
+    def phrase(low):
+        def one(pat, literal):
+            m = F.when(F.contains(low, F.lit(literal)), last_match(low, pat))
+            return _let(m.try_cast("decimal(38,0)"), lambda d: F.when((d >= 0) & (d <= 99999), d.cast("bigint")))
+
+        return F.coalesce(*[one(pat, literal) for pat, literal in zip(CASCADE_PHRASES, PHRASE_LITERALS, strict=True)])
+
+    def last():
+        def of_lines(lines):
+            tail = F.reverse(F.slice(lines, F.greatest(F.size(lines) - 4, F.lit(1)), 5))
+            vals = F.transform(tail, lambda ln: last_match(ln, r"\b(\d{1,5})\b").cast("bigint"))
+            return F.try_element_at(F.filter(vals, lambda v: v.isNotNull()), F.lit(1))
+
+        return _let(F.split(strip(t), "\n"), of_lines)
+
+    # each step is worked out once, and only where the steps before it found nothing
+    none = found(F.lit(None).cast("bigint"), None)
+    step = lambda value, source, other: _let(value, lambda v: F.when(v.isNotNull(), found(v, source)).otherwise(other()))
+    return step(boxed(), "boxed", lambda: step(_let(F.lower(t), phrase), "text_pattern", lambda: step(last(), "last_int", lambda: none)))
 
 
 def parse_int_answer(x, hi: int = 99999) -> Column:
@@ -305,7 +315,7 @@ def extract_numbers(text) -> Column:
         F.regexp_extract(f, FRAC_INT_RE, 2).try_cast("double").alias("b")))
     fr_vals = F.transform(F.filter(fr, lambda s: s["b"] != 0),
                           lambda s: F.round(F.try_divide(s["a"], s["b"]), 4))
-    plain = F.transform(F.regexp_extract_all(t, F.lit(PLAIN_NUMBER_RE), 1), lambda m: m.try_cast("double"))
+    plain = F.transform(F.regexp_extract_all(t, F.lit(PLAIN_NUMBER_SCAN), 1), lambda m: m.try_cast("double"))
     plain_vals = F.transform(F.filter(plain, lambda v: (v > 0) & (v <= 9999)), lambda v: F.round(v, 4))
     return F.array_distinct(F.concat(fr_vals, plain_vals))
 
