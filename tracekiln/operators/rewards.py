@@ -48,10 +48,11 @@ def response_facts(df: DataFrame, response: str = "response", gt: str = "gold")
     """What E2 needs of a response, per row: ``pred, correct, response_len, _steps, _numbers``.  With these the
     text can stay behind before any join."""
     r = F.col(response)
-    facts = A.add_boxed_first(df, r, "pred").withColumns({
-        "response_len": F.length(r), "_steps": A.has_step_words(r)})
+    facts = A.add_boxed_first(df, r, "pred").withColumn("response_len", F.length(r))
     facts = A.add_answers_match(facts, F.col("pred"), F.col(gt), "correct")
-    return facts.withColumn("_numbers", F.when((F.col("response_len") > 200) & F.col("pred").isNotNull(), A.extract_numbers(r)))
+    # step words count for long wrong answers only
+    asked = (F.col("response_len") > 200) & F.col("pred").isNotNull()
+    return facts.withColumns({"_steps": F.when(asked & ~F.col("correct"), A.has_step_words(r)), "_numbers": F.when(asked, A.extract_numbers(r))})
 
 
 def reward_10level(df: DataFrame, response: str = "response", gt: str = "gold",

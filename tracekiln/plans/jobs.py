@@ -10,16 +10,18 @@ from ..functions.text import problem_key
 from ..operators import evaluate as EV
 from ..operators import rewards as R
 from ..operators import votes as V
+from ..session import written
 
 
 def score_rollouts(attempts: DataFrame, problems: DataFrame, key: str = "problem_id") -> DataFrame:
     """attempts x problems -> reward (E2), correctness, advantage (E4) and the
     zero-variance flag.  Gold facts are computed per problem and response facts per row
     before the join, so no text is shuffled (join back on
-    (problem, attempt) when the text is needed)."""
+    (problem, attempt) when the text is needed).  The scored rows are written once: the group
+    statistics and the join with them would each read and score all texts."""
     facts = R.response_facts(attempts).drop("response")
     scored = R.reward_from_facts(facts.join(R.gold_facts(problems, key), key, "left"))
-    return R.group_advantage(scored.drop("gold_numbers"), key, "reward")
+    return R.group_advantage(written(scored.drop("gold_numbers"), "scored-rollouts"), key, "reward")
 
 
 def rollout_report(attempts: DataFrame, problems: DataFrame, key: str = "problem_id",
