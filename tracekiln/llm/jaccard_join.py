@@ -208,9 +208,18 @@ def _similar_in_large(large: DataFrame, sigs: DataFrame, least: float) -> DataFr
 
 
 def candidate_edges(classes: DataFrame, threshold: float, recall: float) -> DataFrame:
-    """Edges ``a, b`` between classes that may be similar: all runs, all depths."""
+    """Edges ``a, b`` between classes that may be similar: all runs, all depths.
+
+    Each depth's edges are written before the next depth: one query over all of them would have all their
+    exchanges at work at once, and the driver would hold the tasks of each.
+    """
     sigs = classes.select("cid", "sig")
     found: DataFrame | None = None
+
+    def add(edges: DataFrame) -> DataFrame:
+        edges = common.stored(edges, "depth-edges")
+        return edges if found is None else found.unionByName(edges)
+
     rng = np.random.default_rng(5)
     # positions by which the root, which holds all classes, is split in each run
     picks = [(r, int(p)) for r in range(runs_for(threshold, DEPTH, recall))
@@ -221,13 +230,12 @@ def candidate_edges(classes: DataFrame, threshold: float, recall: float) -> Data
     depth = 1
     while True:
         ripe = level.where(F.col("n") <= SMALL)
-        edges = _similar_in_buckets(ripe, sigs, 0.75 * threshold)
-        found = edges if found is None else found.unionByName(edges)
+        found = add(_similar_in_buckets(ripe, sigs, 0.75 * threshold))
         large = level.where(F.col("n") > SMALL)
         if large.isEmpty():
             break
         if depth == DEPTH:
-            found = found.unionByName(_similar_in_large(large, sigs, 0.75 * threshold))
+            found = add(_similar_in_large(large, sigs, 0.75 * threshold))
             break
         # a bucket's own positions
         first = F.pmod(F.xxhash64("key", F.lit("first")), F.lit(SIGNATURE)).cast("int")
@@ -331,9 +339,10 @@ def similarity_join(docs: DataFrame, threshold: tuple[int, int] = (4, 5), recall
     links = exact_links(docs, classes, components(edges), threshold, id_col, text_col)
     groups = components(links.select(F.col("cid").alias("a"), "b"))
     counted = links.groupBy("cid").agg(F.sum("n_docs").alias("n_docs"))
-    known = (classes.select("cid", "at", "copies").join(counted, "cid", "left")
-             .join(groups.withColumnRenamed("node", "cid"), "cid", "left")
-             .withColumn("root", F.coalesce("root", "cid")))
+    # read twice: by the groups' least documents and by the join with them
+    known = common.stored(classes.select("cid", "at", "copies").join(counted, "cid", "left")
+                          .join(groups.withColumnRenamed("node", "cid"), "cid", "left")
+                          .withColumn("root", F.coalesce("root", "cid")), "judged-classes")
     known = known.join(known.groupBy("root").agg(F.min("at").alias("group_at")), "root")
     out = rows.select("doc_id", "th", "cid", at.alias("own")).join(
         known.select("cid", "at", "group_at", (F.col("copies") - 1 + F.coalesce("n_docs", F.lit(0))).alias("n_links")), "cid", "left")
@@ -347,7 +356,7 @@ def one_of_each_group(docs: DataFrame, threshold: tuple[int, int] = (4, 5), reca
                       text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each near-duplicate group: the one with the least id.
     Of repeated rows one stays; documents without words all stay."""
-    judged = similarity_join(docs, threshold, recall, id_col, text_col)
+    judged = common.stored(similarity_join(docs, threshold, recall, id_col, text_col), "judged-documents")
     stay = (judged.where("first").groupBy(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), "th").alias("__at")).agg(F.first("doc_id").alias("__id")))
     text = F.col(text_col).cast("string")
     same = Window.partitionBy("__at").orderBy(F.lit(0))

@@ -139,8 +139,9 @@ def near_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
         bloom.admitted(lines, F.col("h1"), near, "h1").join(near, [*line, "first"], "left_semi").dropDuplicates(line)
         .select(*line, "first", F.split("line", " ").alias("words")), "near-lines")
     earliest = members.groupBy("key").agg(F.min(F.struct("first", *line)).alias("e"))
-    compared = (members.join(earliest, "key").where("first > e.first")
-                .select("key", "n", *line, F.col("e.h1").alias("e1"), F.col("e.h2").alias("e2")))
+    # read twice: for the links and for the variants they leave
+    compared = common.stored(members.join(earliest, "key").where("first > e.first")
+                             .select("key", "n", *line, F.col("e.h1").alias("e1"), F.col("e.h2").alias("e2")), "lines-to-compare")
     linked = common.stored(_verified(compared.select(*line, "e1", "e2").distinct(), texts), "compared-lines")
     # variants whose lines are not all within the bound of the earliest
     mixed = compared.where("n > 2").join(linked, [*line, "e1", "e2"], "left_anti").select("key").distinct()
