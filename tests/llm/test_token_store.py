@@ -65,3 +65,12 @@ def test_damaged_file_is_refused(spark, tmp_path):
     p.write_bytes(b"y" * 200)
     with pytest.raises(ValueError):
         token_store.StoreFile(str(p))
+
+
+def test_a_run_of_letters_is_remembered_once():
+    ours = Encoder(queries.tokenizer_path(), 2, keep=3)
+    first = ours(["alpha Alpha alpha,"])
+    assert set(ours.known) == {"alpha", "Alpha", "alpha,"}
+    # three pieces fit: nothing is encoded again
+    ours._learn_runs = lambda runs: runs and pytest.fail(f"encoded again: {runs}")
+    assert ours(["alpha Alpha alpha,"]) == first

@@ -21,7 +21,8 @@ from __future__ import annotations
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -98,7 +99,6 @@ class Encoder:
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.end, self.keep, self.joined = np.array([end_id], self.dtype).tobytes(), keep, joined
         self.known: dict[str, bytes] = {}
-        self.runs: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         self.word_end = np.zeros(size, bool)
@@ -112,41 +112,45 @@ class Encoder:
 
     def _learn_runs(self, runs: list[str]) -> None:
         """Ids of runs of letters: each is one word to the tokenizer."""
+        known = self.known
         parts = [runs[lo:lo + self.joined] for lo in range(0, len(runs), self.joined)]
-        for part, e in zip(parts, self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False)):
-            ids = np.array(e.ids, self.dtype)
-            ends = np.flatnonzero(self.word_end[ids]) + 1
-            if len(ends) != len(part) or ends[-1] != len(ids):
-                self.runs.update(zip(part, self._encode(part)))
-                continue
-            raw, cut = ids.tobytes(), (np.concatenate(([0], ends)) * ids.itemsize).tolist()
-            self.runs.update((w, raw[x:y]) for w, x, y in zip(part, cut, cut[1:]))
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Ids of new pieces: letters, letters and one mark, or anything else."""
-        split, other = [], []
+        for lo in range(0, len(parts), 64):
+            some = parts[lo:lo + 64]
+            for part, e in zip(some, self.tokenizer.encode_batch_fast([" ".join(p) for p in some], add_special_tokens=False)):
+                ids = np.array(e.ids, self.dtype)
+                ends = np.flatnonzero(self.word_end[ids]) + 1
+                if len(ends) != len(part) or ends[-1] != len(ids):
+                    known.update(zip(part, self._encode(part)))
+                    continue
+                raw, cut = ids.tobytes(), (np.concatenate(([0], ends)) * ids.itemsize).tolist()
+                known.update(zip(part, [raw[x:y] for x, y in zip(cut, cut[1:])]))
+
+    def _learn(self, pieces: Iterable[str]) -> None:
+        """Ids of new pieces: letters, letters and one mark, or anything else.  Of the first two the run of
+        letters is remembered as the piece it is by itself (ASCII letters in lower case)."""
+        runs, marked, other = {}, {}, []
         for w in pieces:
             if not self.marks or LONG_LOWER in w:
                 other.append(w)
             elif w.isalpha():
-                split.append((w, w.lower() if w.isascii() else w, b""))
-            elif w[-1] in self.marks and w[:-1].isalpha():
-                split.append((w, w[:-1].lower() if w.isascii() else w[:-1], self.marks[w[-1]]))
+                runs[w] = w.lower() if w.isascii() else w
+            elif w[-1] in self.marks and (r := w[:-1]).isalpha():
+                marked[w] = r.lower() if r.isascii() else r
             else:
                 other.append(w)
-        self._learn_runs(list({r for _, r, _ in split if r not in self.runs}))
-        self.known.update((w, self.runs[r] + mark) for w, r, mark in split)
+        known, marks = self.known, self.marks
+        self._learn_runs(list(set(runs.values()).union(marked.values()).difference(known)))
+        known.update(zip(runs, map(known.__getitem__, runs.values())))
+        known.update((w, known[r] + marks[w[-1]]) for w, r in list(marked.items()))
         for lo in range(0, len(other), 20_000):
-            self.known.update(zip(other[lo:lo + 20_000], self._encode(other[lo:lo + 20_000])))
+            known.update(zip(other[lo:lo + 20_000], self._encode(other[lo:lo + 20_000])))
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         pieces = [[] if not t else None if SPLIT_SAFE.search(t) else t.split() for t in texts]
-        if len(self.known) + len(self.runs) > self.keep:
+        if len(self.known) > self.keep:
             self.known.clear()
-            self.runs.clear()
-        known = self.known
-        self._learn(list({w for p in pieces if p for w in p if w not in known}))
-        get = known.__getitem__
+        self._learn(set(chain.from_iterable(filter(None, pieces))).difference(self.known))
+        get = self.known.__getitem__
         return [(self._encode([t])[0] if p is None else b"".join(map(get, p))) + self.end
                 for t, p in zip(texts, pieces)]
 
