@@ -130,6 +130,22 @@ def test_large_bucket_connects_what_brute_force_connects(spark, monkeypatch):
     assert groups(jaccard_join._similar_in_large(whole, df, 0.6)) == want and len(set(want.values())) > 1
 
 
+def test_depths_are_queries_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "SMALL", 10)
+    joins, stored = {}, jaccard_join.common.stored
+
+    def counting(df, label):
+        joins[label] = max(joins.get(label, 0), df._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+        return stored(df, label)
+
+    monkeypatch.setattr(jaccard_join.common, "stored", counting)
+    rng = random.Random(8)
+    base = prose(rng, 60)
+    candidates(spark, [(k, edited(rng, base, 2)) for k in range(30)])
+    assert joins["candidate-edges"] == 0                        # a union of tables written before
+    assert "depth-edges" in joins
+
+
 def test_one_of_each_group(spark):
     rows = [doc(d, t) for d, t in family(random.Random(20))] + awkward()
     df = docs(spark, rows)
